@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe
+from tidegrid.llm import bpe, langid, quality, toxicity
+from tidegrid.llm.shared import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,6 +30,42 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def learnable_languages(docs: DataFrame) -> DataFrame:
+    """Text and language of the documents that language models may learn from."""
+    return docs.where(F.pmod(crc_of_id(), F.lit(4)) != 2).select("doc_id", "text", "lang")
+
+
+@query
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = (F.pmod(crc_of_id(), F.lit(4)) == 2).alias("held_out")
+    return langid.predict(docs, langid.train(learnable_languages(docs)), keep=(F.col("doc_id"), held_out))
+
+
+def learnable_labels(labels: DataFrame) -> DataFrame:
+    """Labels of the documents that classifiers may learn from."""
+    return labels.where(F.pmod(crc_of_id(), F.lit(5)) != 0)
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = (F.pmod(crc_of_id(), F.lit(5)) == 0).alias("held_out")
+    model = quality.train(docs.select("doc_id", "text"), learnable_labels(labels))
+    return quality.score(docs, model, keep=(F.col("doc_id"), held_out), threshold=0.3)
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = (F.pmod(crc_of_id(), F.lit(5)) == 0).alias("held_out")
+    model = toxicity.train(docs.select("doc_id", "text"), learnable_labels(labels))
+    return quality.score(docs, model, keep=(F.col("doc_id"), held_out), threshold=0.5)
+
+
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document."""
