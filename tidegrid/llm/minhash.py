@@ -74,7 +74,7 @@ def dart_signatures(hashes: np.ndarray, text: np.ndarray, weights: np.ndarray, n
         number = 0
         while len(h):
             dart = mix(h + np.uint64((number * 0x9FB21C651E98DF25 + 1) % (1 << 64)))
-            rank = rank - np.log1p(-(dart >> np.uint64(11)) * 2.0**-53)
+            rank = rank - np.log1p((dart >> np.uint64(11)) * -(2.0**-53))
             near = rank <= limit[t]
             h, t, w, rank, dart = h[near], t[near], w[near], rank[near], dart[near]
             name = mix(dart ^ np.uint64(0xD1B54A32D192ED03))

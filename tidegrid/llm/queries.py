@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, langid, quality, toxicity
+from tidegrid.llm import bpe, langid, minhash, quality, toxicity, urlfilter
 from tidegrid.llm.shared import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=5)
+
+
 def learnable_languages(docs: DataFrame) -> DataFrame:
     """Text and language of the documents that language models may learn from."""
     return docs.where(F.pmod(crc_of_id(), F.lit(4)) != 2).select("doc_id", "text", "lang")
@@ -70,3 +76,34 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLE_SQL["op5_urls"] = """
+WITH parts AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '^[\\s\\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(rule_host, rule_path, rule_verdict) AS (VALUES
+  ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path) * 1000 + length(rule_host)) AS rule,
+  coalesce(arg_max(rule_verdict, length(rule_host || rule_path) * 1000 + length(rule_host)), 'allow') AS verdict
+FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+GROUP BY page_id, host, path
+"""
