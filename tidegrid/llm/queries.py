@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, langid, minhash, quality, toxicity, urlfilter
+from tidegrid.llm import bpe, langid, minhash, quality, toxicity, urlfilter, warc
 from tidegrid.llm.shared import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,9 @@ SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host ||
 FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
 GROUP BY page_id, host, path
 """
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page and read the archives back."""
+    return warc.archive(table(spark, sf_dir, "pages"), least_bytes=0)
