@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, langid, minhash, quality, toxicity, urlfilter, warc
+from tidegrid.llm import bpe, decontam, hamming, langid, minhash, quality, toxicity, urlfilter, warc
 from tidegrid.llm.shared import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,30 @@ GROUP BY page_id, host, path
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page and read the archives back."""
     return warc.archive(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+@query
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold half of a benchmark item or more, with the item."""
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least_match=5, threshold=0.5)
+    return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage", F.size("tiles").alias("n_tiles"))
+
+
+@query
+def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every twentieth vector, among all vectors."""
+    codes = table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.top_k(codes, codes.where("vec_id % 20 = 0"), k=10)
+
+
+ORACLE_SQL["op10_hamming"] = """
+WITH signs AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 AND NOT isnan(x) THEN 1 ELSE 0 END) AS s FROM embeddings WHERE embedding IS NOT NULL),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.s, r.s), lambda z: CASE WHEN coalesce(z[1], 0) <> coalesce(z[2], 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM signs q JOIN signs r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
