@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, decontam, hamming, langid, minhash, quality, toxicity, urlfilter, warc
+from tidegrid.llm import bpe, decontam, hamming, langid, minhash, quality, substring, toxicity, urlfilter, warc
 from tidegrid.llm.shared import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,9 @@ ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs)
 SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that repeat a passage of an earlier document."""
+    return substring.repeated_passages(table(spark, sf_dir, "documents"), threshold=0.8, least_words=8, run_words=25)
