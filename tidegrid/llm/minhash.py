@@ -201,7 +201,9 @@ def near_duplicates(
 
 
 def deduplicated(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names their class; of repeated rows with that id, one."""
-    first = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(id_col).distinct()
-    known = docs.dropDuplicates([id_col]).join(first, id_col, "left_semi")
-    return known.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` whose id names their class; of repeated rows with that id, one. Rows without an id stay."""
+    first = classes.where(F.col(id_col) == F.col("class_id")).groupBy(id_col).count()
+    kept = docs.join(first.select(id_col), id_col, "left_semi")
+    if not first.where("count > 1").isEmpty():  # ids that rows share: one of those rows stays
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -145,4 +145,4 @@ SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
 @query
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of documents that repeat a passage of an earlier document."""
-    return substring.repeated_passages(table(spark, sf_dir, "documents"), threshold=0.8, least_words=8, run_words=25)
+    return substring.repeated_passages(table(spark, sf_dir, "documents"), threshold=0.8, least_words=6, run_words=20)

@@ -5,8 +5,8 @@ Paragraphs of ``least_words`` words or more are hashed: MinHash of their five-wo
 bands of ``ROWS`` values, tuned so that a pair of similarity 0.8 is found with probability 0.994. Paragraphs
 that collide in a band are compared by exact Jaccard similarity, except those whose words are the same;
 the links make components, and in each component the first paragraph (by document, then place) stays.
-Repeats in other documents than the first one's are marked; a run of marked paragraphs, with shorter ones
-between them, is a repeated passage if it has ``run_words`` words or more. Short repeated sentences alone
+Repeats in other documents than the first one's are marked; a run of marked paragraphs, with less than
+``gap_words`` other words between two of them, is a repeated passage if it has ``run_words`` words or more. Short repeated sentences alone
 are left in place.
 
 Plan: the identity of a paragraph is the hash of its words, so equal ones collapse before and in every
@@ -47,7 +47,7 @@ REMEMBERED = 300_000
 
 
 def paragraphs(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the first word of each paragraph, and of the word after it: cut after . ! ? and at line ends."""
+    """Numbers of the first word of each paragraph, and of the word after it: cut after a single . ! ? and at line ends."""
     encoded = [(t or "").encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
     offset = np.cumsum([0, *(len(e) + 1 for e in encoded)])[words.text]
@@ -55,7 +55,8 @@ def paragraphs(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.nd
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     lines = np.cumsum(data == 10)
-    stop = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
+    mark = np.isin(data, np.frombuffer(b".!?", np.uint8))
+    stop = mark[ends - 1] & ~mark[np.maximum(ends - 2, 0)]
     cut = np.ones(len(starts), bool)
     cut[1:] = stop[:-1] | (lines[starts[1:]] != lines[starts[:-1]]) | (words.text[1:] != words.text[:-1])
     first = np.flatnonzero(cut)
@@ -167,7 +168,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, places: DataFrame, id_col: str,
     return saved(pairs.join(a, "u").join(b, "v").where(alike).select("u", "v"))
 
 
-def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, least_words: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, place, words, class_doc, class_place) of every paragraph whose component reaches over documents.
 
     ``place`` counts words from the start of the document; class_doc and class_place name the first paragraph.
@@ -199,7 +200,7 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, least_words: in
 
 
 def repeated_passages(
-    docs: DataFrame, threshold: float = 0.8, least_words: int = 8, run_words: int = 25, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, threshold: float = 0.8, least_words: int = 6, run_words: int = 20, gap_words: int = 12, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(id, start, stop, n_words, first_doc) of every passage that repeats one of an earlier document.
 
@@ -209,7 +210,7 @@ def repeated_passages(
     marked = repeated_paragraphs(docs, threshold, least_words, id_col, text_col).where("doc != class_doc").dropDuplicates(["doc", "place"])
     in_order = Window.partitionBy("doc").orderBy("place")
     gap = F.col("place") - F.lag(F.col("place") + F.col("words")).over(in_order)
-    runs = marked.withColumn("run", F.sum(F.when(gap < least_words, 0).otherwise(1)).over(in_order))
+    runs = marked.withColumn("run", F.sum(F.when(gap < gap_words, 0).otherwise(1)).over(in_order))
     out = runs.groupBy("doc", "run").agg(
         F.min("place").alias("start"), F.max(F.col("place") + F.col("words")).alias("stop"), F.sum("words").alias("n_words"), F.min_by("class_doc", "place").alias("first_doc")
     )
