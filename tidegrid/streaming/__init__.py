@@ -1 +1 @@
-"""."""
+"""The live path: Structured Streaming forms of the operators."""
