@@ -1,0 +1,50 @@
+"""A synthetic market: a seeded walk of the price, a ladder of levels with walls, and Poisson trades.
+
+Every value is a function of (seed, stream, step), so any part can be made again on any executor.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+LEVELS, WALLS = 40, 4
+
+
+def _uniform(seed: int, *parts) -> Column:
+    """A number in [0, 1) from a hash."""
+    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def walk(spark: SparkSession, streams: int, steps: int, dt_ns: int, start_ns: int, seed: int = 7, mid: float = 100.0, tick: float = 0.5) -> DataFrame:
+    """(stream, seq, ts_ns, mid): a walk of ticks by stream."""
+    grid = spark.range(streams * steps).select((F.col("id") % streams).cast("string").alias("stream"), F.floor(F.col("id") / streams).cast("long").alias("seq"))
+    move = F.floor(_uniform(seed, "stream", "seq") * 3) - 1
+    so_far = F.sum(move).over(Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return grid.select("stream", "seq", (F.lit(start_ns) + F.col("seq") * dt_ns).alias("ts_ns"), (mid + tick * so_far).alias("mid"))
+
+
+def books(prices: DataFrame, seed: int = 7, tick: float = 0.5) -> DataFrame:
+    """(stream, seq, ts_ns, side, price, size): a ladder on both sides of each price, thinner away from it, with walls at fixed prices."""
+    each = prices.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS))))
+    price = F.col("mid") + F.when(F.col("side") == 0, -1).otherwise(1) * F.col("level") * tick
+    plain = (1 + 4 * _uniform(seed + 1, "stream", "seq", "side", "level")) * F.exp(-F.col("level") / 20.0)
+    wall = F.pmod(F.xxhash64(F.lit(seed + 2), "stream", F.rint(price / tick)), F.lit(LEVELS // WALLS)) == 0
+    return each.select("stream", "seq", "ts_ns", "side", price.alias("price"), (plain + F.when(wall, 50.0).otherwise(0.0)).alias("size"))
+
+
+def trades(prices: DataFrame, rate: float = 2.0, most: int = 8, seed: int = 7, tick: float = 0.5) -> DataFrame:
+    """(stream, seq, ts_ns, price, size, side): as many prints at each step as exponential gaps of ``rate`` fit in."""
+    gaps = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: -F.log1p(-_uniform(seed + 3, F.col("stream"), F.col("seq"), i)) / rate)
+    times = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.aggregate(F.slice(gaps, 1, i), F.lit(0.0), lambda a, x: a + x))
+    each = prices.select("*", F.posexplode(F.filter(times, lambda t: t < 1)).alias("n", "t"))
+    side = F.floor(_uniform(seed + 4, "stream", "seq", "n") * 2).cast("int")
+    size = F.round(0.1 - F.log1p(-_uniform(seed + 5, "stream", "seq", "n")), 3)
+    return each.select("stream", (F.col("seq") * most + F.col("n")).alias("seq"), "ts_ns", (F.col("mid") + F.when(side == 0, tick).otherwise(-tick)).alias("price"), size.alias("size"), side.alias("side"))
+
+
+def liquidations(prices: DataFrame, share: float = 0.002, seed: int = 7) -> DataFrame:
+    """(stream, seq, ts_ns, kind, text, price, size): rare markers."""
+    hit = prices.where(_uniform(seed + 6, "stream", "seq") < share)
+    return hit.select("stream", "seq", "ts_ns", F.lit("liquidation").alias("kind"), F.lit("").alias("text"), F.col("mid").alias("price"), (1 + 9 * _uniform(seed + 7, "stream", "seq")).alias("size"))

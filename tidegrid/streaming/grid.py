@@ -1,0 +1,151 @@
+"""The live grid: one stateful processor per stream that turns books and trades into finished columns.
+
+State is the sum so far of the open column by row, the standing book, the frame, and the session's sums.
+Books move time; a trade belongs to the column that is open. Late books count at the latest time so far, and
+are never dropped. Results equal the batch form of ``operators.epochs.moving_density`` and ``operators.bars``.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from tidegrid.operators.epochs import Anchors, Frame
+
+OUTPUT = (
+    "stream string, epoch int, col_seq long, t0_ns long, final boolean, p0 double, rows array<int>, bid array<float>, ask array<float>, "
+    "o double, h double, l double, c double, vol_buy double, vol_sell double, cvd_cum double, vwap_num_cum double, vwap_den_cum double"
+)
+
+
+class Grid:
+    """The grid of one stream; everything in it goes through ``state`` and back."""
+
+    def __init__(self, frame: Frame, dt_ns: int, ring: int = 32_768, state: dict | None = None):
+        self.frame, self.dt, self.ring = frame, dt_ns, ring
+        s = state or {}
+        self.anchors = Anchors(frame, tuple(s["anchors"]) if s else None)
+        self.k, self.seq, self.now = s.get("k"), s.get("seq", 0), s.get("now")
+        self.acc = {int(r): v for r, v in s.get("acc", {}).items()}  # row -> [bid, ask]
+        self.book = s.get("book", [])  # [side, price, size]
+        self.bar = s.get("bar", [None] * 4 + [0.0, 0.0])
+        self.close, self.sums = s.get("close"), s.get("sums", [0.0, 0.0, 0.0])
+
+    def state(self) -> dict:
+        return {"anchors": self.anchors.state(), "k": self.k, "seq": self.seq, "now": self.now, "acc": self.acc, "book": self.book, "bar": self.bar, "close": self.close, "sums": self.sums}
+
+    @property
+    def step(self) -> float:
+        return self.frame.tick * self.anchors.multiple
+
+    def _rows(self) -> list[tuple[int, int, float]]:
+        """(row, side, size) of the standing book in the current frame."""
+        out = []
+        for side, price, size in self.book:
+            row = round((price - self.anchors.p0) / self.step) if np.isfinite(price) and np.isfinite(size) else -1
+            if 0 <= row < self.frame.rows:
+                out.append((row, side, size))
+        return out
+
+    def _integrate(self, span: int) -> None:
+        if span > 0:
+            for row, side, size in self._rows():
+                self.acc.setdefault(row, [0.0, 0.0])[side] += size * span
+
+    def _column(self, final: bool) -> dict:
+        rows = sorted(r for r, v in self.acc.items() if v[0] or v[1])
+        o, h, l, c, buy, sell = self.bar
+        bars = [self.close] * 4 if c is None else [o, h, l, c]
+        half = lambda side: [float(np.float16(self.acc[r][side] / self.dt)) for r in rows]
+        return dict(epoch=self.anchors.epoch, col_seq=self.seq, t0_ns=self.k * self.dt, final=final, p0=self.anchors.p0, rows=rows, bid=half(0), ask=half(1),
+                    **dict(zip("ohlc", bars)), vol_buy=buy, vol_sell=sell, cvd_cum=self.sums[0], vwap_num_cum=self.sums[1], vwap_den_cum=self.sums[2])
+
+    def _finish(self) -> dict:
+        out = self._column(True)
+        self.acc, self.bar = {}, [None] * 4 + [0.0, 0.0]
+        self.k += 1
+        self.seq += 1
+        return out
+
+    def on_book(self, ts_ns: int, levels: list, middle: float | None) -> Iterator[dict]:
+        """Columns that the book's time finishes; then the book stands, and may move the frame."""
+        if self.k is None:
+            self.k = ts_ns // self.dt
+        if self.now is None:
+            self.now = ts_ns
+        now = max(ts_ns, self.now)
+        if now // self.dt - self.k > self.ring + 1:
+            self._integrate((self.k + 1) * self.dt - self.now)
+            yield self._finish()
+            skipped = now // self.dt - self.ring - self.k
+            self.k, self.seq = self.k + skipped, self.seq + skipped
+            self.now = self.k * self.dt
+        while now >= (self.k + 1) * self.dt:
+            self._integrate((self.k + 1) * self.dt - self.now)
+            self.now = (self.k + 1) * self.dt
+            yield self._finish()
+        self._integrate(now - self.now)
+        self.now, self.book = now, levels
+        p0, step = self.anchors.p0, self.step
+        if self.anchors.moved(middle):
+            by = (self.anchors.p0 - p0) / self.step
+            whole = self.step == step and abs(by - round(by)) < 1e-9
+            self.acc = {r - round(by): v for r, v in self.acc.items() if 0 <= r - round(by) < self.frame.rows} if whole else {}
+
+    def on_trade(self, ts_ns: int, price: float, size: float, side: int) -> None:
+        if self.k is None:
+            self.k, self.now = ts_ns // self.dt, ts_ns
+        o, h, l, _, buy, sell = self.bar
+        self.bar = [price if o is None else o, price if h is None else max(h, price), price if l is None else min(l, price), price, buy + size * (side == 0), sell + size * (side == 1)]
+        self.close = price
+        self.sums[0] += size * ((side == 0) - (side == 1))
+        self.sums[1] += price * size
+        self.sums[2] += size
+
+    def partial(self) -> dict | None:
+        """The open column as it stands."""
+        return None if self.k is None else self._column(False)
+
+
+class GridProcessor(StatefulProcessor):
+    """Events of a stream in the order of ``seq``: kind 0 is a book (levels, middle), kind 1 a trade."""
+
+    def __init__(self, frame: Frame, dt_ns: int, ring: int = 32_768, partials: bool = False):
+        self.frame, self.dt_ns, self.ring, self.partials = frame, dt_ns, ring, partials
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("grid", "json string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        grid = Grid(self.frame, self.dt_ns, self.ring, json.loads(self.value.get()[0]) if self.value.exists() else None)
+        out: list[dict] = []
+        events = pd.concat(list(rows)).sort_values("seq", kind="stable")  # one batch of one stream; the source bounds it
+        for e in events.itertuples(index=False):
+            if e.kind == 0:
+                levels = [[int(x["side"]), float(x["price"]), float(x["size"])] for x in e.levels]
+                out += grid.on_book(int(e.ts_ns), levels, None if pd.isna(e.middle) else float(e.middle))
+            else:
+                grid.on_trade(int(e.ts_ns), float(e.price), float(e.size), int(e.side))
+        self.value.update((json.dumps(grid.state()),))
+        if self.partials and (open_column := grid.partial()):
+            out.append(open_column)
+        if out:
+            frame = pd.DataFrame(out)
+            frame.insert(0, "stream", key[0])
+            yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def columns_of(events: DataFrame, frame: Frame, dt_ns: int, ring: int = 32_768, partials: bool = False) -> DataFrame:
+    """Finished columns of a streaming table (stream, seq, kind, ts_ns, levels, middle, price, size, side).
+
+    With ``partials`` each batch also gives the open column, ``final`` false.
+    """
+    return events.groupBy("stream").transformWithStateInPandas(GridProcessor(frame, dt_ns, ring, partials), OUTPUT, "Update" if partials else "Append", "None")
