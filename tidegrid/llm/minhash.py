@@ -6,9 +6,12 @@ two sets agree in a coordinate with the probability of their weighted Jaccard si
 coordinates that agree make two texts candidates, and the similarity of candidates is computed exactly.
 
 Plan: equal texts are collapsed first, by digest. In every bucket of a band, each text is compared with the
-bucket's least text only, so work is linear in the bucket. Then buckets that still hold texts of different
-components are searched pair by pair across components, which loses no link between different texts.
-Sets of shingles are made for candidates only.
+bucket's most central text only, so work is linear in the bucket. Buckets that still hold texts of different
+components are then searched across components. Of such pairs only those are compared that can be similar:
+distances of a metric differ by no more than the pair's own, so both must be about as far from the bucket's
+central text, and a sketch of their signatures must agree within four standard deviations. So no link between
+different texts is lost but by the chance that banding itself has. Sets of shingles are made for candidates
+only.
 
 Defined cases: texts without words (null, empty, white space) are in a class of their own row; texts of
 fewer words than a shingle are one shingle; repeated rows are kept, each with its class; rows with a null id
@@ -19,18 +22,20 @@ an empty table gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.components import connected
-from tidegrid.llm.shared import blocks, saved
+from tidegrid.llm.shared import blocks, discard, saved
 from tidegrid.llm.words import mix, shingles, words_of
 
-COORDINATES, BANDS = 64, 16
+#: 24 bands of 6: a pair of similarity 0.8 meets with probability 0.9993, one of 0.5 with 0.31, one of 0.3 with 0.017.
+COORDINATES, BANDS = 144, 24
 BLOCK_CHARS = 1 << 19
 #: Up to so many candidate texts, their ids (24 bytes each) are broadcast to the scan; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -108,12 +113,33 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
+SKETCH_WORDS = -(-COORDINATES // 32)
+
+
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """Two bits of each coordinate, 32 to an int64, filled up with zeros."""
+    n, k = signatures.shape
+    bits = np.zeros((n, 32 * -(-k // 32)), np.uint64)
+    bits[:, :k] = signatures & np.uint64(3)
+    shifted = bits.reshape(n, -1, 32) << (2 * np.arange(32, dtype=np.uint64))
+    return np.bitwise_or.reduce(shifted, axis=2).view(np.int64)
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """Number of coordinates whose two bits are equal: all that agree, and a quarter of the others by chance."""
+    total = F.lit(COORDINATES)
+    for i in range(SKETCH_WORDS):
+        x = a[i].bitwiseXOR(b[i])
+        total -= F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return total
+
+
 def _digest(text: str | None) -> bytes:
     return hashlib.md5((text or "").encode("utf-8", "replace"), usedforsecurity=False).digest()
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, weights: str) -> DataFrame:
-    """(id, digest, n shingles or their mass, band keys) of every row."""
+    """(id, digest, n shingles or their mass, band keys, sketch) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,10 +148,10 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, weights: st
                 h, t, w = weighted_shingles(texts[a:b], width, weights)
                 signatures, filled = dart_signatures(h, t, w, b - a)
                 keys = band_keys(signatures)
-                yield pd.DataFrame({"id": ids[a:b], "digest": [_digest(x) for x in texts[a:b]], "n": np.bincount(t, w, b - a), "keys": [k if f else None for k, f in zip(keys, filled)]})
+                yield pd.DataFrame({"id": ids[a:b], "digest": [_digest(x) for x in texts[a:b]], "n": np.bincount(t, w, b - a), "keys": [k if f else None for k, f in zip(keys, filled)], "sketch": list(sketches(signatures))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, digest binary, n double, keys array<long>")
+    return rows.mapInPandas(run, "id long, digest binary, n double, keys array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, text_col: str, width: int, weights: str) -> DataFrame:
@@ -158,13 +184,25 @@ def _similarity(weights: str):
     return low / (mass - low)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, width: int, weights: str, threshold: float) -> DataFrame:
-    """Those (u, v) of ``pairs`` whose exact similarity reaches the threshold, written to the shared folder."""
+def _compared(docs: DataFrame, pairs: DataFrame, text_col: str, width: int, weights: str) -> DataFrame:
+    """(u, v, similarity), exact, of ``pairs``, written to the shared folder."""
     needed = saved(pairs.select(F.col("u").alias("digest")).union(pairs.select("v")).distinct())
     sets = saved(_sets(docs, needed, text_col, width, weights))
     with_a = pairs.join(sets.select(F.col("digest").alias("u"), F.struct("shingles", "weights").alias("a")), "u")
     both = with_a.join(sets.select(F.col("digest").alias("v"), F.struct("shingles", "weights").alias("b")), "v")
-    return saved(both.where(_similarity(weights) >= threshold).select("u", "v"))
+    out = saved(both.select("u", "v", _similarity(weights).alias("similarity")))
+    discard(sets)
+    return out
+
+
+def mixed_buckets(labelled: DataFrame) -> DataFrame:
+    """(key, major) of buckets with texts of several components; ``major`` is the one with the most of them.
+
+    Pairs across components have an end outside the major one, so a large component is never paired with itself.
+    """
+    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
+    out = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("major"), F.count("*").alias("components"))
+    return out.where("components > 1").select("key", "major")
 
 
 def near_duplicates(
@@ -175,22 +213,40 @@ def near_duplicates(
     The class is named by its least id; its size counts rows.
     """
     signed = saved(_signed(docs, id_col, text_col, width, weights))
-    texts = saved(signed.where("keys IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("keys").alias("keys")))
-    rows = texts.select("digest", "n", F.explode("keys").alias("key"))
-    least = rows.groupBy("key").agg(F.min("digest").alias("v"), F.count("*").alias("size")).where("size > 1")
-    candidates = saved(rows.join(least, "key").where("digest != v").select(F.col("digest").alias("u"), "v").distinct())
-    links = _verified(docs, candidates, text_col, width, weights, threshold)
+    texts = saved(signed.where("keys IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("keys").alias("keys"), F.max("sketch").alias("sketch")))
+    rows = texts.select("digest", F.explode("keys").alias("key"))
+    several = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = rows.join(several, "key")
+    # The centre of a bucket is the text that meets most others over all its buckets: copies are nearest to it.
+    meets = members.groupBy("digest").agg(F.sum("size").alias("meets"))
+    members = saved(members.join(meets, "digest").select("key", "digest", "meets"))
+    centres = members.groupBy("key").agg(F.max(F.struct("meets", "digest")).alias("centre")).select("key", F.col("centre.digest").alias("v"))
+    members = saved(members.drop("meets").join(centres, "key"))
+    candidates = saved(members.where("digest != v").select(F.col("digest").alias("u"), "v").distinct())
+    options = (text_col, width, weights)
+    compared = _compared(docs, candidates, *options)
+    links = compared.where(F.col("similarity") >= threshold).select("u", "v")
     label = connected(links)
-    # Across the components that still share a bucket: every pair that was not compared yet.
-    labelled = rows.join(label.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", "n", F.coalesce("component", "digest").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    open_rows = saved(labelled.join(mixed, "key"))
-    a, b = (open_rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("digest", "n", "component"))) for x in "ab")
-    alike = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (F.col("component_a") < F.col("component_b"))
-    cross = a.join(b, "key").where(alike).select(F.greatest("digest_a", "digest_b").alias("u"), F.least("digest_a", "digest_b").alias("v")).distinct()
+    # Across the components that still share a bucket: every pair that can be similar and was not compared yet.
+    labelled = members.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    mixed = mixed_buckets(labelled)
+    to_centre = compared.withColumnRenamed("u", "digest")
+    open_rows = labelled.join(mixed, "key").join(to_centre, ["digest", "v"], "left").withColumn("similarity", F.when(F.col("digest") == F.col("v"), 1.0).otherwise(F.col("similarity")))
+    open_rows = saved(open_rows.join(texts.select("digest", "n", "sketch"), "digest").drop("v"))
+    a, b = (open_rows.select("key", "major", *(F.col(c).alias(f"{c}_{x}") for c in ("digest", "n", "component", "similarity", "sketch"))) for x in "ab")
+    a, b = a.where("component_a != major").drop("major"), b.drop("major")
+    share = threshold + (1 - threshold) / 4
+    least_agreement = COORDINATES * share - 4 * math.sqrt(COORDINATES * share * (1 - share))
+    can_be = (
+        (F.col("component_a") != F.col("component_b"))
+        & (F.abs(F.col("similarity_a") - F.col("similarity_b")) <= 1 - threshold + 1e-9)
+        & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+        & (agreement(F.col("sketch_a"), F.col("sketch_b")) >= least_agreement)
+    )
+    cross = a.join(b, "key").where(can_be).select(F.greatest("digest_a", "digest_b").alias("u"), F.least("digest_a", "digest_b").alias("v")).distinct()
     cross = saved(cross.join(candidates, ["u", "v"], "left_anti"))
     if not cross.isEmpty():
-        links = links.union(_verified(docs, cross, text_col, width, weights, threshold))
+        links = links.union(_compared(docs, cross, *options).where(F.col("similarity") >= threshold).select("u", "v"))
         label = connected(links)
     of_text = texts.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     classes = of_text.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))

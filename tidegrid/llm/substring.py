@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegrid.llm.components import connected
+from tidegrid.llm.minhash import mixed_buckets
 from tidegrid.llm.shared import blocks, saved
 from tidegrid.llm.words import Words, mix, windows, words_of
 
@@ -186,8 +187,9 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, least_words: in
     links = _verified(docs, candidates, places, *options)
     label = connected(links)
     labelled = shared.join(label.withColumnRenamed("node", "identity"), "identity", "left").select("key", "identity", F.coalesce("component", "identity").alias("component"))
-    a, b = (labelled.select("key", F.col("identity").alias(f"i_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
-    cross = a.join(b, "key").where("c_a < c_b").select(F.greatest("i_a", "i_b").alias("u"), F.least("i_a", "i_b").alias("v")).distinct()
+    open_rows = saved(labelled.join(mixed_buckets(labelled), "key"))
+    a, b = (open_rows.select("key", "major", F.col("identity").alias(f"i_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
+    cross = a.where("c_a != major").drop("major").join(b.drop("major"), "key").where("c_a != c_b").select(F.greatest("i_a", "i_b").alias("u"), F.least("i_a", "i_b").alias("v")).distinct()
     cross = saved(cross.join(candidates, ["u", "v"], "left_anti"))
     if not cross.isEmpty():
         links = links.union(_verified(docs, cross, places, *options))
