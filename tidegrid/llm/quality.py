@@ -53,9 +53,9 @@ class ByteConvolution:
             part = self.responses(data[start : start + BLOCK + CHUNK - STEP + WIDTH - 1])
             begins = np.arange(0, min(BLOCK, places - start), STEP)
             edges = np.empty(2 * len(begins), np.intp)
+            # A row of -inf at the end, so that every chunk has a place after its last.
+            part = np.concatenate([part, np.full((1, part.shape[1]), -np.inf, part.dtype)])
             edges[::2], edges[1::2] = begins, np.minimum(begins + CHUNK, len(part) - 1)
-            if edges[-1] <= edges[-2]:
-                edges = edges[:-1]
             found.append(np.maximum.reduceat(part, edges, axis=0)[::2])
         return np.maximum(np.concatenate(found) + self.bias, 0)
 
