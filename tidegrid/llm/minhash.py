@@ -9,9 +9,9 @@ Plan: equal texts are collapsed first, by digest. In every bucket of a band, eac
 bucket's most central text only, so work is linear in the bucket. Buckets that still hold texts of different
 components are then searched across components. Of such pairs only those are compared that can be similar:
 distances of a metric differ by no more than the pair's own, so both must be about as far from the bucket's
-central text, and a sketch of their signatures must agree within four standard deviations. So no link between
-different texts is lost but by the chance that banding itself has. Sets of shingles are made for candidates
-only.
+central text, a sketch of their signatures must agree within four standard deviations, and parity sketches of
+their sets may differ in no more bits than the sets in elements. So no link between different texts is lost but
+by the chance that banding itself has. Sets of shingles are made for candidates only.
 
 Defined cases: texts without words (null, empty, white space) are in a class of their own row; texts of
 fewer words than a shingle are one shingle; repeated rows are kept, each with its class; rows with a null id
@@ -125,6 +125,28 @@ def sketches(signatures: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(shifted, axis=2).view(np.int64)
 
 
+#: Words of 64 bits of a parity sketch.
+PARITY_WORDS = 8
+
+
+def parities(hashes: np.ndarray, text: np.ndarray, weights: np.ndarray, n_texts: int, words: int = PARITY_WORDS) -> np.ndarray:
+    """int64 of n_texts x words: each bit is the parity of the elements that hash to it.
+
+    Two sketches differ in at most as many bits as their sets differ in elements. An element of weight w
+    counts as floor(w) elements, so the bound holds for whole weights.
+    """
+    copies = weights.astype(np.int64)
+    owner = np.repeat(np.arange(len(copies)), copies)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(copies) - copies, copies)
+    bit = mix(hashes[owner] + number.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)) % np.uint64(64 * words)
+    odd = np.bincount(text[owner] * (64 * words) + bit.astype(np.int64), minlength=n_texts * 64 * words) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n_texts, -1), axis=1).view(np.int64)
+
+
+def differing_bits(a: Column, b: Column, words: int = PARITY_WORDS) -> Column:
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, words)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+
 def agreement(a: Column, b: Column) -> Column:
     """Number of coordinates whose two bits are equal: all that agree, and a quarter of the others by chance."""
     total = F.lit(COORDINATES)
@@ -155,7 +177,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, weights: st
 
 
 def _sets(docs: DataFrame, needed: DataFrame, text_col: str, width: int, weights: str) -> DataFrame:
-    """(digest, shingles, their weights) of the texts in ``needed`` (digest), one row each."""
+    """(digest, shingles, their weights, parity) of the texts in ``needed`` (digest), one row each."""
     rows = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("digest"), F.col(text_col).alias("text"))
     small = needed.count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(needed) if small else needed, "digest", "left_semi")
@@ -168,10 +190,10 @@ def _sets(docs: DataFrame, needed: DataFrame, text_col: str, width: int, weights
                     continue
                 if len(seen) < 100_000:
                     seen.add(digest)
-                h, _, w = weighted_shingles([text], width, weights)
-                yield pd.DataFrame({"digest": [digest], "shingles": [h.view(np.int64)], "weights": [None if weights == "set" else w]})
+                h, t, w = weighted_shingles([text], width, weights)
+                yield pd.DataFrame({"digest": [digest], "shingles": [h.view(np.int64)], "weights": [None if weights == "set" else w], "parity": list(parities(h, t, w, 1))})
 
-    return rows.mapInPandas(run, "digest binary, shingles array<long>, weights array<double>").dropDuplicates(["digest"])
+    return rows.mapInPandas(run, "digest binary, shingles array<long>, weights array<double>, parity array<long>").dropDuplicates(["digest"])
 
 
 def _similarity(weights: str):
@@ -184,15 +206,11 @@ def _similarity(weights: str):
     return low / (mass - low)
 
 
-def _compared(docs: DataFrame, pairs: DataFrame, text_col: str, width: int, weights: str) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, weights: str) -> DataFrame:
     """(u, v, similarity), exact, of ``pairs``, written to the shared folder."""
-    needed = saved(pairs.select(F.col("u").alias("digest")).union(pairs.select("v")).distinct())
-    sets = saved(_sets(docs, needed, text_col, width, weights))
     with_a = pairs.join(sets.select(F.col("digest").alias("u"), F.struct("shingles", "weights").alias("a")), "u")
     both = with_a.join(sets.select(F.col("digest").alias("v"), F.struct("shingles", "weights").alias("b")), "v")
-    out = saved(both.select("u", "v", _similarity(weights).alias("similarity")))
-    discard(sets)
-    return out
+    return saved(both.select("u", "v", _similarity(weights).alias("similarity")))
 
 
 def mixed_buckets(labelled: DataFrame) -> DataFrame:
@@ -223,8 +241,8 @@ def near_duplicates(
     centres = members.groupBy("key").agg(F.max(F.struct("meets", "digest")).alias("centre")).select("key", F.col("centre.digest").alias("v"))
     members = saved(members.drop("meets").join(centres, "key"))
     candidates = saved(members.where("digest != v").select(F.col("digest").alias("u"), "v").distinct())
-    options = (text_col, width, weights)
-    compared = _compared(docs, candidates, *options)
+    sets = saved(_sets(docs, saved(members.select("digest").distinct()), text_col, width, weights))
+    compared = _compared(candidates, sets, weights)
     links = compared.where(F.col("similarity") >= threshold).select("u", "v")
     label = connected(links)
     # Across the components that still share a bucket: every pair that can be similar and was not compared yet.
@@ -232,8 +250,9 @@ def near_duplicates(
     mixed = mixed_buckets(labelled)
     to_centre = compared.withColumnRenamed("u", "digest")
     open_rows = labelled.join(mixed, "key").join(to_centre, ["digest", "v"], "left").withColumn("similarity", F.when(F.col("digest") == F.col("v"), 1.0).otherwise(F.col("similarity")))
-    open_rows = saved(open_rows.join(texts.select("digest", "n", "sketch"), "digest").drop("v"))
-    a, b = (open_rows.select("key", "major", *(F.col(c).alias(f"{c}_{x}") for c in ("digest", "n", "component", "similarity", "sketch"))) for x in "ab")
+    open_rows = open_rows.join(texts.select("digest", "n", "sketch"), "digest").join(sets.select("digest", "parity"), "digest")
+    open_rows = saved(open_rows.drop("v"))
+    a, b = (open_rows.select("key", "major", *(F.col(c).alias(f"{c}_{x}") for c in ("digest", "n", "component", "similarity", "sketch", "parity"))) for x in "ab")
     a, b = a.where("component_a != major").drop("major"), b.drop("major")
     share = threshold + (1 - threshold) / 4
     least_agreement = COORDINATES * share - 4 * math.sqrt(COORDINATES * share * (1 - share))
@@ -242,12 +261,14 @@ def near_duplicates(
         & (F.abs(F.col("similarity_a") - F.col("similarity_b")) <= 1 - threshold + 1e-9)
         & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
         & (agreement(F.col("sketch_a"), F.col("sketch_b")) >= least_agreement)
+        & (differing_bits(F.col("parity_a"), F.col("parity_b")) <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
     )
     cross = a.join(b, "key").where(can_be).select(F.greatest("digest_a", "digest_b").alias("u"), F.least("digest_a", "digest_b").alias("v")).distinct()
     cross = saved(cross.join(candidates, ["u", "v"], "left_anti"))
     if not cross.isEmpty():
-        links = links.union(_compared(docs, cross, *options).where(F.col("similarity") >= threshold).select("u", "v"))
+        links = links.union(_compared(cross, sets, weights).where(F.col("similarity") >= threshold).select("u", "v"))
         label = connected(links)
+    discard(sets)
     of_text = texts.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     classes = of_text.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = of_text.join(classes, "component").select("digest", "class_id", "class_size")
