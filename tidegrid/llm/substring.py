@@ -6,13 +6,13 @@ bands of ``ROWS`` values, tuned so that a pair of similarity 0.8 is found with p
 that collide in a band are compared by exact Jaccard similarity, except those whose words are the same;
 the links make components, and in each component the first paragraph (by document, then place) stays.
 Repeats in other documents than the first one's are marked; a run of marked paragraphs, with less than
-``gap_words`` other words between two of them, is a repeated passage if it has ``run_words`` words or more. Short repeated sentences alone
-are left in place.
+``gap_words`` other words between two of them, is a repeated passage if it has ``run_words`` words or more.
+Short repeated sentences alone are left in place.
 
 Plan: the identity of a paragraph is the hash of its words, so equal ones collapse before and in every
 shuffle, however frequent. Each bucket links its members to its least member; members of different
-components that still share a bucket are compared pair by pair. Texts are read again for the paragraphs that
-must be compared, and only these move.
+components that still share a bucket are compared if their sizes and parity sketches allow similarity, which
+loses no link. Texts are read again for the paragraphs that must be compared, and only these move.
 
 Defined cases: null and empty texts have no paragraphs and stay as they are; repeated rows of one id count as
 one document each at the same place, so they do not mark each other; documents with a null id are neither
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegrid.llm.components import connected
-from tidegrid.llm.minhash import mixed_buckets
+from tidegrid.llm.minhash import differing_bits, mixed_buckets, parities
 from tidegrid.llm.shared import blocks, saved
 from tidegrid.llm.words import Words, mix, windows, words_of
 
@@ -43,6 +43,8 @@ LONGEST = 1000
 BLOCK_CHARS = 1 << 19
 #: Up to so many documents are named by broadcast to the scan that reads texts again; beyond, by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Words of 64 bits of a paragraph's parity sketch.
+PARITY_WORDS = 4
 #: Paragraphs that a task remembers having given the keys of.
 REMEMBERED = 300_000
 
@@ -133,7 +135,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, least_words: int, what: s
 
 
 def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """(identity, shingles) of the paragraphs in ``needed`` (identity, doc), from their documents."""
+    """(identity, shingles, parity) of the paragraphs in ``needed`` (identity, doc), from their documents."""
     wanted = needed.groupBy("doc").agg(F.collect_set("identity").alias("wanted"))  # at most the paragraphs of one document
     small = needed.select("doc").distinct().count() <= BROADCAST_ROWS
     ids = needed.select(F.col("doc").alias("id")).distinct()
@@ -151,18 +153,23 @@ def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, least
                 for t, wanted in enumerate(batch["wanted"][a:b]):
                     own = np.flatnonzero((words.text[first] == t) & np.isin(identity, wanted)) if len(first) else ()
                     out += [(identity[p], np.unique(windows(words.hashes[first[p] : last[p]], WIDTH)).view(np.int64)) for p in own if last[p] - first[p] >= WIDTH]
-                yield pd.DataFrame(out, columns=["identity", "shingles"])
+                shingles = [s.view(np.uint64) for _, s in out]
+                owner = np.repeat(np.arange(len(out)), list(map(len, shingles)))
+                found = pd.DataFrame(out, columns=["identity", "shingles"])
+                found["parity"] = list(parities(np.concatenate(shingles), owner, np.ones(len(owner)), len(out), PARITY_WORDS)) if out else []
+                yield found
 
-    return rows.mapInPandas(run, "identity long, shingles array<long>").dropDuplicates(["identity"])
+    return rows.mapInPandas(run, "identity long, shingles array<long>, parity array<long>").dropDuplicates(["identity"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, places: DataFrame, id_col: str, text_col: str, least_words: int, threshold: float) -> DataFrame:
-    ends = pairs.select(F.col("u").alias("identity")).union(pairs.select("v")).distinct()
-    ends = saved(ends)
+def _sets(docs: DataFrame, ends: DataFrame, places: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    """``_texts`` of the paragraphs in ``ends`` (identity), each from the least document that holds it; saved."""
     small = ends.count() <= BROADCAST_ROWS
     where = places.join(F.broadcast(ends) if small else ends, "identity").groupBy("identity").agg(F.min("doc").alias("doc"))
-    needed = saved(where)
-    sets = saved(_texts(docs, needed, id_col, text_col, least_words))
+    return saved(_texts(docs, saved(where), id_col, text_col, least_words))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     a, b = (sets.select(F.col("identity").alias(e), F.col("shingles").alias(f"s_{e}")) for e in "uv")
     common = F.size(F.array_intersect("s_u", "s_v"))
     alike = common >= threshold * (F.size("s_u") + F.size("s_v") - common)
@@ -183,16 +190,23 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, least_words: in
     keys = keys.withColumn("v", F.min("identity").over(bucket)).withColumn("w", F.max("identity").over(bucket))
     shared = saved(keys.where("v != w").select("key", "identity", "v").distinct())
     candidates = saved(shared.where("identity != v").select(F.col("identity").alias("u"), "v").distinct())
-    options = (id_col, text_col, least_words, threshold)
-    links = _verified(docs, candidates, places, *options)
+    sets = _sets(docs, saved(shared.select("identity").distinct()), places, id_col, text_col, least_words)
+    links = _verified(candidates, sets, threshold)
     label = connected(links)
     labelled = shared.join(label.withColumnRenamed("node", "identity"), "identity", "left").select("key", "identity", F.coalesce("component", "identity").alias("component"))
-    open_rows = saved(labelled.join(mixed_buckets(labelled), "key"))
-    a, b = (open_rows.select("key", "major", F.col("identity").alias(f"i_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
-    cross = a.where("c_a != major").drop("major").join(b.drop("major"), "key").where("c_a != c_b").select(F.greatest("i_a", "i_b").alias("u"), F.least("i_a", "i_b").alias("v")).distinct()
+    open_rows = labelled.join(mixed_buckets(labelled), "key")
+    open_rows = saved(open_rows.join(sets.select("identity", F.size("shingles").alias("n"), "parity"), "identity"))
+    a, b = (open_rows.select("key", "major", *(F.col(c).alias(f"{c}_{x}") for c in ("identity", "component", "n", "parity"))) for x in "ab")
+    a, b = a.where("component_a != major").drop("major"), b.drop("major")
+    can_be = (
+        (F.col("component_a") != F.col("component_b"))
+        & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+        & (differing_bits(F.col("parity_a"), F.col("parity_b"), PARITY_WORDS) <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    )
+    cross = a.join(b, "key").where(can_be).select(F.greatest("identity_a", "identity_b").alias("u"), F.least("identity_a", "identity_b").alias("v")).distinct()
     cross = saved(cross.join(candidates, ["u", "v"], "left_anti"))
     if not cross.isEmpty():
-        links = links.union(_verified(docs, cross, places, *options))
+        links = links.union(_verified(cross, sets, threshold))
         label = connected(links)
     # Classes of identities that repeat over documents, by themselves or by links.
     linked = firsts.join(label.withColumnRenamed("node", "identity"), "identity", "left").withColumn("component", F.coalesce("component", "identity"))
