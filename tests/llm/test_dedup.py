@@ -94,6 +94,34 @@ def test_weighted_signatures():
     assert abs((s[0] == s[1]).mean() - 2 / 4.5) < 0.04
 
 
+@pytest.mark.parametrize("words_of_64", [4, 8])
+def test_parity_sketches_never_differ_by_more_than_the_sets(spark, words_of_64):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    pool = rng.integers(1, 1 << 62, 900, dtype=np.uint64)
+    sets = [rng.choice(pool, n, replace=False) for n in (0, 1, 40, 41, 300, 880, 900)] + [pool[:40], pool[1:41]]
+    weights = [rng.integers(1, 4, len(s)).astype(float) for s in sets[:7]] + [np.ones(40)] * 2
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    sketch = minhash.parities(np.concatenate(sets), owner, np.concatenate(weights), len(sets), words_of_64).tolist()
+    pairs = [(i, j, sketch[i], sketch[j]) for i in range(len(sets)) for j in range(len(sets))]
+    frame = spark.createDataFrame(pairs, "i int, j int, a array<long>, b array<long>")
+    for r in frame.select("i", "j", minhash.differing_bits(F.col("a"), F.col("b"), words_of_64).alias("bits")).collect():
+        of = [dict(zip(sets[k].tolist(), weights[k])) for k in (r["i"], r["j"])]
+        apart = sum(abs(of[0].get(x, 0) - of[1].get(x, 0)) for x in of[0].keys() | of[1].keys())
+        assert r["bits"] <= apart and (r["bits"] - apart) % 2 == 0
+
+
+def test_large_groups_of_near_copies_keep_every_link(spark):
+    """Many edited copies of one text meet in the same buckets, also across components."""
+    rng = random.Random(21)
+    base = prose(rng, 70)
+    rows = list(enumerate([edited(rng, base, 0.035) for _ in range(150)] + [edited(rng, base, 0.012) for _ in range(50)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == brute_classes(rows)
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(5, 5), (None, 3)]
