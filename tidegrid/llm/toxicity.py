@@ -1,9 +1,12 @@
 """Operator 9: toxicity classifier, regularised by counterfactuals.
 
-Logistic regression on the presence of hashed words and character n-grams. In the sentences of labelled
-texts that name a group, the name is swapped for others of its kind, and the fit is penalised for any
-change of the score, so that naming a group counts neither way. Trained by follow-the-regularised-leader
-steps with an L1 penalty on a bounded sample of labelled texts.
+Logistic regression on hashed words and character n-grams, counted in windows of 16, 32 and 128 bytes
+that start every ``CELL`` bytes, so that they cover the whole text and overlap, and in sentences. The score
+of a text is that of the highest of them: clean text around a toxic phrase cannot outvote it, however long. In the sentences of
+labelled texts that name a group, the name is swapped for others of its kind, and the fit is penalised for
+any change of the score, so that naming a group counts neither way. Trained by follow-the-regularised-leader
+steps with an L1 penalty on a bounded sample of labelled texts: the first pass takes what is present in whole
+texts, the others the highest window or sentence of each.
 
 Defined cases: null and empty texts get the score of a text without features; a text without a label is
 scored but not learned from; with one class only in the labels the score is constant; texts of any length
@@ -23,6 +26,8 @@ from tidegrid.llm.words import mix, words_of
 
 DIMENSIONS = 1 << 18
 STRETCH = 1 << 18
+CELL = 8
+WINDOWS = (2, 4, 16)  # cells
 GRAMS = (4, 5)
 
 #: Names of groups that stand for one another in a counterfactual sentence.
@@ -40,23 +45,64 @@ IDENTITIES = (
     ("old", "young"),
 )
 _sentence = re.compile(r"[^.!?\n]+[.!?\n]*")
+_punctuation = re.compile(r"[.,;:!?\"'()]")
 
 
-def features(text: str | None) -> np.ndarray:
-    """Hashed dimensions of the words and n-grams in the text, each once per stretch at least, unsorted."""
+def located(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed dimensions of the words and n-grams in the text, unsorted, and the cell and the sentence in which each starts.
+
+    What equals one of the four before it is left out, so that rows of one character or word do not add up.
+    Stretches share their last cells, and the numbers of their cells are so far apart that windows do not.
+    """
     text = (text or "").lower()
-    found = []
+    most = max(WINDOWS)
+    found, cells, sentences = [], [], []
+    base = past = 0
     for start in range(0, len(text), STRETCH):
-        stretch = text[max(0, start - 64) : start + STRETCH]
+        stretch = text[max(0, start - most * CELL) : start + STRETCH]
         data = np.frombuffer(b" " + stretch.encode("utf-8", "replace") + b" ", np.uint8).astype(np.uint32)
+        cell = base + np.arange(len(data)) // CELL
+        stop = np.isin(data, np.frombuffer(b".!?\n", np.uint8))
+        sentence = past + np.concatenate([[0], np.cumsum(stop[:-1] & ~stop[1:])])
+        parts = []
         rolled = data
         for k in range(1, max(GRAMS)):
             rolled = rolled[:-1] * np.uint32(0x01000193) + data[k:]
             if k + 1 in GRAMS:
-                found.append((rolled * np.uint32(0x9E3779B1)) >> np.uint32(14))
-        words = words_of([re.sub(r"[.,;:!?\"'()]+", " ", stretch)]).hashes
-        found.append((mix(words) >> np.uint64(46)).astype(np.uint32))
-    return np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
+                parts.append(((rolled * np.uint32(0x9E3779B1)) >> np.uint32(14), np.arange(len(rolled))))
+        words = words_of([_punctuation.sub(" ", stretch)])
+        parts.append(((mix(words.hashes) >> np.uint64(46)).astype(np.uint32), words.starts + 1))
+        for at, places in parts:
+            new = np.ones(len(at), bool)
+            for k in range(1, 5):
+                new[k:] &= at[k:] != at[:-k]
+            found.append(at[new])
+            cells.append(cell[places[new]])
+            sentences.append(sentence[places[new]])
+        base, past = int(cell[-1]) + most, int(sentence[-1]) + 1
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(found).astype(np.int32), np.concatenate(cells), np.concatenate(sentences)
+
+
+def features(text: str | None) -> np.ndarray:
+    """Hashed dimensions of the words and n-grams in the text, each once per stretch at least, unsorted."""
+    return located(text)[0]
+
+
+def highest_window(weights: np.ndarray, cells: np.ndarray, sentences: np.ndarray) -> tuple[float, np.ndarray, int, int]:
+    """Largest sum of the weights in a window or a sentence; which numbers it is counted by, its first and the one after it."""
+    if not len(cells):
+        return 0.0, cells, 0, 0
+    out = []
+    for numbers, widths in ((cells, WINDOWS), (sentences, (1,))):
+        sums = np.concatenate([[0.0], np.cumsum(np.bincount(numbers, weights))])
+        for n in widths:
+            n = min(n, len(sums) - 1)
+            of = sums[n:] - sums[:-n]
+            at = int(of.argmax())
+            out.append((float(of[at]), numbers, at, at + n))
+    return max(out, key=lambda x: x[0])
 
 
 @dataclass
@@ -68,9 +114,9 @@ class ToxicityModel:
         return float(self.weights[present].sum()) + self.bias
 
     def score(self, text: str | None) -> float:
-        at = features(text)
-        at = np.unique(at[self.weights[at] != 0])
-        return float(1 / (1 + np.exp(-np.clip(self.logit(at), -40, 40))))
+        at, cells, sentences = located(text)
+        highest = highest_window(self.weights[at], cells, sentences)[0] + self.bias
+        return float(1 / (1 + np.exp(-np.clip(highest, -40, 40))))
 
 
 def counterfactuals(text: str, identities=IDENTITIES) -> list[tuple[str, str]]:
@@ -86,13 +132,15 @@ def fit(
 ) -> ToxicityModel:
     """``fairness`` weighs the squared change of the logit between a sentence and its counterfactual.
 
+    From the second pass on, a step is taken for the window or sentence with the highest logit of each text.
+
     Texts of the rarer class, if it is the toxic one, weigh up to ``most_weight`` times as much.
     """
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(DIMENSIONS, np.float32), 0.0 if not len(y) else (3.0 if y[0] else -3.0))
     balance = np.where(y == 1, min(most_weight, max(1.0, (1 - y).sum() / y.sum())), 1.0)
-    own = [np.append(np.unique(features(t)), DIMENSIONS) for t in texts]
+    own = [located(t) for t in texts]
     swaps = []  # of each text: dimensions that only one side of a pair has, with their sign
     for t in texts:
         pairs = [(np.unique(features(a)), np.unique(features(b))) for a, b in counterfactuals(t or "", identities)]
@@ -110,11 +158,17 @@ def fit(
         n[at] += squared
 
     rng = np.random.default_rng(seed)
-    for _ in range(passes):
+    for turn in range(passes):
         for i in rng.permutation(len(y)):
-            at = own[i]
+            at, cells, sentences = own[i]
+            if turn:
+                _, numbers, first, last = highest_window(current(at), cells, sentences)
+                at = at[(numbers >= first) & (numbers < last)]
+            at, count = np.unique(at, return_counts=True)
+            count = np.append(count if turn else np.ones(len(at)), 1.0)
+            at = np.append(at, DIMENSIONS)
             w = current(at)
-            step(at, w, np.full(len(at), balance[i] * (1 / (1 + np.exp(-np.clip(w.sum(), -40, 40))) - y[i])))
+            step(at, w, balance[i] * (1 / (1 + np.exp(-np.clip(w @ count, -40, 40))) - y[i]) * count)
             for at, sign in swaps[i]:
                 if len(at):
                     w = current(at)
