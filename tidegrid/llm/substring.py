@@ -9,14 +9,23 @@ Repeats in other documents than the first one's are marked; a run of marked para
 ``gap_words`` other words between two of them, is a repeated passage if it has ``run_words`` words or more.
 Short repeated sentences alone are left in place.
 
-Plan: the identity of a paragraph is the hash of its words, so equal ones collapse before and in every
+Cuts at stops lose what repeats inside a sentence, or in lines of few words. So windows of ``WINDOW`` words,
+whatever their punctuation, are looked up as well: of every ``CHOICE`` windows in a row the one of least hash
+is chosen, so copies choose the same ones, and any ``WINDOW + CHOICE - 1`` words that two documents share hold
+one. Windows that are the same in an earlier document are marked like paragraphs, up to ``CHOICE - 1`` words
+at either end of a copy are not, and a changed word leaves a gap under ``gap_words`` between two windows.
+Texts that similarity of 0.8 finds have 45 words or so between changes, so equal windows find their parts.
+In scripts without blanks between words each character counts as a word.
+
+Plan: windows need no bands, only one shuffle of their hashes, and only those that repeat are joined again. the identity of a paragraph is the hash of its words, so equal ones collapse before and in every
 shuffle, however frequent. Each bucket links its members to its least member; members of different
 components that still share a bucket are compared if their sizes and parity sketches allow similarity, which
 loses no link. Texts are read again for the paragraphs that must be compared, and only these move.
 
 Defined cases: null and empty texts have no paragraphs and stay as they are; repeated rows of one id count as
 one document each at the same place, so they do not mark each other; documents with a null id are neither
-marked nor kept as the first; texts of any length are read whole; a sentence of over ``LONGEST`` words is cut
+marked nor kept as the first; texts of any length are read whole; texts of under ``WINDOW`` words have no
+windows; a sentence of over ``LONGEST`` words is cut
 there; ties go to the smaller id, then the earlier place; an empty table gives no rows; extra columns are not
 read.
 """
@@ -40,6 +49,7 @@ from tidegrid.llm.words import Words, mix, windows, words_of
 BANDS, ROWS = 5, 2
 WIDTH = 5
 LONGEST = 1000
+WINDOW, CHOICE = 12, 6
 BLOCK_CHARS = 1 << 19
 #: Up to so many documents are named by broadcast to the scan that reads texts again; beyond, by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -49,6 +59,34 @@ PARITY_WORDS = 4
 REMEMBERED = 300_000
 
 
+#: Thai to Myanmar and Khmer, kana, and Han with its extensions.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_unspaced = re.compile(f"([{_UNSPACED}])")
+
+
+def spaced(text: str | None) -> str:
+    """The text with blanks around every character of a script without them."""
+    text = text or ""
+    return text if text.isascii() else _unspaced.sub(r" \1 ", text)
+
+
+def chosen_windows(words: Words) -> np.ndarray:
+    """Numbers of the first words of the windows that are looked up, in order; every one lies in one text."""
+    hashes = windows(words.hashes, WINDOW)
+    most = np.uint64(np.iinfo(np.uint64).max)
+    # WINDOW - 1 places without a window, CHOICE - 1 at least, lie between the windows of two texts.
+    hashes[words.text[: len(hashes)] != words.text[WINDOW - 1 :][: len(hashes)]] = most
+    edge = np.full(CHOICE - 1, most)
+    row = np.concatenate([edge, hashes, edge])
+    least, at = row.copy(), np.arange(len(row))
+    for k in range(1, CHOICE):
+        better = row[k:] < least[: len(row) - k]
+        least[: len(row) - k][better] = row[k:][better]
+        at[: len(row) - k][better] = np.flatnonzero(better) + k
+    chosen = np.unique(at[row[at] != most]) - len(edge)
+    return chosen
+
+
 def paragraphs(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the first word of each paragraph, and of the word after it: cut after a single . ! ? and at line ends."""
     encoded = [(t or "").encode("utf-8", "replace") for t in texts]
@@ -102,17 +140,25 @@ def _band_keys(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 def _scan(docs: DataFrame, id_col: str, text_col: str, least_words: int, what: str) -> DataFrame:
     """Paragraphs of every text. ``places``: (doc, place, words, identity); ``keys``: (identity, key) of every band.
 
+    ``windows`` gives the chosen windows of every text in the form of ``places``.
+
     A task gives the keys of a paragraph once, unless over ``REMEMBERED`` others came between.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            ids, texts = batch["id"].to_numpy(), batch["text"].tolist()
+            ids, texts = batch["id"].to_numpy(), list(map(spaced, batch["text"]))
             if len(seen) > REMEMBERED:
                 seen.clear()
             for a, b in blocks([len(t or "") for t in texts], BLOCK_CHARS):
                 words = words_of(texts[a:b])
+                if what == "windows":
+                    first = chosen_windows(words)
+                    text = words.text[first]
+                    identity = windows(words.hashes, WINDOW)[first].view(np.int64)
+                    yield pd.DataFrame({"doc": ids[a:b][text], "place": first - words.first[text], "words": np.full(len(first), WINDOW), "identity": identity})
+                    continue
                 first, last = paragraphs(texts[a:b], words)
                 use = last - first >= max(least_words, WIDTH)
                 identity = _identities(words, first, last).view(np.int64)
@@ -144,7 +190,7 @@ def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, least
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts = list(map(spaced, batch["text"]))
             for a, b in blocks([len(t or "") for t in texts], BLOCK_CHARS):
                 words = words_of(texts[a:b])
                 first, last = paragraphs(texts[a:b], words)
@@ -215,25 +261,36 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, least_words: in
     return places.join(classes, "identity").select("doc", "place", "words", "class_doc", "class_place")
 
 
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, place, words, class_doc, class_place) of every chosen window that stands in several documents."""
+    places = saved(_scan(docs, id_col, text_col, WINDOW, "windows"))
+    firsts = places.groupBy("identity").agg(F.min(F.struct("doc", "place")).alias("first"), F.max("doc").alias("last_doc")).where("last_doc != first.doc")
+    classes = saved(firsts.select("identity", F.col("first.doc").alias("class_doc"), F.col("first.place").alias("class_place")))
+    small = classes.count() <= BROADCAST_ROWS
+    return places.join(F.broadcast(classes) if small else classes, "identity").select("doc", "place", "words", "class_doc", "class_place")
+
+
 def repeated_passages(
     docs: DataFrame, threshold: float = 0.8, least_words: int = 6, run_words: int = 20, gap_words: int = 12, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(id, start, stop, n_words, first_doc) of every passage that repeats one of an earlier document.
 
     Words start..stop-1 of the document, counted from 0, are the passage; ``n_words`` of them are in marked
-    paragraphs. ``first_doc`` holds the first occurrence of the passage's first paragraph.
+    paragraphs or windows. ``first_doc`` holds the first occurrence of the passage's first one.
     """
-    marked = repeated_paragraphs(docs, threshold, least_words, id_col, text_col).where("doc != class_doc").dropDuplicates(["doc", "place"])
-    in_order = Window.partitionBy("doc").orderBy("place")
-    gap = F.col("place") - F.lag(F.col("place") + F.col("words")).over(in_order)
-    runs = marked.withColumn("run", F.sum(F.when(gap < gap_words, 0).otherwise(1)).over(in_order))
+    marked = repeated_paragraphs(docs, threshold, least_words, id_col, text_col).unionByName(repeated_windows(docs, id_col, text_col))
+    marked = marked.where("doc != class_doc").dropDuplicates(["doc", "place", "words"]).withColumn("end", F.col("place") + F.col("words"))
+    in_order = Window.partitionBy("doc").orderBy("place", "words")
+    past = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = marked.withColumn("past", past).withColumn("run", F.sum(F.when(F.col("place") - F.col("past") < gap_words, 0).otherwise(1)).over(in_order))
+    runs = runs.withColumn("words", F.greatest(F.lit(0), F.col("end") - F.greatest("place", F.coalesce("past", "place"))))  # that no row before has
     out = runs.groupBy("doc", "run").agg(
-        F.min("place").alias("start"), F.max(F.col("place") + F.col("words")).alias("stop"), F.sum("words").alias("n_words"), F.min_by("class_doc", "place").alias("first_doc")
+        F.min("place").alias("start"), F.max("end").alias("stop"), F.sum("words").alias("n_words"), F.min_by("class_doc", "place").alias("first_doc")
     )
     return out.where(F.col("n_words") >= run_words).select(F.col("doc").alias(id_col), "start", "stop", "n_words", "first_doc")
 
 
-_word = re.compile(r"[^\t\n\x0b\x0c\r ]+")
+_word = re.compile(rf"[{_UNSPACED}]|[^\t\n\x0b\x0c\r {_UNSPACED}]+")
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
