@@ -516,6 +516,12 @@ def fuzzy_rank(spark, sf_dir):
     return oq.fuzzy_rank(sa.directory(spark, sf_dir).where(oq.fuzzy_score("ring", F.col("symbol")) >= 500), "ring").select("id", *r6("score"))
 
 
+@query(None)
+def fuzzy_rank_all(spark, sf_dir):
+    """Best matches of a search, with loose ones and those by market."""
+    return oq.fuzzy_rank(sa.directory(spark, sf_dir), "ring").select("id", *r6("score"))
+
+
 @query(None)
 def fuzzy_loose(spark, sf_dir):
     """Scores of loose matches, whose letters come in order with others between."""
@@ -532,6 +538,14 @@ def venue_rank(spark, sf_dir):
     return oq.rank_venues(options, "venue1").withColumn("pos", place).select("id", "market", "pos")
 
 
+@query(None)
+def venue_rank_all(spark, sf_dir):
+    """Venues by the score of their names, with loose matches."""
+    options = sa.directory(spark, sf_dir).groupBy("market").agg(F.min("id").alias("id")).withColumn("label", F.col("market"))
+    place = F.row_number().over(Window.orderBy(F.desc("score"), F.length("market"), "market"))  # of at most 300 rows
+    return oq.rank_venues(options, "venue1").withColumn("pos", place).select("id", "market", "pos")
+
+
 @query("SELECT id, grp, CAST(CASE grp WHEN 'crypto' THEN 1 WHEN 'equity' THEN 2 ELSE 3 END AS INTEGER) AS group_rank, CAST(row_number() OVER (PARTITION BY grp ORDER BY id) AS INTEGER) AS pos FROM directory", "directory")
 def symbol_groups(spark, sf_dir):
     """Symbols in the order of their groups."""
