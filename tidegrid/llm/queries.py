@@ -125,7 +125,9 @@ def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest sign codes of every twentieth vector, among all vectors."""
-    codes = table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code(F.col("embedding")).alias("code"))
+    vectors = table(spark, sf_dir, "embeddings")
+    longest = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    codes = vectors.select("vec_id", hamming.sign_code(F.col("embedding"), max(1, -(-longest // 64))).alias("code"))
     return hamming.top_k(codes, codes.where("vec_id % 20 = 0"), k=10)
 
 
