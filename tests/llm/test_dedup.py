@@ -58,7 +58,7 @@ def test_classes_equal_brute_force(spark, rows):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, key string, n int")
     got = minhash.near_duplicates(docs)
     assert sorted((r["doc_id"], r["class_id"]) for r in got.collect()) == brute_classes(rows)
-    kept = {r["doc_id"] for r in minhash.deduplicated(docs, got).collect()}
+    kept = {r["doc_id"] for r in minhash.deduplicated(docs).collect()}
     assert kept == {c for _, c in brute_classes(rows)}
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
@@ -70,6 +70,27 @@ def test_repeated_ids_and_null_ids(spark):
     assert got == sorted([(1, 1, 3), (1, 1, 3), (None, 1, 3), (2, 2, 1), (None, None, 1)], key=str)
 
 
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(9)
+    a, b, c = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(1, a, "p"), (1, a, "p"), (1, b, "q"), (2, b, "q"), (None, c, "r"), (None, c, "r"), (None, None, "s"), (3, None, "t"), (3, " ", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string").selectExpr("doc_id", "text", "id", "1 AS digest", "2 AS no_id")
+    got = minhash.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["id"]) for r in got.collect()) == [("1", "p"), ("1", "q"), ("3", "t"), ("3", "u"), ("None", "r"), ("None", "s")]
+    assert minhash.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_one_bucket_of_many_components(spark):
+    """Texts that share a long middle meet in one bucket without being similar: links across its components are found."""
+    rng = random.Random(11)
+    middle = prose(rng, 120)
+    bases = [prose(rng, 60) + " " + middle for _ in range(12)]
+    rows = list(enumerate(t for b in bases for t in (b, edited(rng, b, 0.015))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(docs).collect()) == brute_classes(rows)
+
+
 def test_counts_as_weights(spark):
     a = prose(random.Random(2), 50)
     docs = spark.createDataFrame([(1, a), (2, " ".join([a] * 6)), (3, a)], "doc_id long, text string")

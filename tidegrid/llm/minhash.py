@@ -7,11 +7,12 @@ coordinates that agree make two texts candidates, and the similarity of candidat
 
 Plan: equal texts are collapsed first, by digest. In every bucket of a band, each text is compared with the
 bucket's most central text only, so work is linear in the bucket. Buckets that still hold texts of different
-components are then searched across components. Of such pairs only those are compared that can be similar:
+components are then searched across components. Texts meet there only within a bucket's classes of size, as
+similar sets are of about the same size, and of such pairs only those are compared that can be similar:
 distances of a metric differ by no more than the pair's own, so both must be about as far from the bucket's
-central text, a sketch of their signatures must agree within four standard deviations, and parity sketches of
-their sets may differ in no more bits than the sets in elements. So no link between different texts is lost but
-by the chance that banding itself has. Sets of shingles are made for candidates only.
+central text, and parity sketches of their sets may differ in no more bits than the sets in elements. All
+these are exact bounds, so no link between different texts is lost but by the chance that banding itself has.
+Sets of shingles are made for candidates only.
 
 Defined cases: texts without words (null, empty, white space) are in a class of their own row; texts of
 fewer words than a shingle are one shingle; repeated rows are kept, each with its class; rows with a null id
@@ -39,6 +40,8 @@ COORDINATES, BANDS = 144, 24
 BLOCK_CHARS = 1 << 19
 #: Up to so many candidate texts, their ids (24 bytes each) are broadcast to the scan; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Digests of texts that a task remembers having made the set of, in some 6 MB.
+REMEMBERED = 50_000
 
 
 def weighted_shingles(texts: list[str | None], width: int = 5, weights: str = "set") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,18 +116,6 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
-SKETCH_WORDS = -(-COORDINATES // 32)
-
-
-def sketches(signatures: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate, 32 to an int64, filled up with zeros."""
-    n, k = signatures.shape
-    bits = np.zeros((n, 32 * -(-k // 32)), np.uint64)
-    bits[:, :k] = signatures & np.uint64(3)
-    shifted = bits.reshape(n, -1, 32) << (2 * np.arange(32, dtype=np.uint64))
-    return np.bitwise_or.reduce(shifted, axis=2).view(np.int64)
-
-
 #: Words of 64 bits of a parity sketch.
 PARITY_WORDS = 8
 
@@ -147,21 +138,16 @@ def differing_bits(a: Column, b: Column, words: int = PARITY_WORDS) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, words)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
-def agreement(a: Column, b: Column) -> Column:
-    """Number of coordinates whose two bits are equal: all that agree, and a quarter of the others by chance."""
-    total = F.lit(COORDINATES)
-    for i in range(SKETCH_WORDS):
-        x = a[i].bitwiseXOR(b[i])
-        total -= F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return total
-
-
 def _digest(text: str | None) -> bytes:
     return hashlib.md5((text or "").encode("utf-8", "replace"), usedforsecurity=False).digest()
 
 
+def _text_digest(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
 def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, weights: str) -> DataFrame:
-    """(id, digest, n shingles or their mass, band keys, sketch) of every row."""
+    """(id, digest, n shingles or their mass, band keys) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -170,15 +156,15 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, weights: st
                 h, t, w = weighted_shingles(texts[a:b], width, weights)
                 signatures, filled = dart_signatures(h, t, w, b - a)
                 keys = band_keys(signatures)
-                yield pd.DataFrame({"id": ids[a:b], "digest": [_digest(x) for x in texts[a:b]], "n": np.bincount(t, w, b - a), "keys": [k if f else None for k, f in zip(keys, filled)], "sketch": list(sketches(signatures))})
+                yield pd.DataFrame({"id": ids[a:b], "digest": [_digest(x) for x in texts[a:b]], "n": np.bincount(t, w, b - a), "keys": [k if f else None for k, f in zip(keys, filled)]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, digest binary, n double, keys array<long>, sketch array<long>")
+    return rows.mapInPandas(run, "id long, digest binary, n double, keys array<long>")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, text_col: str, width: int, weights: str) -> DataFrame:
     """(digest, shingles, their weights, parity) of the texts in ``needed`` (digest), one row each."""
-    rows = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("digest"), F.col(text_col).alias("text"))
+    rows = docs.select(_text_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
     small = needed.count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(needed) if small else needed, "digest", "left_semi")
 
@@ -188,7 +174,7 @@ def _sets(docs: DataFrame, needed: DataFrame, text_col: str, width: int, weights
             for digest, text in zip(batch["digest"], batch["text"]):
                 if digest in seen:
                     continue
-                if len(seen) < 100_000:
+                if len(seen) < REMEMBERED:
                     seen.add(digest)
                 h, t, w = weighted_shingles([text], width, weights)
                 yield pd.DataFrame({"digest": [digest], "shingles": [h.view(np.int64)], "weights": [None if weights == "set" else w], "parity": list(parities(h, t, w, 1))})
@@ -223,15 +209,29 @@ def mixed_buckets(labelled: DataFrame) -> DataFrame:
     return out.where("components > 1").select("key", "major")
 
 
-def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, width: int = 5, weights: str = "set", id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """(id, class_id, class_size) of every row: near copies, also by way of others, have the same class.
+def size_class(n: Column, threshold: float) -> Column:
+    """Number of the class of sizes: sets as similar as ``threshold`` are in the same class or in neighbouring ones."""
+    return F.floor(F.log(F.greatest(n, F.lit(1e-9))) / (math.log(1 / threshold) * (1 + 1e-9)) if threshold < 1 else n)
 
-    The class is named by its least id; its size counts rows.
+
+def across(open_rows: DataFrame, name: str, threshold: float, can_be: Column) -> DataFrame:
+    """Distinct (u, v) of rows of one key in different components that ``can_be`` similar, u > v by ``name``.
+
+    ``open_rows`` have key, major, component, n, ``name`` and what ``can_be`` compares, with endings _a and _b.
+    Rows of the major component are paired with others only, and all only with rows of about their size.
     """
+    classed = open_rows.withColumn("class", size_class(F.col("n"), threshold))
+    a, b = (classed.select("key", "class", "major", *(F.col(c).alias(f"{c}_{x}") for c in open_rows.columns if c not in ("key", "major"))) for x in "ab")
+    a = a.where("component_a != major").withColumn("class", F.explode(F.array(*(F.col("class") + d for d in (-1, 0, 1)))))
+    alike_size = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
+    met = a.drop("major").join(b.drop("major"), ["key", "class"]).where((F.col("component_a") != F.col("component_b")) & alike_size & can_be)
+    return met.select(F.greatest(f"{name}_a", f"{name}_b").alias("u"), F.least(f"{name}_a", f"{name}_b").alias("v")).distinct()
+
+
+def _classified(docs: DataFrame, threshold: float, width: int, weights: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, digest, keys) of every row, and (digest, component, id, copies) of every text with words."""
     signed = saved(_signed(docs, id_col, text_col, width, weights))
-    texts = saved(signed.where("keys IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("keys").alias("keys"), F.max("sketch").alias("sketch")))
+    texts = saved(signed.where("keys IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("keys").alias("keys")))
     rows = texts.select("digest", F.explode("keys").alias("key"))
     several = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = rows.join(several, "key")
@@ -247,29 +247,29 @@ def near_duplicates(
     label = connected(links)
     # Across the components that still share a bucket: every pair that can be similar and was not compared yet.
     labelled = members.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    mixed = mixed_buckets(labelled)
     to_centre = compared.withColumnRenamed("u", "digest")
-    open_rows = labelled.join(mixed, "key").join(to_centre, ["digest", "v"], "left").withColumn("similarity", F.when(F.col("digest") == F.col("v"), 1.0).otherwise(F.col("similarity")))
-    open_rows = open_rows.join(texts.select("digest", "n", "sketch"), "digest").join(sets.select("digest", "parity"), "digest")
-    open_rows = saved(open_rows.drop("v"))
-    a, b = (open_rows.select("key", "major", *(F.col(c).alias(f"{c}_{x}") for c in ("digest", "n", "component", "similarity", "sketch", "parity"))) for x in "ab")
-    a, b = a.where("component_a != major").drop("major"), b.drop("major")
-    share = threshold + (1 - threshold) / 4
-    least_agreement = COORDINATES * share - 4 * math.sqrt(COORDINATES * share * (1 - share))
-    can_be = (
-        (F.col("component_a") != F.col("component_b"))
-        & (F.abs(F.col("similarity_a") - F.col("similarity_b")) <= 1 - threshold + 1e-9)
-        & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-        & (agreement(F.col("sketch_a"), F.col("sketch_b")) >= least_agreement)
-        & (differing_bits(F.col("parity_a"), F.col("parity_b")) <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
-    )
-    cross = a.join(b, "key").where(can_be).select(F.greatest("digest_a", "digest_b").alias("u"), F.least("digest_a", "digest_b").alias("v")).distinct()
-    cross = saved(cross.join(candidates, ["u", "v"], "left_anti"))
+    open_rows = labelled.join(mixed_buckets(labelled), "key").join(to_centre, ["digest", "v"], "left")
+    open_rows = open_rows.withColumn("similarity", F.when(F.col("digest") == F.col("v"), 1.0).otherwise(F.col("similarity"))).drop("v")
+    open_rows = saved(open_rows.join(texts.select("digest", "n"), "digest").join(sets.select("digest", "parity"), "digest"))
+    may_differ = (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    can_be = (F.abs(F.col("similarity_a") - F.col("similarity_b")) <= 1 - threshold + 1e-9) & (differing_bits(F.col("parity_a"), F.col("parity_b")) <= may_differ)
+    cross = saved(across(open_rows, "digest", threshold, can_be).join(candidates, ["u", "v"], "left_anti"))
     if not cross.isEmpty():
         links = links.union(_compared(cross, sets, weights).where(F.col("similarity") >= threshold).select("u", "v"))
         label = connected(links)
     discard(sets)
-    of_text = texts.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    of_text = texts.join(label.withColumnRenamed("node", "digest"), "digest", "left")
+    return signed, of_text.select("digest", F.coalesce("component", "digest").alias("component"), "id", "copies")
+
+
+def near_duplicates(
+    docs: DataFrame, threshold: float = 0.8, width: int = 5, weights: str = "set", id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """(id, class_id, class_size) of every row: near copies, also by way of others, have the same class.
+
+    The class is named by its least id; its size counts rows.
+    """
+    signed, of_text = _classified(docs, threshold, width, weights, id_col, text_col)
     classes = of_text.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = of_text.join(classes, "component").select("digest", "class_id", "class_size")
     with_words = signed.where("keys IS NOT NULL").join(named, "digest").select("id", "class_id", "class_size")
@@ -277,10 +277,24 @@ def near_duplicates(
     return with_words.union(alone).withColumnRenamed("id", id_col)
 
 
-def deduplicated(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names their class; of repeated rows with that id, one. Rows without an id stay."""
-    first = classes.where(F.col(id_col) == F.col("class_id")).groupBy(id_col).count()
-    kept = docs.join(first.select(id_col), id_col, "left_semi")
-    if not first.where("count > 1").isEmpty():  # ids that rows share: one of those rows stays
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+def deduplicated(
+    docs: DataFrame, threshold: float = 0.8, width: int = 5, weights: str = "set", id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """One row of each class of near copies, with all columns; rows whose texts have no words all stay.
+
+    The row of the least id stays, by the digest of its text where rows share that id; a class whose ids are
+    all null is kept by a row, too. Of rows equal in id and text any one stays.
+    """
+    signed, of_text = _classified(docs, threshold, width, weights, id_col, text_col)
+    first = of_text.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "digest")).alias("first"))
+    keepers = saved(first.select("first.no_id", "first.id", "first.digest"))
+    repeated = signed.where("keys IS NOT NULL").groupBy("id", "digest").agg(F.count("*").alias("rows")).where("rows > 1")
+    own = F.col(id_col).cast("long")
+    columns = [f"c{i}_" for i in range(len(docs.columns))]
+    named = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, columns)), own.isNull().alias("no_id"), F.coalesce(own, F.lit(0)).alias("id"), _text_digest(text_col).alias("digest"))
+    # Texts without words have no class: what lower case and trimming leave of them is white space.
+    wordless = F.rtrim(F.coalesce(F.col(columns[docs.columns.index(text_col)]), F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
+    kept = named.where(~wordless).join(keepers, ["no_id", "id", "digest"], "left_semi")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates(["no_id", "id", "digest"])
+    return kept.unionByName(named.where(wordless)).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, columns)))

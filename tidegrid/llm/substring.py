@@ -17,10 +17,12 @@ at either end of a copy are not, and a changed word leaves a gap under ``gap_wor
 Texts that similarity of 0.8 finds have 45 words or so between changes, so equal windows find their parts.
 In scripts without blanks between words each character counts as a word.
 
-Plan: windows need no bands, only one shuffle of their hashes, and only those that repeat are joined again. the identity of a paragraph is the hash of its words, so equal ones collapse before and in every
-shuffle, however frequent. Each bucket links its members to its least member; members of different
-components that still share a bucket are compared if their sizes and parity sketches allow similarity, which
-loses no link. Texts are read again for the paragraphs that must be compared, and only these move.
+Plan: windows need no bands, only one shuffle of their hashes, and only those that repeat are joined again.
+The identity of a paragraph is the hash of its words, so equal ones collapse before and in every shuffle,
+however frequent. Each bucket links its members to its least member; members of different components that
+still share a bucket meet by classes of size, and are compared if their sizes and parity sketches allow
+similarity, which loses no link. Texts are read again for the paragraphs that must be compared, and only
+these move.
 
 Defined cases: null and empty texts have no paragraphs and stay as they are; repeated rows of one id count as
 one document each at the same place, so they do not mark each other; documents with a null id are neither
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegrid.llm.components import connected
-from tidegrid.llm.minhash import differing_bits, mixed_buckets, parities
+from tidegrid.llm.minhash import across, differing_bits, mixed_buckets, parities
 from tidegrid.llm.shared import blocks, saved
 from tidegrid.llm.words import Words, mix, windows, words_of
 
@@ -55,8 +57,8 @@ BLOCK_CHARS = 1 << 19
 BROADCAST_ROWS = 1_000_000
 #: Words of 64 bits of a paragraph's parity sketch.
 PARITY_WORDS = 4
-#: Paragraphs that a task remembers having given the keys of.
-REMEMBERED = 300_000
+#: Paragraphs that a task remembers having given the keys of, in some 10 MB.
+REMEMBERED = 100_000
 
 
 #: Thai to Myanmar and Khmer, kana, and Han with its extensions.
@@ -242,14 +244,8 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, least_words: in
     labelled = shared.join(label.withColumnRenamed("node", "identity"), "identity", "left").select("key", "identity", F.coalesce("component", "identity").alias("component"))
     open_rows = labelled.join(mixed_buckets(labelled), "key")
     open_rows = saved(open_rows.join(sets.select("identity", F.size("shingles").alias("n"), "parity"), "identity"))
-    a, b = (open_rows.select("key", "major", *(F.col(c).alias(f"{c}_{x}") for c in ("identity", "component", "n", "parity"))) for x in "ab")
-    a, b = a.where("component_a != major").drop("major"), b.drop("major")
-    can_be = (
-        (F.col("component_a") != F.col("component_b"))
-        & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-        & (differing_bits(F.col("parity_a"), F.col("parity_b"), PARITY_WORDS) <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
-    )
-    cross = a.join(b, "key").where(can_be).select(F.greatest("identity_a", "identity_b").alias("u"), F.least("identity_a", "identity_b").alias("v")).distinct()
+    may_differ = (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    cross = across(open_rows, "identity", threshold, differing_bits(F.col("parity_a"), F.col("parity_b"), PARITY_WORDS) <= may_differ)
     cross = saved(cross.join(candidates, ["u", "v"], "left_anti"))
     if not cross.isEmpty():
         links = links.union(_verified(cross, sets, threshold))
