@@ -30,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near copies."""
-    return minhash.deduplicated(docs, saved(minhash.near_duplicates(docs, threshold=0.8, width=5)))
+    return minhash.deduplicated(docs, threshold=0.8, width=5)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
