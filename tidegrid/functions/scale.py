@@ -133,7 +133,8 @@ def make_hybrid(mid: Column, rows: int, core_rows: int, core_step: float, up_mul
 def band_frame(mid: Column, up: float, down: float, tick: float, rows: int) -> Column:
     """Struct (p0, tick_multiple) of a linear frame that covers mid·(1-down) … mid·(1+up); null where none can be made.
 
-    Rounding p0 to the grid can uncover the top by less than a row, so one of the next few multiples covers it.
+    The least multiple whose rows reach the top, after p0 is rounded to the grid. Rounding moves p0 by half a
+    step at most, so it lies between the multiples that reach the top with half a row more and half a row less.
     """
     lo, hi = mid * max(0.0, 1.0 - down), mid * (1.0 + up)
     span = (hi - lo) * BAND_MARGIN
@@ -143,7 +144,10 @@ def band_frame(mid: Column, up: float, down: float, tick: float, rows: int) -> C
         step = tick * multiple
         return F.struct((F.rint((mid - span / 2) / step) * step).alias("p0"), multiple.cast("int").alias("tick_multiple"))
 
-    tried = F.transform(F.sequence(first, first + 16), frame)
+    reach = hi - mid + span / 2
+    least, most = (F.ceil(reach / ((rows + more) * tick)).cast("long") for more in (0.5, -0.5))
+    start = F.greatest(first, least - 1)
+    tried = F.transform(F.sequence(start, F.greatest(start, most + 1)), frame)
     covering = F.filter(tried, lambda f: f["p0"] + rows * tick * f["tick_multiple"] >= hi)
     good = finite(mid) & (mid > 0) & finite(span) & (span > 0) & F.lit(rows > 0 and tick > 0)
     return F.when(good, F.element_at(covering, 1))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidegrid.functions.ints import floor_div
 from tidegrid.functions.scale import finite
+from tidegrid.operators.running import RANGE, running
 
 
 def signed_size() -> Column:
@@ -50,32 +51,39 @@ def cumulate(bars: DataFrame, dt_ns: int) -> DataFrame:
     )
 
 
-def as_of(left: DataFrame, right: DataFrame, values: list[str], key: str = "stream", order: tuple[str, ...] = ("ts_ns", "seq")) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, values: list[str], key: str = "stream", order: tuple[str, ...] = ("ts_ns", "seq"), span: int = RANGE) -> DataFrame:
     """``left`` with the values of the latest row of ``right`` before it; rows of ``right`` come first on ties of ``order[0]``.
 
-    A union and one window: the key's rows are sorted once and never paired.
+    A union and running values over ranges of ``span`` numbers of ``order[0]``: rows are sorted once and never paired.
     """
     tagged = left.withColumn("_right", F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType)).withColumn("_rank", F.lit(1))
     source = right.select(*(F.col(c) for c in (key, *order)), F.struct(*values).alias("_right"), F.lit(0).alias("_rank"))
-    before = Window.partitionBy(key).orderBy(order[0], "_rank", *order[1:]).rowsBetween(Window.unboundedPreceding, 0)
-    filled = tagged.unionByName(source, allowMissingColumns=True).withColumn("_right", F.last("_right", ignorenulls=True).over(before))
-    return filled.where("_rank = 1").select(*left.columns, *(F.col(f"_right.{v}").alias(v) for v in values))
+    both = tagged.unionByName(source, allowMissingColumns=True)
+    filled = running(both, (order[0], "_rank", *order[1:]), {"_found": ("last", F.col("_right"))}, key, span)
+    return filled.where("_rank = 1").select(*left.columns, *(F.col(f"_found.{v}").alias(v) for v in values))
 
 
 def trade_columns(trades: DataFrame, books: DataFrame, dt_ns: int) -> DataFrame:
     """Column of each trade: that of the latest book before it, as only books move time; before any book, its own."""
-    clamped = books.select("stream", "seq", "ts_ns", F.max("ts_ns").over(Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)).alias("eff"))
+    clamped = running(books.select("stream", "seq", "ts_ns"), ("seq",), {"eff": ("max", F.col("ts_ns"))}, peers=True)
     joined = as_of(trades, clamped, ["eff"], order=("seq",))
     return joined.withColumn("col_idx", floor_div(F.coalesce("eff", "ts_ns"), dt_ns)).drop("eff")
 
 
+def _moved(price: Column, before: Column) -> Column:
+    return F.when(price > before, 0).when(price < before, 1)
+
+
+def _assigned(trades: DataFrame, own: Column) -> DataFrame:
+    """Trades with the last side of their own that any had so far; the first buys."""
+    sided = running(trades.withColumn("_own", own), ("seq",), {"_side": ("last", F.col("_own"))})
+    return sided.withColumn("side", F.coalesce("_side", F.lit(0))).withColumn("side_src", F.lit(1)).drop("_own", "_side", "_before")
+
+
 def tick_rule(trades: DataFrame) -> DataFrame:
     """Trades with ``side`` inferred from the price: up buys, down sells, flat as before, the first buys."""
-    order = Window.partitionBy("stream").orderBy("seq")
-    before = F.lag("price").over(order)
-    moved = F.when(F.col("price") > before, 0).when(F.col("price") < before, 1)
-    side = F.coalesce(F.last(moved, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    return trades.withColumn("side", side).withColumn("side_src", F.lit(1))
+    priced = running(trades, ("seq",), {"_before": ("last", F.col("price"))}, before=True)
+    return _assigned(priced, _moved(F.col("price"), F.col("_before")))
 
 
 def quote_rule(trades: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -83,13 +91,9 @@ def quote_rule(trades: DataFrame, quotes: DataFrame) -> DataFrame:
 
     Prints at the middle, or before any finite quote, follow the tick rule; a flat one takes the last side assigned.
     """
-    joined = as_of(trades, quotes, ["bid_px", "ask_px"], order=("seq",))
-    order = Window.partitionBy("stream").orderBy("seq")
-    before = F.lag("price").over(order)
+    joined = running(as_of(trades, quotes, ["bid_px", "ask_px"], order=("seq",)), ("seq",), {"_before": ("last", F.col("price"))}, before=True)
     middle = F.when(finite(F.col("bid_px")) & finite(F.col("ask_px")), (F.col("bid_px") + F.col("ask_px")) / 2)
-    own = F.when(F.col("price") > middle, 0).when(F.col("price") < middle, 1).when(F.col("price") > before, 0).when(F.col("price") < before, 1)
-    side = F.coalesce(F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    return joined.withColumn("side", side).withColumn("side_src", F.lit(1)).drop("bid_px", "ask_px")
+    return _assigned(joined, F.coalesce(_moved(F.col("price"), middle), _moved(F.col("price"), F.col("_before")))).drop("bid_px", "ask_px")
 
 
 def large_threshold(trades: DataFrame, last: int = 200, quantile: float = 0.9, least: int = 12) -> DataFrame:
@@ -107,14 +111,14 @@ def seen_before(trades: DataFrame, window: int = 4096, id_col: str = "trade_id")
     named = F.coalesce(F.col(id_col), F.lit("")) != ""
     fresh = trades.where(named).withColumn("_n", F.row_number().over(Window.partitionBy("stream", id_col).orderBy("seq")))
     # Within a stream of distinct ids the window is counted in ids: place of the id among first sightings.
-    firsts = fresh.where("_n = 1").withColumn("_place", F.row_number().over(Window.partitionBy("stream").orderBy("seq"))).select("stream", id_col, F.col("seq").alias("_first"), "_place")
+    firsts = running(fresh.where("_n = 1"), ("seq",), {"_place": ("sum", F.lit(1))}).select("stream", id_col, F.col("seq").alias("_first"), "_place")
     placed = fresh.join(firsts, ["stream", id_col])
     passed = as_of(placed.drop("_n"), firsts.select("stream", F.col("_first").alias("seq"), F.col("_place").alias("_now")), ["_now"], order=("seq",))
     kept = passed.where((F.col("seq") == F.col("_first")) | (F.col("_now") - F.col("_place") >= window)).drop("_first", "_place", "_now")
     return kept.unionByName(trades.where(~named))
 
 
-def time_merge(books: DataFrame, trades: DataFrame) -> DataFrame:
-    """One stream of both in order of time; on ties books come first."""
+def time_merge(books: DataFrame, trades: DataFrame, span_ns: int = 3_600_000_000_000) -> DataFrame:
+    """One stream of both in order of time; on ties books come first. ``span_ns`` is the time that one task orders."""
     both = books.withColumn("type_rank", F.lit(0)).unionByName(trades.withColumn("type_rank", F.lit(1)), allowMissingColumns=True)
-    return both.withColumn("place", F.row_number().over(Window.partitionBy("stream").orderBy("ts_ns", "type_rank", "seq")))
+    return running(both, ("ts_ns", "type_rank", "seq"), {"place": ("sum", F.lit(1))}, span=span_ns)

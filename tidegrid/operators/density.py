@@ -8,11 +8,12 @@ from pyspark.sql.window import Window
 
 from tidegrid.functions.ints import floor_div
 from tidegrid.functions.scale import Scale, bin_row, finite, half_float
+from tidegrid.operators.running import running
 
 
 def clamp_time(updates: DataFrame) -> DataFrame:
     """Adds ``eff_ns``: late timestamps count as the latest one so far."""
-    return updates.withColumn("eff_ns", F.max("ts_ns").over(Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    return running(updates, ("seq",), {"eff_ns": ("max", F.col("ts_ns"))}, peers=True)
 
 
 def level_intervals(updates: DataFrame) -> DataFrame:
@@ -21,20 +22,16 @@ def level_intervals(updates: DataFrame) -> DataFrame:
     ``updates`` are (stream, seq, ts_ns, side, price, amount, is_snapshot): an amount sets its level, 0 removes it,
     a snapshot row first empties the book, and what comes before the first snapshot is ignored. Malformed
     levels are dropped. Rows of one ``seq`` belong together. A level ends with its next update or with the next
-    snapshot, so no book is ever put together.
+    snapshot, so no book is ever put together, and only the updates between two snapshots meet, level by level.
     """
-    timed = clamp_time(updates)
-    at_seq = Window.partitionBy("stream").orderBy("seq")
-    snap = F.when(F.col("is_snapshot"), F.struct("seq", "eff_ns"))
-    after = F.first(snap, ignorenulls=True).over(at_seq.rangeBetween(1, Window.unboundedFollowing))
-    before = F.last(snap, ignorenulls=True).over(at_seq.rangeBetween(Window.unboundedPreceding, 0))
-    known = timed.withColumn("_next", after).withColumn("_started", before).where("_started IS NOT NULL")
-    sound = known.where(finite(F.col("price")) & finite(F.col("amount")) & (F.col("price") > 0) & (F.col("amount") >= 0))
-    level = Window.partitionBy("stream", "side", "price").orderBy("seq")
-    follow = F.lead(F.struct("seq", "eff_ns")).over(level)
-    till = F.when(F.col("_follow.seq") < F.coalesce(F.col("_next.seq"), F.lit((1 << 63) - 1)), F.col("_follow.eff_ns")).otherwise(F.col("_next.eff_ns"))
-    spans = sound.withColumn("_follow", follow).where("amount > 0")
-    return spans.select("stream", "seq", "side", "price", F.col("amount").alias("size"), F.col("eff_ns").alias("from_ns"), till.alias("till_ns"))
+    snap = F.when(F.col("is_snapshot"), F.col("seq"))
+    timed = running(updates, ("seq",), {"eff_ns": ("max", F.col("ts_ns")), "_snap": ("max", snap)}, peers=True).where("_snap IS NOT NULL")
+    snapshots = timed.where("seq = _snap").groupBy("stream", "_snap").agg(F.max("eff_ns").alias("_at"))
+    ends = snapshots.select("stream", "_snap", F.lead("_at").over(Window.partitionBy("stream").orderBy("_snap")).alias("_end"))
+    sound = timed.where(finite(F.col("price")) & finite(F.col("amount")) & (F.col("price") > 0) & (F.col("amount") >= 0))
+    level = Window.partitionBy("stream", "_snap", "side", "price").orderBy("seq")
+    spans = sound.withColumn("_follow", F.lead("eff_ns").over(level)).where("amount > 0").join(ends, ["stream", "_snap"])
+    return spans.select("stream", "seq", "side", "price", F.col("amount").alias("size"), F.col("eff_ns").alias("from_ns"), F.coalesce("_follow", "_end").alias("till_ns"))
 
 
 def close_open(intervals: DataFrame, updates: DataFrame) -> DataFrame:
@@ -111,6 +108,17 @@ def profile(cells: DataFrame, col_lo: int, col_hi: int, row_lo: int, row_hi: int
     the row with the most, the lowest of equals.
     """
     inside = cells.where(F.col("col_idx").between(max(col_lo, col_hi - most_columns + 1), col_hi) & F.col("row").between(row_lo, row_hi))
+    return _profile(inside, width)
+
+
+def newest_profile(cells: DataFrame, columns: int, row_lo: int, row_hi: int, width: Scale | None = None) -> DataFrame:
+    """``profile`` over the newest ``columns`` columns of all streams together."""
+    newest = cells.agg(F.max("col_idx").alias("_newest"))  # one row
+    inside = cells.join(F.broadcast(newest), F.col("col_idx") > F.col("_newest") - columns)
+    return _profile(inside.where(F.col("row").between(row_lo, row_hi)), width)
+
+
+def _profile(inside: DataFrame, width: Scale | None) -> DataFrame:
     value = F.sum(F.col("bid") + F.col("ask"))
     out = inside.groupBy("stream", "row").agg(value.alias("value"))
     if width is not None:

@@ -142,8 +142,8 @@ def seen_id_dedup(spark, sf_dir):
 def time_merge(spark, sf_dir):
     """Books and trades as one stream; books come first on ties."""
     hour = lambda df: df.select("stream", "seq", F.floor(F.col("ts_ns") / HOUR).alias("ts_ns"))
-    out = ob.time_merge(hour(sa.level_updates(spark, sf_dir).where("seq % 5 = 0")), hour(sa.trades(spark, sf_dir)))
-    return out.select("stream", F.col("type_rank").alias("kind"), "seq", "place")
+    out = ob.time_merge(hour(sa.level_updates(spark, sf_dir).where("seq % 5 = 0")), hour(sa.trades(spark, sf_dir)), span_ns=24)
+    return out.select("stream", F.col("type_rank").alias("kind"), "seq", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id % 4) AS streams FROM events GROUP BY event_type")
@@ -228,9 +228,7 @@ def inside_quote(spark, sf_dir):
 )
 def profile_poc(spark, sf_dir):
     """Resting liquidity by row over the last 200 columns, and its point of control."""
-    c = cells(spark, sf_dir)
-    hi = c.agg(F.max("col_idx")).first()[0] or 0
-    return od.profile(c, hi - 199, hi, 10, 110).select("stream", "row", *r6("value"), "is_poc")
+    return od.newest_profile(cells(spark, sf_dir), 200, 10, 110).select("stream", "row", *r6("value"), "is_poc")
 
 
 @query("SELECT stream, col_idx, round(sum(bid + ask), 6) AS size FROM cells WHERE row BETWEEN 40 AND 47 GROUP BY stream, col_idx", "cells")
@@ -330,7 +328,7 @@ def hybrid_scale_build(spark, sf_dir):
 
 @query(
     """SELECT event_id, round(p0, 6) AS p0, tick_multiple FROM (SELECT event_id, tm AS tick_multiple, round_even((mid - span / 2) / (0.5 * tm), 0) * (0.5 * tm) AS p0, mid, 0.5 * tm AS step
-      FROM (SELECT event_id, mid, span, CAST(greatest(1, ceil(span / 64)) + j AS INTEGER) AS tm FROM (SELECT event_id, 50.0::DOUBLE + value AS mid, (50.0::DOUBLE + value) * 1.25 AS span, unnest(range(0, 17)) AS j FROM events)))
+      FROM (SELECT event_id, mid, span, CAST(greatest(1, ceil(span / 64)) + j AS INTEGER) AS tm FROM (SELECT event_id, mid, (mid * 1.5::DOUBLE - mid * 0.5::DOUBLE) * 1.25::DOUBLE AS span, unnest(range(0, 17)) AS j FROM (SELECT event_id, 50.0::DOUBLE + value AS mid FROM events))))
     WHERE p0 + 128 * step >= mid * 1.5 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY tick_multiple) = 1"""
 )
 def band_frames(spark, sf_dir):
