@@ -53,12 +53,46 @@ def test_reordered_passages_are_caught_and_clean_ones_are_not(spark):
     docs = [(10, f"{prose(50)} {moved} {prose(20)}"), (11, prose(300)), (12, None), (13, ""), (14, "a tiny ITEM here"), (15, " ".join(w[:14])), (10, items[4][1])]
     d = spark.createDataFrame([(i, t, "z") for i, t in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    for size in (decontam.SLICE_BYTES, 150):
+    for size in (decontam.SLICE_BYTES, 150, 1):
         got = sorted((r["doc_id"], r["item_id"], round(r["coverage"], 3), len(r["tiles"])) for r in decontam.contaminated(d, b, slice_bytes=size).collect())
         assert got == [(10, 1, 1.0, 3), (10, 5, 1.0, 1), (14, 2, 1.0, 1)]
     assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_repeated_words_are_joined_in_blocks(monkeypatch):
+    rng = random.Random(6)
+    item, doc = [rng.choice("ab") for _ in range(40)], [rng.choice("ab") for _ in range(120)]
+    whole = list(decontam.Benchmark([0], [" ".join(item)], 3).matches([" ".join(doc)]))
+    monkeypatch.setattr(decontam, "SEEDS", 5)
+    assert list(decontam.Benchmark([0], [" ".join(item)], 3).matches([" ".join(doc)])) == whole
+    assert [t for _, _, tiles in whole for t in tiles] == greedy(item, doc, 3)
+
+
+def test_equal_words_by_the_thousand_stay_in_memory():
+    import tracemalloc
+
+    index = decontam.Benchmark([0], ["a " * 300], 5)
+    tracemalloc.start()
+    ((_, _, tiles),) = index.matches(["a " * 20_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tiles == [(0, 0, 300)] and peak < 300 << 20
+
+
+def test_repeated_items_give_a_row_each(spark):
+    d = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, "two three four five six")] * 3 + [(None, "one two three four five")], "item_id long, text string")
+    assert sorted(str(r["item_id"]) for r in decontam.contaminated(d, b).collect()) == ["7", "7", "7", "None"]
+
+
+def test_letters_are_folded_one_by_one():
+    from tidegrid.llm.words import words_of
+
+    a, b = words_of(["İ É ΟΔΟΣ straße"]), words_of(["İ é οδοσ straße"])
+    assert a.hashes.tolist() == b.hashes.tolist()
+    assert words_of(["É"]).hashes[0] == a.hashes[1]
+
+
 URLS = ["http://www.example.com/en/x", "https://A.Example.COM/en/", "http://example.net/es/1?q", "http://example.net", "http://x.org/en/", None, "no scheme", "http://example.com#f", "http://example.net/fr/#/es/", "http://notexample.com/en/", "http://com/", "ftp://a?://b/net"]
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 

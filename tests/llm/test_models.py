@@ -33,6 +33,36 @@ def test_language_of_held_out_texts(docs):
     assert out[903]["lang_pred"] == "de" and 0 <= out[903]["score"] <= 1
 
 
+def test_letters_of_any_script_and_nothing_else_have_a_language():
+    model = langid.LanguageModel(["a", "b"], np.ones(langid.DIMENSIONS, np.float32), np.zeros((langid.DIMENSIONS, 2), np.float32), np.zeros(2, np.float32), 1.0)
+    for text in ("½ ²", "①", "Ⅷ", "\u0301", "12_3 €!", "", None):
+        assert model.predict(text) == ("und", 0.0), text
+    for text in ("x", "я", "語", "ª", "ʰ", "1 é 2"):
+        assert model.predict(text) == ("a", 0.5), text  # of equal scores the first in sorted order
+
+
+def test_every_language_is_learned_within_the_bound_of_bytes(spark):
+    rng = random.Random(8)
+    names = [f"l{i:03}" for i in range(230)]
+    own = {n: [rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 + rng.choice("bcdfgh") for _ in range(4)] for n in names}
+    rows = [(i, " ".join(rng.choice(own[n]) for _ in range(30)), n, 1.0) for i, n in enumerate(names * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, share_ double")
+    model = langid.train(docs, passes=1)
+    assert model.languages == names
+    sample = langid._sample(docs, "text", "lang", "doc_id", 1000, 40_000)
+    assert len(sample) < 0.6 * len(rows)
+
+
+def test_language_of_null_ids_and_empty_tables(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, sentence(random.Random(i), lang), lang) for i in range(8) for lang in ("en", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert langid.predict(docs, model, keep=(F.col("doc_id"),)).count() == 16
+    assert langid.predict(docs.limit(0), model, keep=(F.col("doc_id"),)).count() == 0
+
+
 def test_language_counts_do_not_depend_on_stretches(monkeypatch):
     text = "où est la bibliothèque " * 50
     whole = langid.counts_of(text)

@@ -5,8 +5,9 @@ hash. Seeds that join on a diagonal grow to maximal matches; the longest match i
 matches that overlap marked words are cut back, and what is left below the least match is dropped. The
 share of an item's words under tiles is its coverage, so passages in another order count in full.
 
-Items reach the scan by broadcast, in slices of at most ``SLICE_BYTES``; documents are neither shuffled nor
-gathered, so words, lines and passages of any frequency cost only their own length.
+Items are written to the shared folder in slices of about ``SLICE_BYTES``, one of which a task reads for its
+scan, so neither the driver nor a task holds the benchmark; documents are neither shuffled nor gathered, so
+words, lines and passages of any frequency cost only their own length. Seeds are joined ``SEEDS`` at a time.
 
 Defined cases: an item of fewer words than the least match is matched as a whole; null or empty items and
 documents match nothing; ties of length go to the earlier place in the item, then in the document; repeated
@@ -21,32 +22,37 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import blocks
+from tidegrid.llm.shared import blocks, shared_dir
 from tidegrid.llm.words import windows, words_of
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 BLOCK_CHARS = 1 << 19
+#: Pairs of equal seeds that are looked at together, in some 50 MB.
+SEEDS = 1 << 19
 _FILTER_BITS = 22
 
 
-def tile(item: np.ndarray, doc: np.ndarray, item_at: np.ndarray, doc_at: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(place in item, place in document, length) of the tiles, longest first, from seeds at the given places."""
-    same = (item[item_at[:, None] + np.arange(width)] == doc[doc_at[:, None] + np.arange(width)]).all(axis=1)
-    item_at, doc_at = item_at[same], doc_at[same]
-    order = np.lexsort((item_at, doc_at - item_at))
-    i, j = item_at[order], doc_at[order]
-    if not len(i):
-        return []
-    new = np.ones(len(i), bool)
-    new[1:] = (np.diff(i) != 1) | (np.diff(j - i) != 0)
+def joined_runs(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(item, place in item, place in document, seeds) of maximal runs, from runs of which some continue others."""
+    k, i, j, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((i, j - i, k))
+    k, i, j, n = k[order], i[order], j[order], n[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1] + n[:-1]) | (j[1:] - i[1:] != j[:-1] - i[:-1])
     at = np.flatnonzero(new)
-    lengths = np.diff(np.append(at, len(i))) + width - 1
-    queue = [(-int(n), int(a), int(b)) for n, a, b in zip(lengths, i[at], j[at])]
+    return k[at], i[at], j[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def tile(item_words: int, doc_words: int, i: np.ndarray, j: np.ndarray, lengths: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(place in item, place in document, length) of the tiles, longest first, from the maximal matches."""
+    queue = [(-int(n), int(a), int(b)) for n, a, b in zip(lengths, i, j)]
     heapq.heapify(queue)
-    free_item, free_doc, left = np.ones(len(item), bool), np.ones(len(doc), bool), len(item)
+    free_item, free_doc, left = np.ones(item_words, bool), np.ones(doc_words, bool), item_words
     tiles = []
     while queue and left >= width:
         n, a, b = heapq.heappop(queue)
@@ -84,7 +90,7 @@ class _Seeds:
 class Benchmark:
     def __init__(self, ids: list, texts: list[str | None], least_match: int):
         words = words_of(texts)
-        self.ids = ids
+        self.ids, self.words, self.first = ids, words.hashes, words.first[:-1]
         self.items = [words.hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
         self.seeds = []
         for width in sorted({min(least_match, len(w)) for w in self.items if len(w)}):
@@ -107,19 +113,26 @@ class Benchmark:
             for text in np.unique(words.text[found]):
                 start, stop = words.first[text], words.first[text + 1]
                 places = found[(found >= start) & (found < stop)]
+                runs = [(np.zeros(0, np.int64),) * 4]
                 low, high = (np.searchsorted(seeds.hashes, hashes[places], side) for side in ("left", "right"))
-                counts = high - low
-                entry = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-                doc_at = np.repeat(places - start, counts)
-                order = np.argsort(seeds.item[entry], kind="stable")
-                entry, doc_at = entry[order], doc_at[order]
-                item = seeds.item[entry]
-                cuts = np.flatnonzero(np.diff(item)) + 1
-                for e, d in zip(np.split(entry, cuts), np.split(doc_at, cuts)):
-                    k = int(seeds.item[e[0]])
-                    tiles = tile(self.items[k], words.hashes[start:stop], seeds.at[e], d, seeds.width)
-                    if tiles:
-                        yield int(text), k, tiles
+                for a, b in blocks((high - low).tolist(), SEEDS):
+                    runs.append(self._runs(seeds, words.hashes[start:stop], places[a:b] - start, low[a:b], high[a:b] - low[a:b]))
+                item, i, j, n = joined_runs(runs)
+                cuts = [0, *(np.flatnonzero(np.diff(item)) + 1).tolist(), len(item)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if b > a:
+                        k = int(item[a])
+                        yield int(text), k, tile(len(self.items[k]), int(stop - start), i[a:b], j[a:b], n[a:b] + seeds.width - 1, seeds.width)
+
+    def _runs(self, seeds: _Seeds, doc: np.ndarray, places: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Runs of the seeds at these places of a document, whose entries are low..low+counts-1; words are compared."""
+        entry = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        item, i, j = seeds.item[entry].astype(np.int64), seeds.at[entry], np.repeat(places, counts)
+        same = np.ones(len(j), bool)
+        for d in range(seeds.width):
+            same &= self.words[self.first[item] + i + d] == doc[j + d]
+        item, i, j = item[same], i[same], j[same]
+        return joined_runs([(item, i, j, np.ones(len(i), np.int64))])
 
 
 def contaminated(
@@ -130,22 +143,38 @@ def contaminated(
 
     A tile is (place in the item, place in the document, length), in words from 0.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0))).first()[0]
-    slices = max(1, -(-2 * size // slice_bytes)) if size > slice_bytes else 1
-    out = None
-    for s in range(slices):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == s).orderBy("item", "text").collect()
-        found = _scan(docs, Benchmark([r["item"] for r in part], [r["text"] for r in part], least_match), threshold, id_col, text_col, item_col)
-        out = found if out is None else out.union(found)
-    return out
-
-
-def _scan(docs: DataFrame, index: Benchmark, threshold: float, id_col: str, text_col: str, item_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
+    items = items.groupBy("item", "text").agg(F.count("*").alias("copies"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    slices = max(1, -(-size // slice_bytes))
+    folder = shared_dir(docs.sparkSession)
+    dealt = items.withColumn("slice", F.pmod(F.xxhash64("item", "text"), F.lit(slices)).cast("int"))
+    dealt.repartition(slices, "slice").sortWithinPartitions("item", "text").write.partitionBy("slice").parquet(folder)
+    out = _scan(docs, f"{folder}/slice=0", least_match, threshold, id_col, text_col)
+    for k in range(1, slices):
+        out = out.union(_scan(docs, f"{folder}/slice={k}", least_match, threshold, id_col, text_col))
+    repeated = out.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+    return repeated.withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+_held: dict[tuple[str, int], Benchmark] = {}
+
+
+def _read(folder: str, least_match: int) -> Benchmark:
+    """The slice in this folder; a worker holds the one it used last."""
+    if (folder, least_match) not in _held:
+        _held.clear()
+        fs, path = pafs.FileSystem.from_uri(folder)
+        rows = {"item": [], "text": [], "copies": []}
+        if fs.get_file_info(path).type == pafs.FileType.Directory:
+            rows = pq.ParquetDataset(path, filesystem=fs, partitioning=None).read(columns=list(rows)).to_pydict()
+        _held[folder, least_match] = Benchmark(list(zip(rows["item"], rows["copies"])), rows["text"], least_match)
+    return _held[folder, least_match]
+
+
+def _scan(docs: DataFrame, folder: str, least_match: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
+        index = _read(folder, least_match)
         for batch in batches:
             ids, texts = batch["id"].tolist(), batch["text"].tolist()
             rows = []
@@ -153,12 +182,12 @@ def _scan(docs: DataFrame, index: Benchmark, threshold: float, id_col: str, text
                 for t, k, tiles in index.matches(texts[a:b]):
                     covered, total = sum(n for *_, n in tiles), len(index.items[k])
                     if covered >= threshold * total:
-                        rows.append((ids[a + t], index.ids[k], total, covered, covered / total, [{"item_at": x, "doc_at": y, "length": n} for x, y, n in tiles]))
-            out = pd.DataFrame(rows, columns=["id", "item", "item_words", "covered_words", "coverage", "tiles"])
+                        rows.append((ids[a + t], *index.ids[k], total, covered, covered / total, [{"item_at": x, "doc_at": y, "length": n} for x, y, n in tiles]))
+            out = pd.DataFrame(rows, columns=["id", "item", "copies", "item_words", "covered_words", "coverage", "tiles"])
             for c in ("id", "item"):
                 out[c] = out[c].astype("Int64")
             yield out
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, item long, item_words int, covered_words int, coverage double, tiles array<struct<item_at:int,doc_at:int,length:int>>"
-    return rows.mapInPandas(run, schema).withColumnsRenamed({"id": id_col, "item": item_col})
+    schema = "id long, item long, copies long, item_words int, covered_words int, coverage double, tiles array<struct<item_at:int,doc_at:int,length:int>>"
+    return rows.mapInPandas(run, schema)

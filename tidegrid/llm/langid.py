@@ -2,8 +2,9 @@
 
 Multinomial logistic regression on TF-IDF weights of hashed character n-grams, trained by
 follow-the-regularised-leader with L1 and L2 penalties, then calibrated by one temperature.
-Document frequencies are counted over all documents that may be learned from; weights are fitted to a
-sample of ``per_language`` documents of each of the ``most_languages`` commonest languages.
+Document frequencies are counted over all documents that may be learned from; weights are fitted to a sample
+of about ``per_language`` documents of each language, and about ``most_bytes`` of text over all languages, of
+texts up to ``LONGEST_LEARNED`` bytes. Every language with such a text is learned.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; equal scores go to the
 language that comes first in sorted order; with nothing to learn from, every text is ``und``; texts of any
@@ -13,18 +14,19 @@ in a call are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 15
 STRETCH = 1 << 18
-_letter = re.compile(r"[^\W\d_]").search
+LONGEST_LEARNED = 1 << 16
+_letter = regex.compile(r"\p{L}").search
 UNKNOWN = "und"
 
 
@@ -92,13 +94,18 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
-def _sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int, most_languages: int) -> pd.DataFrame:
-    """About ``per_language`` documents of each common language, as n-gram counts, chosen by a hash of the id."""
-    sizes = docs.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not sizes:
-        return pd.DataFrame({"lang": [], "at": [], "n": []})
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))))
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20))
+def _sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int, most_bytes: int) -> pd.DataFrame:
+    """About ``per_language`` documents of each language, as n-gram counts, chosen by a hash of the id.
+
+    Languages share ``most_bytes`` evenly, so the driver holds a bounded amount however many there are.
+    """
+    size = F.coalesce(F.octet_length(text_col), F.lit(0))
+    fit_to_learn = docs.where(size <= LONGEST_LEARNED).select(id_col, text_col, lang_col)
+    totals = fit_to_learn.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    languages = totals.count()
+    share = F.least(F.lit(1.0), per_language / F.col("n"), most_bytes / max(1, languages) / F.greatest(F.lit(1), "bytes"))
+    chosen = fit_to_learn.join(F.broadcast(totals.select(F.col("lang").alias("lang_"), share.alias("share_"))), F.col(lang_col) == F.col("lang_"))  # a row a language
+    chosen = chosen.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1 << 20)) < F.col("share_") * (1 << 20))
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -112,13 +119,13 @@ def _sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang
 
 
 def train(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1000, most_languages: int = 200,
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1000, most_bytes: int = 1 << 24,
     passes: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, seed: int = 7,
 ) -> LanguageModel:
     """Fit to the rows of ``docs`` that have a language. A fifth of the sample sets the temperature alone."""
     known = docs.where(F.col(lang_col).isNotNull())
     frequency = document_frequencies(known, text_col)
-    sample = _sample(known, text_col, lang_col, id_col, per_language, most_languages)
+    sample = _sample(known, text_col, lang_col, id_col, per_language, most_bytes)
     languages = sorted(set(sample["lang"]))
     idf = (np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1).astype(np.float32)
     k = len(languages)
@@ -166,7 +173,7 @@ def train(
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """The kept columns, then lang_pred and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most most_languages x DIMENSIONS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each dimension and language
     kept = docs.select(*keep)
     rows = docs.select(F.col(text_col).alias("t"), *(c.alias(f"keep{i}") for i, c in enumerate(keep)))
     names = [f"keep{i}" for i in range(len(keep))]

@@ -74,11 +74,17 @@ def words_of(texts: Sequence[str | None]) -> Words:
 
 
 def _lower(text: str | None) -> bytes:
-    """Lower case in UTF-8, byte for byte at the same place as in the text itself."""
+    """Lower case in UTF-8, byte for byte at the same place as in the text itself.
+
+    Characters are folded one by one, and those whose lower case has another length stay as they are.
+    """
     if not text:
         return b""
     plain, lower = text.encode("utf-8", "replace"), text.lower().encode("utf-8", "replace")
-    return lower if len(lower) == len(plain) else plain
+    if len(lower) == len(plain) and "Σ" not in text:  # the one letter whose lower case depends on what follows
+        return lower
+    same_length = {ord(c): c.lower() for c in set(text) if len(c.lower().encode("utf-8", "replace")) == len(c.encode("utf-8", "replace"))}
+    return text.translate(same_length).encode("utf-8", "replace")
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
