@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import regex
@@ -27,7 +28,10 @@ SPLIT = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Pieces and spaced words that a worker keeps the ids of, each; twice as many where the older generation counts.
-CACHED_PIECES = 450_000
+#: An entry takes about 250 bytes, so a worker's tables take up to 60 MB.
+CACHED_PIECES = 60_000
+#: Longer pieces are not kept, so that entries stay small.
+LONGEST_CACHED = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -52,12 +56,17 @@ class _Cache(dict):
         found = self.older.get(piece)
         if found is None:
             found = self.compute(piece)
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = found
+        if len(piece) <= LONGEST_CACHED:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class Bpe:
     """Encoder and decoder of one vocabulary file; holds tables only, so a worker builds it once."""
@@ -165,19 +174,26 @@ class Bpe:
 _loaded: dict[str, Bpe] = {}
 
 
-def _load(path: str) -> Bpe:
+@contextmanager
+def _of_task(path: str) -> Iterator[Bpe]:
+    """The vocabulary's encoder for one task: a worker keeps its tables for the next one, but no cached pieces."""
     if path not in _loaded:
         _loaded[path] = Bpe(path)
-    return _loaded[path]
+    bpe = _loaded[path]
+    try:
+        yield bpe
+    finally:
+        bpe.pieces.forget()
+        bpe.words.forget()
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = _load(path)
-        for batch in batches:
-            yield pd.DataFrame({id_col: batch["id"], "ids": [bpe.encode(t or "") for t in batch["text"]]})
+        with _of_task(path) as bpe:
+            for batch in batches:
+                yield pd.DataFrame({id_col: batch["id"], "ids": [bpe.encode(t or "") for t in batch["text"]]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, f"`{id_col}` long, ids array<int>")
@@ -187,13 +203,20 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, text) of every array of ids; null ids give the empty text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = _load(path)
-        for batch in batches:
-            yield pd.DataFrame({id_col: batch["id"], "text": [bpe.decode(() if i is None else map(int, i)) for i in batch["ids"]]})
+        with _of_task(path) as bpe:
+            for batch in batches:
+                yield pd.DataFrame({id_col: batch["id"], "text": [bpe.decode(() if i is None else map(int, i)) for i in batch["ids"]]})
 
     return encoded.select(F.col(id_col).cast("long").alias("id"), "ids").mapInPandas(run, f"`{id_col}` long, text string")
 
 
+def _digests(bpe: Bpe, text: str) -> tuple[int, str, str]:
+    """Number of ids of a text, digest of the ids, and digest of the text that they decode to."""
+    joined = bpe.encode_joined(text)
+    decoded = bpe.decode_joined(joined).decode("utf-8", "replace")
+    return joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode every text, decode its ids, and return count and digests of both; ``keep`` columns follow.
 
@@ -201,19 +224,14 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = _load(path)
-        for batch in batches:
-            counts, of_ids, of_text = [], [], []
-            for text in batch["text"]:
-                joined = bpe.encode_joined(text or "")
-                counts.append(joined.count(",") + 1 if joined else 0)
-                of_ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded = bpe.decode_joined(joined)
-                of_text.append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
-            out = pd.DataFrame({id_col: batch["id"], "n_tokens": counts, "ids_sha256": of_ids, "decoded_sha256": of_text})
-            for i, name in enumerate(keep):
-                out[name] = batch[f"keep{i}"]
-            yield out
+        with _of_task(path) as bpe:
+            for batch in batches:
+                digested = [_digests(bpe, text or "") for text in batch["text"]]
+                out = pd.DataFrame(digested, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=batch.index)
+                out.insert(0, id_col, batch["id"])
+                for i, name in enumerate(keep):
+                    out[name] = batch[f"keep{i}"]
+                yield out
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)))
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
