@@ -106,7 +106,6 @@ def test_toxic_words_are_found_anywhere_and_group_names_do_not_count():
         assert 0 <= fair.score(odd) <= 1
 
 
-@pytest.mark.xfail(strict=True, reason="open: a long clean text outweighs half of the phrase that was learned; its score is about 0.02")
 def test_part_of_a_toxic_phrase_is_found_in_a_long_text():
     rng = random.Random(3)
     texts = [sentence(rng, "en") for _ in range(120)] + [sentence(rng, "en") + " you scum." for _ in range(60)]

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.shared import in_python
+
 #: The split pattern of byte-level BPE vocabularies of this kind.
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -196,7 +198,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pd.DataFrame({id_col: batch["id"], "ids": [bpe.encode(t or "") for t in batch["text"]]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"`{id_col}` long, ids array<int>")
+    return in_python(rows, run, f"`{id_col}` long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -207,7 +209,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
             for batch in batches:
                 yield pd.DataFrame({id_col: batch["id"], "text": [bpe.decode(() if i is None else map(int, i)) for i in batch["ids"]]})
 
-    return encoded.select(F.col(id_col).cast("long").alias("id"), "ids").mapInPandas(run, f"`{id_col}` long, text string")
+    return in_python(encoded.select(F.col(id_col).cast("long").alias("id"), "ids"), run, f"`{id_col}` long, text string")
 
 
 def _digests(bpe: Bpe, text: str) -> tuple[int, str, str]:
@@ -235,4 +237,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)))
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInPandas(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string{kept}")
+    return in_python(rows, run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string{kept}")

@@ -27,7 +27,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import blocks, shared_dir
+from tidegrid.llm.shared import blocks, in_python, shared_dir
 from tidegrid.llm.words import windows, words_of
 
 SLICE_BYTES = 8 << 20
@@ -190,4 +190,4 @@ def _scan(docs: DataFrame, folder: str, least_match: int, threshold: float, id_c
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, item long, copies long, item_words int, covered_words int, coverage double, tiles array<struct<item_at:int,doc_at:int,length:int>>"
-    return rows.mapInPandas(run, schema)
+    return in_python(rows, run, schema)

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.shared import in_python
+
 DIMENSIONS = 1 << 15
 STRETCH = 1 << 18
 LONGEST_LEARNED = 1 << 16
@@ -87,7 +89,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"at": at, "n": total[at]})
 
-    rows = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    rows = in_python(docs.select(F.col(text_col).alias("t")), count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(DIMENSIONS + 1, np.int64)
     for r in rows:  # at most one row per dimension
         out[r["at"]] = r["n"]
@@ -109,12 +111,15 @@ def _sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts = [counts_of(t or "") for t in batch["t"]]
-            at = [np.flatnonzero(c) for c in counts]
-            yield pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "at": [a.astype(np.int32) for a in at], "n": [c[a].astype(np.int32) for c, a in zip(counts, at)]})
+            found = []
+            for text in batch["t"]:
+                counts = counts_of(text or "")
+                at = np.flatnonzero(counts)
+                found.append((at.astype(np.int32), counts[at].astype(np.int32)))
+            yield pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "at": [a for a, _ in found], "n": [n for _, n in found]})
 
     rows = chosen.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
-    out = rows.mapInPandas(featurise, "id string, lang string, at array<int>, n array<int>").toPandas()
+    out = in_python(rows, featurise, "id string, lang string, at array<int>, n array<int>").toPandas()
     return out.sort_values(["id", "lang"], kind="stable", na_position="first").reset_index(drop=True)
 
 
@@ -186,5 +191,5 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
             yield out
 
     fields = "".join(f"keep{i} {f.dataType.simpleString()}, " for i, f in enumerate(kept.schema))
-    out = rows.mapInPandas(run, fields + "lang_pred string, score double")
+    out = in_python(rows, run, fields + "lang_pred string, score double")
     return out.select(*(F.col(f"keep{i}").alias(f.name) for i, f in enumerate(kept.schema)), "lang_pred", "score")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.components import connected
-from tidegrid.llm.shared import blocks, discard, saved
+from tidegrid.llm.shared import blocks, discard, in_python, saved
 from tidegrid.llm.words import mix, shingles, words_of
 
 #: 24 bands of 6: a pair of similarity 0.8 meets with probability 0.9993, one of 0.5 with 0.31, one of 0.3 with 0.017.
@@ -159,7 +159,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, weights: st
                 yield pd.DataFrame({"id": ids[a:b], "digest": [_digest(x) for x in texts[a:b]], "n": np.bincount(t, w, b - a), "keys": [k if f else None for k, f in zip(keys, filled)]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, digest binary, n double, keys array<long>")
+    return in_python(rows, run, "id long, digest binary, n double, keys array<long>")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, text_col: str, width: int, weights: str) -> DataFrame:
@@ -179,7 +179,7 @@ def _sets(docs: DataFrame, needed: DataFrame, text_col: str, width: int, weights
                 h, t, w = weighted_shingles([text], width, weights)
                 yield pd.DataFrame({"digest": [digest], "shingles": [h.view(np.int64)], "weights": [None if weights == "set" else w], "parity": list(parities(h, t, w, 1))})
 
-    return rows.mapInPandas(run, "digest binary, shingles array<long>, weights array<double>, parity array<long>").dropDuplicates(["digest"])
+    return in_python(rows, run, "digest binary, shingles array<long>, weights array<double>, parity array<long>").dropDuplicates(["digest"])
 
 
 def _similarity(weights: str):

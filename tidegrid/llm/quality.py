@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.shared import in_python
+
 WIDTH, FILTERS = 8, 16
 CHUNK, STEP = 256, 192
 BLOCK = STEP * 512
@@ -157,5 +159,5 @@ def score(docs: DataFrame, model, text_col: str = "text", keep: tuple[Column, ..
             yield out
 
     fields = "".join(f"keep{i} {f.dataType.simpleString()}, " for i, f in enumerate(kept.schema))
-    out = rows.mapInPandas(run, fields + "score double, predicted int")
+    out = in_python(rows, run, fields + "score double, predicted int")
     return out.select(*(F.col(f"keep{i}").alias(f.name) for i, f in enumerate(kept.schema)), "score", "predicted")

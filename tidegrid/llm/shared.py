@@ -28,6 +28,22 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Spark hands to Python at a time: texts of some KB make batches of some MB.
+BATCH_ROWS = 1000
+_BATCH_KEY, _SPARKS_OWN = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def in_python(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``rows.mapInPandas(run, schema)`` in small batches, as a batch is held several times over, in and out of the JVM.
+
+    The session's batch size is lowered to ``BATCH_ROWS`` where it is Spark's own; any other stays as it is.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH_KEY) == _SPARKS_OWN:
+        conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    return rows.mapInPandas(run, schema)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``saved`` that nothing will read again."""
     spark = df.sparkSession

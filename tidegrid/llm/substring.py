@@ -45,7 +45,7 @@ from pyspark.sql.window import Window
 
 from tidegrid.llm.components import connected
 from tidegrid.llm.minhash import across, differing_bits, mixed_buckets, parities
-from tidegrid.llm.shared import blocks, saved
+from tidegrid.llm.shared import blocks, in_python, saved
 from tidegrid.llm.words import Words, mix, windows, words_of
 
 BANDS, ROWS = 5, 2
@@ -179,7 +179,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, least_words: int, what: s
                     yield pd.DataFrame({"doc": ids[a:b][text], "place": first[use] - words.first[text], "words": (last - first)[use], "identity": identity[use]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    return rows.mapInPandas(run, "identity long, key long" if what == "keys" else "doc long, place int, words int, identity long")
+    return in_python(rows, run, "identity long, key long" if what == "keys" else "doc long, place int, words int, identity long")
 
 
 def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
@@ -207,7 +207,7 @@ def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, least
                 found["parity"] = list(parities(np.concatenate(shingles), owner, np.ones(len(owner)), len(out), PARITY_WORDS)) if out else []
                 yield found
 
-    return rows.mapInPandas(run, "identity long, shingles array<long>, parity array<long>").dropDuplicates(["identity"])
+    return in_python(rows, run, "identity long, shingles array<long>, parity array<long>").dropDuplicates(["identity"])
 
 
 def _sets(docs: DataFrame, ends: DataFrame, places: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
@@ -307,6 +307,7 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
     spans = passages.groupBy(id_col).agg(F.collect_list(F.struct("start", "stop")).alias("spans_")).withColumnRenamed(id_col, "cut_id_")
     columns = docs.columns
     joined = docs.join(spans, F.col(id_col) == F.col("cut_id_"), "left").drop("cut_id_")
-    cut = F.pandas_udf(lambda t, s: pd.Series([cut_out(x or "", [(y["start"], y["stop"]) for y in z]) for x, z in zip(t, s)]), "string")
-    left = joined.where("spans_ IS NOT NULL").withColumn(text_col, cut(F.col(text_col), F.col("spans_"))).where(F.trim(F.regexp_replace(text_col, r"\s+", " ")) != "")
-    return joined.where("spans_ IS NULL").unionByName(left).select(*columns)
+    # Not deterministic for the optimiser's sake: it would cut once for the filter and once more for the result.
+    cut = F.pandas_udf(lambda t, s: pd.Series([x if z is None else cut_out(x or "", [(y["start"], y["stop"]) for y in z]) for x, z in zip(t, s)], dtype=object), "string").asNondeterministic()
+    done = joined.withColumn(text_col, cut(F.col(text_col), F.col("spans_")))
+    return done.where(F.col("spans_").isNull() | (F.trim(F.regexp_replace(text_col, r"\s+", " ")) != "")).select(*columns)

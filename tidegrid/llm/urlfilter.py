@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.shared import in_python
+
 MOST_INDEX_BYTES = 64 << 20
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -168,7 +170,7 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, url_co
             yield batch
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parsed.schema)
-    out = parsed.mapInPandas(run, fields + ", rule string, verdict string")
+    out = in_python(parsed, run, fields + ", rule string, verdict string")
     return out.select(*(F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)), "host", "path", "rule", "verdict")
 
 

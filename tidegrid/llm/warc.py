@@ -32,7 +32,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import saved, shared_dir
+from tidegrid.llm.shared import in_python, saved, shared_dir
 
 BLOCK_LINES = 1024
 #: Names and line ends of the WARC 1.1 format.
@@ -138,7 +138,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
             file.close()
 
     fields = linked.select("id", "url", "payload", "digest", "refers_to")
-    return saved(fields.mapInPandas(run, "key string, record_id string, archive string, offset long, length long"))
+    return saved(in_python(fields, run, "key string, record_id string, archive string, offset long, length long"))
 
 
 def build_index(records: DataFrame, folder: str, lines: int = BLOCK_LINES) -> DataFrame:
@@ -173,7 +173,7 @@ def build_index(records: DataFrame, folder: str, lines: int = BLOCK_LINES) -> Da
             file.close()
 
     ordered = records.repartitionByRange("key", "record_id").sortWithinPartitions("key", "record_id")
-    return saved(ordered.mapInPandas(run, "first_key string, last_key string, file string, offset long, length long, n int"))
+    return saved(in_python(ordered, run, "first_key string, last_key string, file string, offset long, length long, n int"))
 
 
 def block_lines(ranges: _Ranges, file: str, offset: int, length: int) -> list[tuple[str, list]]:
@@ -217,7 +217,7 @@ def read_all(directory: DataFrame, payloads: bool = False) -> DataFrame:
         ranges.close()
 
     blocks = directory.select("file", "offset", "length").repartition(directory.sparkSession.sparkContext.defaultParallelism)
-    return blocks.mapInPandas(run, _SCHEMA + (", payload binary" if payloads else ""))
+    return in_python(blocks, run, _SCHEMA + (", payload binary" if payloads else ""))
 
 
 def lookup(directory: DataFrame, urls: DataFrame, url_col: str = "url", payloads: bool = True) -> DataFrame:
@@ -248,7 +248,7 @@ def lookup(directory: DataFrame, urls: DataFrame, url_col: str = "url", payloads
                         yield _frame([_read(ranges, k, p) for k, p in span], payloads)
         ranges.close()
 
-    return hits.mapInPandas(run, _SCHEMA + (", payload binary" if payloads else ""))
+    return in_python(hits, run, _SCHEMA + (", payload binary" if payloads else ""))
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
