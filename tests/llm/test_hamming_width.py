@@ -14,3 +14,32 @@ def test_all_components_count(spark, tmp_path):
     for q in (0, 20, 40):
         near = sorted((len(ones[q] ^ ones[i]), i) for i in ones if i != q)[:10]
         assert [got[q, k + 1] for k in range(10)] == near
+
+
+def test_one_code_of_many_rows_stays_in_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from tidegrid.llm.hamming import MultiIndex
+
+    rng = np.random.default_rng(2)
+    codes = np.concatenate([np.full((20_000, 1), 77, np.uint64), rng.integers(0, 1 << 16, (20_000, 1), dtype=np.uint64)])
+    ids = rng.permutation(len(codes))
+    index = MultiIndex(codes, ids)
+    tracemalloc.start()
+    q, found, distance = index.search(codes[::40], ids[::40], 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20 and len(q) == 10 * len(codes[::40])
+    for i in (0, 3, 499, 500, 777, 999):
+        near = sorted((int(d), int(j)) for d, j in zip(np.bitwise_count(codes[40 * i, 0] ^ codes[:, 0]), ids) if j != ids[40 * i])[:10]
+        assert list(zip(distance[q == i].tolist(), found[q == i].tolist())) == near
+
+
+def test_fewer_rows_than_neighbours(spark):
+    from tidegrid.llm import hamming
+
+    rows = spark.createDataFrame([(1, [5]), (2, [4]), (3, [5]), (3, [5]), (None, [5]), (4, None)], "vec_id long, code array<long>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in hamming.top_k(rows, rows.where("vec_id < 3"), k=9).collect())
+    assert got == [(1, 1, 3, 0), (1, 2, 3, 0), (1, 3, 2, 1), (2, 1, 1, 1), (2, 2, 3, 1), (2, 3, 3, 1)]

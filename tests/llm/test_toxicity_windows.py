@@ -52,3 +52,18 @@ def test_highest_window_against_every_window():
     sums += [weights[sentences == i].sum() for i in range(sentences.max() + 1)]
     best, numbers, first, last = toxicity.highest_window(weights, cells, sentences)
     assert np.isclose(best, max(sums)) and np.isclose(best, weights[(numbers >= first) & (numbers < last)].sum())
+
+
+def test_stretches_hold_no_words_of_their_own(monkeypatch):
+    rng = random.Random(8)
+    text = sentence(rng, 200) + " " + "x" * 700 + "\n" + sentence(rng, 100)
+    for size in (301, 512):
+        monkeypatch.setattr(toxicity, "STRETCH", size)
+        spans = toxicity._stretches(text, 128)
+        assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a < c <= b < d for (a, b), (c, d) in zip(spans, spans[1:]))
+    monkeypatch.setattr(toxicity, "STRETCH", 512)
+    spaced = sentence(rng, 400)
+    monkeypatch.undo()
+    whole = set(toxicity.features(spaced).tolist())
+    monkeypatch.setattr(toxicity, "STRETCH", 512)
+    assert set(toxicity.features(spaced).tolist()) == whole

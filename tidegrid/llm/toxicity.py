@@ -48,22 +48,39 @@ _sentence = re.compile(r"[^.!?\n]+[.!?\n]*")
 _punctuation = re.compile(r"[.,;:!?\"'()]")
 
 
+def _stretches(text: str, shared: int) -> list[tuple[int, int]]:
+    """(start, stop) of overlapping parts of about ``STRETCH`` characters, cut at white space if there is any in half of one."""
+    out, start = [], 0
+    while start < len(text):
+        stop = min(len(text), start + STRETCH)
+        if stop < len(text):
+            stop = 1 + (max(text.rfind(c, stop - STRETCH // 2, stop) for c in " \n\t") if any(c in text[stop - STRETCH // 2 : stop] for c in " \n\t") else stop - 1)
+        out.append((start, stop))
+        if stop == len(text):
+            break
+        back = max(text.rfind(c, start + 1, max(start + 2, stop - shared)) for c in " \n\t")
+        start = back if back > start else max(start + 1, stop - shared)
+    return out
+
+
 def located(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed dimensions of the words and n-grams in the text, unsorted, and the cell and the sentence in which each starts.
 
     What equals one of the four before it is left out, so that rows of one character or word do not add up.
-    Stretches share their last cells, and the numbers of their cells are so far apart that windows do not.
+    Stretches begin and end at white space and share their last cells; the numbers of their cells are so far
+    apart that windows do not.
     """
     text = (text or "").lower()
     most = max(WINDOWS)
     found, cells, sentences = [], [], []
     base = past = 0
-    for start in range(0, len(text), STRETCH):
-        stretch = text[max(0, start - most * CELL) : start + STRETCH]
-        data = np.frombuffer(b" " + stretch.encode("utf-8", "replace") + b" ", np.uint8).astype(np.uint32)
+    for start, stop in _stretches(text, most * CELL):
+        stretch = text[start:stop]
+        before, after = b" " * (start == 0), b" " * (stop == len(text))
+        data = np.frombuffer(before + stretch.encode("utf-8", "replace") + after, np.uint8).astype(np.uint32)
         cell = base + np.arange(len(data)) // CELL
-        stop = np.isin(data, np.frombuffer(b".!?\n", np.uint8))
-        sentence = past + np.concatenate([[0], np.cumsum(stop[:-1] & ~stop[1:])])
+        ends = np.isin(data, np.frombuffer(b".!?\n", np.uint8))
+        sentence = past + np.concatenate([[0], np.cumsum(ends[:-1] & ~ends[1:])])
         parts = []
         rolled = data
         for k in range(1, max(GRAMS)):
@@ -71,7 +88,7 @@ def located(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if k + 1 in GRAMS:
                 parts.append(((rolled * np.uint32(0x9E3779B1)) >> np.uint32(14), np.arange(len(rolled))))
         words = words_of([_punctuation.sub(" ", stretch)])
-        parts.append(((mix(words.hashes) >> np.uint64(46)).astype(np.uint32), words.starts + 1))
+        parts.append(((mix(words.hashes) >> np.uint64(46)).astype(np.uint32), words.starts + len(before)))
         for at, places in parts:
             new = np.ones(len(at), bool)
             for k in range(1, 5):
