@@ -152,7 +152,7 @@ def test_archives_give_back_what_was_written(spark, pages):
 def test_lookups_by_url(spark, pages):
     folder = shared_dir(spark)
     directory = warc.build_index(warc.write(pages, f"{folder}/a"), f"{folder}/i", lines=2)
-    assert directory.count() >= 3
+    assert sum(len(warc.directory_of(r["file"])) for r in directory.collect()) >= 3
     wanted = spark.createDataFrame([("http://b.org/x y",), ("https://a.B.org:80/q?z=1#f",), ("http://absent.org/",), (None,)], "url string")
     got = sorted((r["page_id"], r["record_type"], None if r["payload"] is None else bytes(r["payload"]).decode()[:8]) for r in warc.lookup(directory, wanted).collect())
     assert got == [(1, "response", "<p>one é"), (2, "response", ""), (3, "revisit", None), (9, "response", "two two ")]

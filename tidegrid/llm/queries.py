@@ -115,6 +115,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+ORACLE_SQL["op7_warc"] = """
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+linked AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM hashed)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hex, 1 + 10 * (i // 8), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM linked
+"""
+
+
 @query
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold half of a benchmark item or more, with the item."""

@@ -6,7 +6,8 @@ suffix that starts at a label and every path prefix as long as some rule's path,
 search; a hit counts only if the stored string is equal, so collisions of keys cannot matter. The longest
 rule that fits gives the verdict; where none fits, ``default`` does.
 
-An index of up to ``MOST_INDEX_BYTES`` is broadcast; a larger one is joined by key with the probes instead.
+An index of up to ``MOST_INDEX_BYTES`` is broadcast. A larger one is cut into arrays by ranges of keys, and each
+is built, mapped and probed in the task of its range, to which the distinct probes of that range go.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, so no rule fits; of rules equally
 long the one with the longer host wins; of repeated rules with different verdicts ``block`` wins; an empty
@@ -26,9 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import in_python
+from tidegrid.llm.shared import in_python, saved
 
 MOST_INDEX_BYTES = 64 << 20
+#: Probes that one range of keys should have at most, when the index is cut by ranges.
+PROBES = 1 << 20
+#: Fixed value: the seed of Spark's own xxhash64, which makes the same keys.
+SEED = 42
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,7 +49,7 @@ def path_of(url: Column) -> Column:
 
 
 def digest(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), SEED)
 
 
 class DigestArray:
@@ -118,16 +123,19 @@ def probes(host: str, path: str, path_lengths: list[int]) -> Iterator[tuple[str,
 _mapped: dict[str, DigestArray] = {}
 
 
-def _map(block: bytes) -> DigestArray:
-    """The index mapped from a file of this worker's own temporary folder, written once per process."""
+def _map(block: bytes, keep: bool = True) -> DigestArray:
+    """The index mapped from a file of this worker's own temporary folder; ``keep``: written once per process."""
     name = xxhash.xxh128_hexdigest(block)
-    if name not in _mapped:
-        handle, path = tempfile.mkstemp(prefix="urls-")
-        with os.fdopen(handle, "wb") as f:
-            f.write(block)
-        _mapped[name] = DigestArray(np.memmap(path, np.uint8, "r"))
-        os.unlink(path)
-    return _mapped[name]
+    if name in _mapped:
+        return _mapped[name]
+    handle, path = tempfile.mkstemp(prefix="urls-")
+    with os.fdopen(handle, "wb") as f:
+        f.write(block)
+    index = DigestArray(np.memmap(path, np.uint8, "r"))
+    os.unlink(path)
+    if keep:
+        _mapped[name] = index
+    return index
 
 
 def judge_array(hosts: list[str], paths: list[str], index: DigestArray, default: str) -> tuple[list[str | None], list[str]]:
@@ -158,7 +166,7 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, url_co
     if isinstance(rules, DataFrame):
         size = rules.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 21), F.lit(0))).first()[0]
         if size > most_index_bytes:
-            return _judge_joined(parsed, rules, keep, default)
+            return _judge_by_ranges(parsed, rules, keep, default, max(1, -(-size // max(1, most_index_bytes))))
         rules = [(r["host"], r["path"], r["verdict"]) for r in rules.select("host", "path", "verdict").collect()]
     shared = urls.sparkSession.sparkContext.broadcast(DigestArray.build(rules))
 
@@ -174,20 +182,37 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, url_co
     return out.select(*(F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)), "host", "path", "rule", "verdict")
 
 
-def _judge_joined(parsed: DataFrame, rules: DataFrame, keep: tuple[str, ...], default: str) -> DataFrame:
-    """The same for a list too large to broadcast: distinct (host, path) are probed by a join on the key."""
-    ascii_host = F.translate("host", ASCII_UPPER, ASCII_LOWER)
-    rules = rules.select(ascii_host.alias("host"), "path", "verdict").groupBy("host", "path").agg(F.max(F.col("verdict") == "block").alias("blocked"))
-    keyed = rules.select(F.xxhash64(F.concat("host", "path")).alias("key"), F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "blocked")
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+def _judge_by_ranges(parsed: DataFrame, rules: DataFrame, keep: tuple[str, ...], default: str, least_ranges: int) -> DataFrame:
+    """The same with an array for each range of keys. Distinct probes are judged once, whatever number of URLs has them."""
+    host = F.translate("host", ASCII_UPPER, ASCII_LOWER)
+    rules = rules.select(host.alias("host"), "path", "verdict").groupBy("host", "path").agg(F.max(F.col("verdict") == "block").alias("blocked"))
+    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # a row for each length of a path
     labels = F.split("host", r"\.")
     places = parsed.select("host", "path").where("host != ''").distinct()
-    suffixed = places.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
+    suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
-    probed = suffixed.withColumn("n", F.explode(fitting)).withColumn("prefix", F.expr("substring(path, 1, n)"))
-    hits = probed.withColumn("key", F.xxhash64(F.concat("suffix", "prefix"))).join(keyed, "key").where("rule_host = suffix AND rule_path = prefix")
-    rule = F.concat("rule_host", "rule_path")
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), F.length("rule_host").alias("h"), rule.alias("rule"), "blocked")).alias("best"))
+    probed = saved(places.withColumn("suffix", F.explode(suffix)).withColumn("n", F.explode(fitting)).withColumn("prefix", F.expr("substring(path, 1, n)")).drop("n"))
+    distinct = probed.select("suffix", "prefix").distinct()
+    ranges = max(least_ranges, -(-distinct.count() // PROBES))
+
+    def ranged(df: DataFrame, a: str, b: str) -> DataFrame:
+        high = F.shiftrightunsigned(F.xxhash64(F.concat(a, b)), 33)  # the leading 31 bits of the key
+        return df.withColumn("range", F.floor(high * ranges / F.lit(1 << 31)).cast("int"))
+
+    def run(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        index = _map(DigestArray.build([(h, p, "block" if b else "allow") for h, p, b in zip(own["host"], own["path"], own["blocked"])]), keep=False)
+        texts = [a + b for a, b in zip(asked["suffix"], asked["prefix"])]
+        found = index.find(np.array([digest(t) for t in texts], np.uint64), texts, np.array([len(a.encode("utf-8", "replace")) for a in asked["suffix"]], np.int64))
+        hit = np.flatnonzero(found >= 0)
+        out = asked[["suffix", "prefix"]].iloc[hit].copy()
+        out["blocked"] = index.blocked[found[hit]].astype(bool)
+        return out
+
+    asked, own = ranged(distinct, "suffix", "prefix"), ranged(rules, "host", "path")
+    hits = asked.groupBy("range").cogroup(own.groupBy("range")).applyInPandas(run, "suffix string, prefix string, blocked boolean")
+    text = F.concat("suffix", "prefix")
+    fit = probed.join(hits, ["suffix", "prefix"])
+    best = fit.groupBy("host", "path").agg(F.max(F.struct(F.length(text).alias("n"), F.length("suffix").alias("h"), text.alias("rule"), "blocked")).alias("best"))
     out = parsed.join(best, ["host", "path"], "left")
     verdict = F.when(F.col("best").isNull(), F.lit(default)).when(F.col("best.blocked"), "block").otherwise("allow")
     return out.select(*(F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)), "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))

@@ -2,9 +2,11 @@
 
 Archives are written by tasks, one gzip member per record, into the shared folder. The index has a line
 per record: reversed-host URL key, record id, archive, offset, length. Its lines are sorted by key over all
-tasks, cut into blocks of ``BLOCK_LINES`` that are compressed one by one, and a sparse directory keeps the
-first key and the place of each block. A lookup finds its block by binary search in the directory, reads
-that range, finds its lines by binary search in the block, and reads the ranges of the records.
+tasks and cut into blocks of ``BLOCK_LINES`` that are compressed one by one; each index file has a sparse
+directory beside it with the first key and the place of each of its blocks. A lookup is sent to the index files
+whose range holds its key, finds its block by binary search in the directory, reads that range, finds its
+lines by binary search in the block, and reads the ranges of the records. The driver holds a row for each
+index file at most, and a URL that many records share has its lines in several of them.
 
 Records with equal payloads: the one with the least id is a response, the others are revisits of it.
 Equal payloads meet by digest in a join that Spark may split, and payloads move once.
@@ -142,11 +144,12 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
 
 def build_index(records: DataFrame, folder: str, lines: int = BLOCK_LINES) -> DataFrame:
-    """Write the sorted index in compressed blocks; returns the directory (first_key, last_key, file, offset, length, n), saved."""
+    """Write the sorted index in compressed blocks, with a directory for each file; returns the files (first_key, last_key, file, n), saved."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         uri, file, offset = f"{folder}/{uuid.uuid4().hex}.cdx", None, 0
         held: list[tuple] = []
+        places: list[list] = []  # first key, last key, offset and length of each block
 
         def block():
             nonlocal file, offset
@@ -157,23 +160,33 @@ def build_index(records: DataFrame, folder: str, lines: int = BLOCK_LINES) -> Da
             part, held[:] = held[:lines], held[lines:]
             data = zlib.compress("\n".join(f"{key} {json.dumps(rest)}" for key, *rest in part).encode(), 6)
             file.write(data)
-            row = (part[0][0], part[-1][0], uri, offset, len(data), len(part))
+            places.append([part[0][0], part[-1][0], offset, len(data)])
             offset += len(data)
-            return row
 
+        n = 0
         for batch in batches:
             held += batch[["key", "record_id", "archive", "offset", "length"]].itertuples(index=False, name=None)
-            out = []
+            n += len(batch)
             while len(held) >= lines:
-                out.append(block())
-            yield pd.DataFrame(out, columns=["first_key", "last_key", "file", "offset", "length", "n"])
+                block()
         if held:
-            yield pd.DataFrame([block()], columns=["first_key", "last_key", "file", "offset", "length", "n"])
+            block()
         if file is not None:
             file.close()
+            fs, path = _open(uri + ".dir")
+            with fs.open_output_stream(path, compression=None) as out:
+                out.write(zlib.compress(json.dumps(places).encode(), 6))
+            yield pd.DataFrame([(places[0][0], places[-1][1], uri, n)], columns=["first_key", "last_key", "file", "n"])
 
     ordered = records.repartitionByRange("key", "record_id").sortWithinPartitions("key", "record_id")
-    return saved(in_python(ordered, run, "first_key string, last_key string, file string, offset long, length long, n int"))
+    return saved(in_python(ordered, run, "first_key string, last_key string, file string, n long"))
+
+
+def directory_of(file: str) -> list[list]:
+    """[first key, last key, offset, length] of the blocks of an index file, in order."""
+    fs, path = _open(file + ".dir")
+    with fs.open_input_stream(path, compression=None) as f:
+        return json.loads(zlib.decompress(f.read()))
 
 
 def block_lines(ranges: _Ranges, file: str, offset: int, length: int) -> list[tuple[str, list]]:
@@ -203,56 +216,68 @@ def _frame(rows: list[tuple], payloads: bool) -> pd.DataFrame:
     return out if payloads else out.drop(columns="payload")
 
 
-def read_all(directory: DataFrame, payloads: bool = False) -> DataFrame:
+def read_all(files: DataFrame, payloads: bool = False) -> DataFrame:
     """Every record that the index knows, block by block; archives are read in the order of their offsets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranges = _Ranges()
         for batch in batches:
-            for file, offset, length in zip(batch["file"], batch["offset"], batch["length"]):
-                found = block_lines(ranges, file, offset, length)
-                for at in range(0, len(found), 64):
-                    part = sorted(found[at : at + 64], key=lambda x: x[1][1:])
-                    yield _frame([_read(ranges, key, place) for key, place in part], payloads)
+            for file in batch["file"]:
+                for *_, offset, length in directory_of(file):
+                    yield from _records(ranges, block_lines(ranges, file, offset, length), payloads)
         ranges.close()
 
-    blocks = directory.select("file", "offset", "length").repartition(directory.sparkSession.sparkContext.defaultParallelism)
-    return in_python(blocks, run, _SCHEMA + (", payload binary" if payloads else ""))
+    dealt = files.select("file").repartition(files.sparkSession.sparkContext.defaultParallelism)
+    return in_python(dealt, run, _SCHEMA + (", payload binary" if payloads else ""))
+
 
+def _records(ranges: _Ranges, lines: list[tuple[str, list]], payloads: bool) -> Iterator[pd.DataFrame]:
+    for at in range(0, len(lines), 64):
+        part = sorted(lines[at : at + 64], key=lambda x: x[1][1:])
+        yield _frame([_read(ranges, key, place) for key, place in part], payloads)
 
-def lookup(directory: DataFrame, urls: DataFrame, url_col: str = "url", payloads: bool = True) -> DataFrame:
+
+def lookup(files: DataFrame, urls: DataFrame, url_col: str = "url", payloads: bool = True) -> DataFrame:
     """The records of every distinct URL in ``urls``.
 
-    The directory is spread by ranges of keys; each URL goes to the blocks whose keys may hold it by a join on
-    the range's number, so neither side is gathered. Within a block both steps are binary searches.
+    Each key goes to the index files whose ranges may hold it. Keys arrive sorted by file, so a task opens one
+    directory after another, and a block once for all its keys.
     """
-    n = 256
-    edges = [r["first_key"] for r in directory.select("first_key").sort("first_key").toLocalIterator()]
-    cuts = edges[:: max(1, len(edges) // n)]  # at most about 2 n keys
-    place = F.udf(lambda key: max(0, bisect.bisect_right(cuts, key) - 1), "int")
-    key_of = F.udf(url_key, "string")
-    low, high = place("first_key"), place("last_key")
-    blocks = directory.withColumn("range", F.explode(F.sequence(F.greatest(low - 1, F.lit(0)), high)))
-    wanted = urls.select(key_of(url_col).alias("key")).distinct().withColumn("range", place("key"))
-    hits = wanted.join(blocks, "range").where("key >= first_key AND key <= last_key").select("key", "file", "offset", "length").distinct()
+    known = sorted(map(tuple, files.select("first_key", "last_key", "file").collect()))  # a row for each task that wrote the index
+    firsts, lasts = [f for f, *_ in known], [last for _, last, _ in known]
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = set(map(url_key, batch["url"]))
+            out = [(k, i) for k in keys for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))]
+            yield pd.DataFrame(out, columns=["key", "number"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranges = _Ranges()
+        ranges, number, blocks_, at, found, keys = _Ranges(), None, [], None, [], []
         for batch in batches:
-            for (file, offset, length), group in batch.groupby(["file", "offset", "length"]):
-                found = block_lines(ranges, file, int(offset), int(length))
-                keys = [k for k, _ in found]
-                for key in group["key"]:
-                    span = found[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
-                    if span:
-                        yield _frame([_read(ranges, k, p) for k, p in span], payloads)
+            for key, of in zip(batch["key"], batch["number"]):
+                if of != number:
+                    number, at = of, None
+                    blocks_ = directory_of(known[of][2])
+                    ends = [b[1] for b in blocks_]
+                place = bisect.bisect_left(ends, key)
+                while place < len(blocks_) and blocks_[place][0] <= key:
+                    if place != at:
+                        at, found = place, block_lines(ranges, known[of][2], *blocks_[place][2:])
+                        keys = [k for k, _ in found]
+                    yield from _records(ranges, found[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)], payloads)
+                    place += 1
         ranges.close()
 
-    return in_python(hits, run, _SCHEMA + (", payload binary" if payloads else ""))
+    wanted = in_python(urls.select(F.col(url_col).alias("url")), route, "key string, number int").distinct()
+    # Numbered, so that the tasks are as many as asked for: each reads archives, however small the keys are.
+    tasks = max(len(known), wanted.sparkSession.sparkContext.defaultParallelism)
+    dealt = wanted.repartitionByRange(tasks, "number", "key").sortWithinPartitions("number", "key")
+    return in_python(dealt, run, _SCHEMA + (", payload binary" if payloads else ""))
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write all pages, index them, and read every record back through the index."""
+    """Write all pages, index them, and look the records of every page's URL up again."""
     folder = shared_dir(pages.sparkSession)
-    directory = build_index(write(pages, f"{folder}/archives", least_bytes=least_bytes), f"{folder}/index")
-    return read_all(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    files = build_index(write(pages, f"{folder}/archives", least_bytes=least_bytes), f"{folder}/index")
+    return lookup(files, pages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
