@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from tidegrid.llm.shared import in_python, saved, shared_dir
 
 BLOCK_LINES = 1024
+#: Records that a lookup reads together, in the order of their places in the archives.
+READ_LINES = 1024
 #: Names and line ends of the WARC 1.1 format.
 VERSION, CRLF = "WARC/1.1", b"\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -90,21 +93,26 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _Ranges:
-    """Reads of byte ranges; the file read last stays open."""
+    """Reads of byte ranges; the files read last stay open."""
+
+    MOST = 16
 
     def __init__(self):
-        self.name, self.file = None, None
+        self.open: dict[str, pa.NativeFile] = {}
 
     def read(self, uri: str, offset: int, length: int) -> bytes:
-        if uri != self.name:
+        file = self.open.pop(uri, None)
+        if file is None:
             fs, path = _open(uri)
-            self.close()
-            self.name, self.file = uri, fs.open_input_file(path)
-        return self.file.read_at(length, offset)
+            file = fs.open_input_file(path)
+            if len(self.open) >= self.MOST:
+                self.open.pop(next(iter(self.open))).close()
+        self.open[uri] = file  # the last one in order of use
+        return file.read_at(length, offset)
 
     def close(self) -> None:
-        if self.file:
-            self.file.close()
+        for file in self.open.values():
+            file.close()
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -232,9 +240,9 @@ def read_all(files: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def _records(ranges: _Ranges, lines: list[tuple[str, list]], payloads: bool) -> Iterator[pd.DataFrame]:
+    lines = sorted(lines, key=lambda x: x[1][1:])
     for at in range(0, len(lines), 64):
-        part = sorted(lines[at : at + 64], key=lambda x: x[1][1:])
-        yield _frame([_read(ranges, key, place) for key, place in part], payloads)
+        yield _frame([_read(ranges, key, place) for key, place in lines[at : at + 64]], payloads)
 
 
 def lookup(files: DataFrame, urls: DataFrame, url_col: str = "url", payloads: bool = True) -> DataFrame:
@@ -253,7 +261,7 @@ def lookup(files: DataFrame, urls: DataFrame, url_col: str = "url", payloads: bo
             yield pd.DataFrame(out, columns=["key", "number"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranges, number, blocks_, at, found, keys = _Ranges(), None, [], None, [], []
+        ranges, number, blocks_, at, found, keys, wanted = _Ranges(), None, [], None, [], [], []
         for batch in batches:
             for key, of in zip(batch["key"], batch["number"]):
                 if of != number:
@@ -265,8 +273,12 @@ def lookup(files: DataFrame, urls: DataFrame, url_col: str = "url", payloads: bo
                     if place != at:
                         at, found = place, block_lines(ranges, known[of][2], *blocks_[place][2:])
                         keys = [k for k, _ in found]
-                    yield from _records(ranges, found[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)], payloads)
+                    wanted += found[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
                     place += 1
+                    if len(wanted) >= READ_LINES:
+                        yield from _records(ranges, wanted, payloads)
+                        wanted = []
+        yield from _records(ranges, wanted, payloads)
         ranges.close()
 
     wanted = in_python(urls.select(F.col(url_col).alias("url")), route, "key string, number int").distinct()
