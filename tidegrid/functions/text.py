@@ -79,6 +79,17 @@ def snapped_speed(x: Column) -> Column:
     return out
 
 
+def next_speed(x: Column, by: int = 1) -> Column:
+    """The speed after ``x`` (before it, with ``by`` -1), round and round."""
+    place = F.array_position(F.array(*map(F.lit, SPEEDS)), snapped_speed(x)) - 1
+    return F.element_at(F.array(*map(F.lit, SPEEDS)), (F.pmod(place + by, F.lit(len(SPEEDS))) + 1).cast("int"))
+
+
+def price_decimals(step: Column) -> Column:
+    """Digits that tell prices one step apart: 0 to 8, and 2 for a step that is none."""
+    return F.when(step > 0, F.least(F.lit(8), F.greatest(F.lit(0), F.ceil(-F.log10(step))))).otherwise(2).cast("int")
+
+
 def seek_target(fraction: Column, start_ns: Column, end_ns: Column) -> Column:
     """Time at a fraction of a span, in steps of a millionth of it."""
     f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction))

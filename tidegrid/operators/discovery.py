@@ -104,8 +104,9 @@ def resolve_symbols(wanted: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def with_capability(entries: DataFrame, capabilities: DataFrame) -> DataFrame:
-    """Entries joined to the capability of their class of markets: one row per class, so it is broadcast."""
-    return entries.withColumn("grp", market_group(F.col("market"))).join(F.broadcast(capabilities), "grp", "left")
+    """Entries joined to the capability of their class of markets; of a class listed twice, one."""
+    one = capabilities.where(F.col("grp").isin(*GROUPS)).dropDuplicates(["grp"])  # so at most a row for each of the fixed groups
+    return entries.withColumn("grp", market_group(F.col("market"))).join(F.broadcast(one), "grp", "left")
 
 
 def capability_chips(depth: Column, tape: Column, side: Column) -> Column:
@@ -133,6 +134,13 @@ def movers(quoted: DataFrame, limit: int = 20) -> DataFrame:
     return quoted.where("change_pct IS NOT NULL").orderBy(F.desc(F.abs("change_pct")), "stream").limit(limit)
 
 
+def merged_movers(first: DataFrame, second: DataFrame, limit: int = 14) -> DataFrame:
+    """(place, and the columns of both) of two markets' largest changes, ``limit`` of each, as one list."""
+    both = first.orderBy(F.desc(F.abs("change_pct")), "stream").limit(limit).unionByName(second.orderBy(F.desc(F.abs("change_pct")), "stream").limit(limit))
+    order = Window.orderBy(F.desc(F.abs(F.coalesce("change_pct", F.lit(0.0)))), "stream")  # of at most twice the limit
+    return both.withColumn("place", F.row_number().over(order))
+
+
 def fresh(quoted: DataFrame, now_ns: int, ttl_ns: int) -> DataFrame:
     """Quotes with ``stale``: older than the time to live."""
     return quoted.withColumn("stale", F.lit(now_ns) - F.col("as_of") > ttl_ns)

@@ -9,27 +9,63 @@ from pyspark.sql.window import Window
 from tidegrid.functions.scale import Scale
 
 
-def dom_ladder(cells: DataFrame, scale: Scale, rows: int, visible: int = 20) -> DataFrame:
-    """(stream, row, price, bid, ask, bid_pct, ask_pct, is_best_bid, is_best_ask) around the middle of the newest column.
+#: Fixed value: what counts as size in a cell.
+LEAST_SIZE = 1e-6
 
-    Bars are per cent of the largest size shown, 2 at least where there is any.
+
+def dom_ladder(
+    cells: DataFrame, scale: Scale, rows: int, visible: int = 20, shape: str = "book", quotes: DataFrame | None = None, locked: int | None = None,
+) -> DataFrame:
+    """(stream, row, price, bid, ask, profile, their _pct, is_best_bid, is_best_ask, middle, spread) around a middle, of the newest column.
+
+    ``shape``: ``book`` shows both sides, ``profile`` the bids alone around the row with most, ``l1`` nothing but the
+    quote's own sizes. ``quotes`` are (stream, bid_px, bid_sz, ask_px, ask_sz) and, but in a profile, give best rows,
+    middle and spread; else these are the column's own, the spread only if both sides are there. ``locked`` is a
+    row to stay around. Bars are per cent of the largest size shown, 2 at least where there is any.
     """
     newest = cells.groupBy("stream").agg(F.max("col_idx").alias("col_idx"))
-    book = cells.join(newest, ["stream", "col_idx"])
-    top = book.groupBy("stream").agg(F.max(F.when(F.col("bid") > 0, F.col("row"))).alias("b"), F.min(F.when(F.col("ask") > 0, F.col("row"))).alias("a"))
+    book = cells.join(newest, ["stream", "col_idx"]).select("stream", "row", "bid", "ask")
+    on = lambda c: F.col(c) > LEAST_SIZE
+    top = book.groupBy("stream").agg(
+        F.max(F.when(on("bid"), F.col("row"))).alias("b"), F.min(F.when(on("ask"), F.col("row"))).alias("a"),
+        F.max(F.when(on("bid"), F.struct("bid", (-F.col("row")).alias("below")))).alias("most"),
+    )
+    nothing = F.lit(None).cast("double")
+    if quotes is not None and shape != "profile":
+        top = quotes.select("stream", F.struct("bid_px", "bid_sz", "ask_px", "ask_sz").alias("q")).join(top, "stream", "full" if shape == "l1" else "right")
+    else:
+        top = top.withColumn("q", F.lit(None).cast("struct<bid_px:double,bid_sz:double,ask_px:double,ask_sz:double>"))
     best_bid = F.coalesce("b", F.col("a") - 1)
     best_ask = F.greatest(F.coalesce("a", F.col("b") + 1), best_bid + 1)
-    middle = F.coalesce((best_bid + best_ask) / 2, F.lit((rows - 1) / 2))
+    price = lambda r: scale.row_to_price(r.cast("double"))
+    place = lambda px: F.greatest(F.lit(0), F.least(F.lit(rows - 1), F.coalesce(F.floor(scale.price_to_row(px) + 0.5), F.lit(-1)))).cast("int")
+    quoted = F.col("q").isNotNull()
+    if shape == "profile":
+        own = [F.lit(-1).alias("best_bid"), F.lit(-1).alias("best_ask"), (-F.col("most.below")).cast("double").alias("middle"), nothing.alias("spread")]
+    else:
+        own = [
+            F.when(quoted, place(F.col("q.bid_px"))).otherwise(best_bid).alias("best_bid"), F.when(quoted, place(F.col("q.ask_px"))).otherwise(best_ask).alias("best_ask"),
+            F.when(quoted, scale.price_to_row((F.col("q.bid_px") + F.col("q.ask_px")) / 2)).otherwise((best_bid + best_ask) / 2).alias("middle"),
+            F.when(quoted, F.col("q.ask_px") - F.col("q.bid_px")).otherwise(price(F.col("a")) - price(F.col("b"))).alias("spread"),
+        ]
+    shown = top.select("stream", "q", *own)
     half = max(1, visible) // 2
-    shown = top.select("stream", best_bid.alias("best_bid"), best_ask.alias("best_ask"), F.floor(middle + 0.5).cast("int").alias("center"))
-    shown = shown.withColumn("row", F.explode(F.sequence(F.col("center") - half, F.col("center") + half)))
-    sizes = shown.join(book.select("stream", "row", "bid", "ask"), ["stream", "row"], "left")
-    most = F.greatest(F.max("bid").over(Window.partitionBy("stream")), F.max("ask").over(Window.partitionBy("stream")))
-    pct = lambda c: F.when(F.col(c) > 0, F.greatest(F.lit(2.0), F.col(c) / most * 100)).otherwise(0.0)
-    return sizes.select(
-        "stream", "row", scale.row_to_price(F.col("row").cast("double")).alias("price"), F.coalesce("bid", F.lit(0.0)).alias("bid"), F.coalesce("ask", F.lit(0.0)).alias("ask"),
-        pct("bid").alias("bid_pct"), pct("ask").alias("ask_pct"), (F.col("row") == F.col("best_bid")).alias("is_best_bid"), (F.col("row") == F.col("best_ask")).alias("is_best_ask"),
-    )
+    center = F.coalesce(F.lit(locked).cast("int"), F.floor(F.coalesce("middle", F.lit((rows - 1) / 2)) + 0.5).cast("int"))
+    shown = shown.withColumn("row", F.explode(F.sequence(center - half, center + half)))
+    sizes = shown.join(book, ["stream", "row"], "left")
+    zero = F.lit(0.0)
+    if shape == "profile":
+        bid, ask, profile = zero, zero, F.coalesce("bid", zero)
+    elif shape == "l1":
+        at = lambda best, size: F.coalesce(F.when(F.col("row") == F.col(best), F.col(size)), zero)
+        bid, ask, profile = at("best_bid", "q.bid_sz"), at("best_ask", "q.ask_sz"), zero
+    else:
+        bid, ask, profile = F.coalesce("bid", zero), F.coalesce("ask", zero), zero
+    sized = sizes.select("stream", "row", bid.alias("bid"), ask.alias("ask"), profile.alias("profile"), "best_bid", "best_ask", "middle", "spread")
+    most = F.greatest(F.lit(LEAST_SIZE), *(F.max(c).over(Window.partitionBy("stream")) for c in ("bid", "ask", "profile")))  # of the rows shown
+    pct = lambda c: F.when(F.col(c) > 0, F.greatest(F.lit(2.0), F.col(c) / most * 100)).otherwise(0.0).alias(f"{c}_pct")
+    best = lambda c: ((F.lit(shape != "profile")) & F.coalesce(F.col("row") == F.col(c), F.lit(False))).alias(f"is_{c}")
+    return sized.select("stream", "row", price(F.col("row")).alias("price"), "bid", "ask", "profile", pct("bid"), pct("ask"), pct("profile"), best("best_bid"), best("best_ask"), "middle", "spread")
 
 
 def effective_bbo(feed: DataFrame, derived: DataFrame, depth: DataFrame) -> DataFrame:
@@ -108,7 +144,12 @@ def retained(files: DataFrame, most_bytes: int) -> DataFrame:
     ``files`` are (market, symbol, kind, name, size).
     """
     newest = F.row_number().over(Window.partitionBy("market", "symbol", "kind").orderBy(F.desc("name"))) == 1
-    free = files.withColumn("_exempt", (F.col("kind") == "epochs") | ((F.col("kind") == "columns") & newest))
-    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    before = F.coalesce(F.sum("size").over(Window.orderBy("name", "market", "symbol").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return free.where(~F.col("_exempt")).withColumn("_before", before).where(F.lit(total) - F.col("_before") > most_bytes).drop("_exempt", "_before")
+    exempt = (F.col("kind") == "epochs") | ((F.col("kind") == "columns") & newest)
+    # Names start with their hour: hours are summed up first, so that no task orders all files.
+    named = files.withColumn("_exempt", exempt).withColumn("_hour", F.substring("name", 1, 11))
+    so_far = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = named.groupBy("_hour").agg(F.sum("size").alias("_sum"))
+    hours = hours.select("_hour", F.coalesce(F.sum("_sum").over(so_far), F.lit(0)).alias("_earlier"), F.sum("_sum").over(Window.partitionBy(F.lit(0))).alias("_total"))  # a row an hour
+    here = F.coalesce(F.sum("size").over(Window.partitionBy("_hour").orderBy("name", "market", "symbol").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = named.withColumn("_before", here).join(hours, "_hour")
+    return placed.where(~F.col("_exempt") & (F.col("_total") - F.col("_before") - F.col("_earlier") > most_bytes)).select(*files.columns)

@@ -1 +1,3 @@
-"""Registered queries and the SQL that says the same."""
+"""Registered queries. Importing the package registers those of all its modules in ``registry``."""
+
+from tidegrid.plans import registry, views  # noqa: F401

@@ -1,11 +1,13 @@
 """The recorded store: columns, trades, markers and epochs in Parquet, by market, symbol, band and UTC hour.
 
-Writes go through Spark's own commit protocol; a batch that is written again replaces nothing and is told apart
-by its ``batch`` number, of which readers take the newest. Reads prune hours by folder and push the rest down.
+Writes go through Spark's own commit protocol. Each batch has a folder of its own within the hour, and a batch that
+is written again overwrites its folders, so nothing is stored twice. Reads prune hours by folder and push the rest
+down.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -25,13 +27,16 @@ def schema_of(kind: str) -> StructType:
 
 
 def write(rows: DataFrame, base: str, kind: str, batch: int = 0) -> None:
-    """Append rows of one kind; they need market, symbol and band besides their own columns."""
+    """Write rows of one kind as batch ``batch``, in place of what that batch wrote before in the same hours.
+
+    They need market, symbol and band besides their own columns.
+    """
     time = F.col(_TIME[kind]) if kind in _TIME else F.lit(0)
     out = rows.select(
         *(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in KINDS[kind]),
         *(safe_name(F.col(k)).alias(k) for k in KEYS), (hour_key(time) if kind in _TIME else F.lit("all")).alias("hour"), F.lit(batch).cast("long").alias("batch"),
     )
-    out.write.mode("append").partitionBy(*KEYS, "hour").parquet(f"{base}/{kind}")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS, "hour", "batch").parquet(f"{base}/{kind}")
 
 
 def sink(base: str, kind: str):
@@ -44,8 +49,14 @@ def sink(base: str, kind: str):
 
 
 def read(spark: SparkSession, base: str, kind: str) -> DataFrame:
-    """Rows of one kind; files that cannot be read are passed over."""
-    return spark.read.schema(schema_of(kind)).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(f"{base}/{kind}")
+    """Rows of one kind, none if there never were any; files that cannot be read are passed over."""
+    reader = spark.read.schema(schema_of(kind)).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    try:
+        return reader.parquet(f"{base}/{kind}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema_of(kind))
 
 
 def in_hours(rows: DataFrame, kind: str, lo_ns: int, hi_ns: int) -> DataFrame:
