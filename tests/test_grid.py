@@ -7,89 +7,119 @@ import pytest
 
 from tidegrid.functions.scale import Scale, band_frame, half_float, make_hybrid
 from tidegrid.operators import bars, density, epochs, ingest
-from tidegrid.operators.epochs import Anchors, Frame
-from tidegrid.streaming.grid import Grid
+from tidegrid.operators.epochs import Frame
 
 NS = 1_000_000_000
 FRAME = Frame(p0=90.0, tick=0.5, rows=64)
+LEVELS = "stream string, seq long, ts_ns long, side int, price double, size double"
 
 
 def book(mid, size):
-    return [[0, mid - 1.0, size], [0, mid - 0.5, size], [0, mid, size], [1, mid + 0.5, size], [1, mid + 1.0, size], [1, mid + 1.5, size]]
-
-
-def run(grid, events):
-    return [c for ts, levels, mid in events for c in grid.on_book(int(ts * NS), levels, mid)]
-
-
-def cell(column, row):
-    return dict(zip(column["rows"], column["bid"])).get(row, 0.0)
-
-
-def test_cadence_does_not_matter():
-    one = run(Grid(FRAME, NS), [(0, book(100, 4), None), (1, book(100, 4), None)])
-    ten = run(Grid(FRAME, NS), [(i / 10, book(100, 4), None) for i in range(11)])
-    assert one == ten
-
-
-def test_half_weighting_late_books_and_gaps():
-    assert cell(run(Grid(FRAME, NS), [(0, book(100, 4), None), (0.5, book(100, 8), None), (1, book(100, 8), None)])[0], 20) == 6.0
-    late = run(Grid(FRAME, NS), [(0, book(100, 4), None), (0.5, book(100, 8), None), (0.4, book(100, 2), None), (1, book(100, 2), None)])
-    assert cell(late[0], 20) == 3.0
-    assert [c["col_seq"] for c in run(Grid(FRAME, NS), [(0, book(100, 4), None), (3.5, book(100, 4), None)])] == [0, 1, 2]
-
-
-def test_capped_gap():
-    seqs = [c["col_seq"] for c in run(Grid(FRAME, NS // 4, ring=128), [(0, book(100, 1), None), (3600, book(100, 1), None)])]
-    assert seqs == [0, *range(14_272, 14_400)]
-
-
-def test_moves_shift_what_is_summed():
-    assert (a := Anchors(FRAME)).moved(140.0) and (a.epoch, a.p0) == (1, 124.0)
-    shifted = run(Grid(FRAME, NS), [(0, book(100, 4), 100.0), (0.5, book(95, 6), 95.0 - 1e9), (1, book(95, 6), None)])
-    assert shifted[0]["epoch"] == 1
-
-
-def test_bars_carry_the_close():
-    g = Grid(FRAME, NS)
-    list(g.on_book(0, book(100, 1), None))
-    for price, size, side in ((100, 2, 0), (101, 1, 1), (102, 4, 2)):
-        g.on_trade(1, price, size, side)
-    first, second = g.on_book(2 * NS, book(100, 1), None)
-    assert [first[k] for k in ("o", "h", "l", "c", "vol_buy", "vol_sell", "cvd_cum", "vwap_num_cum", "vwap_den_cum")] == [100, 102, 100, 102, 2, 1, 1, 709, 7]
-    assert [second[k] for k in "ohlc"] == [102] * 4
-
-
-def test_state_survives_a_restart():
-    events = [(t / 3, book(100 + t % 7, 1 + t % 3), 100.0 + 4 * t) for t in range(40)]
-    whole, parts, state = run(Grid(FRAME, NS), events), [], None
-    for i in range(0, 40, 7):
-        g = Grid(FRAME, NS, state=state)
-        parts += run(g, events[i : i + 7])
-        state = g.state()
-    assert parts == whole
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_sets_equal_the_sequence(spark, seed):
+    mid, size = float(mid), float(size)
+    return [(0, mid - 1.0, size), (0, mid - 0.5, size), (0, mid, size), (1, mid + 0.5, size), (1, mid + 1.0, size), (1, mid + 1.5, size)]
+
+
+def moves(frame, middles, p0=None, multiple=None):
+    """(epoch, from seq, p0, multiple) of frames, middle by middle."""
+    p0, multiple, anchor, out = frame.p0, frame.tick_multiple, None, [(0, -1, frame.p0, frame.tick_multiple)]
+    for seq, m in middles:
+        step = frame.tick * multiple
+        if m is None or not np.isfinite(m):
+            continue
+        if frame.band and anchor is None:
+            lo, hi, multiple = m * max(0, 1 - frame.band[1]), m * (1 + frame.band[0]), 1
+            span = (hi - lo) * 1.25
+            while frame.rows * frame.tick * multiple < span or round((m - span / 2) / (frame.tick * multiple)) * frame.tick * multiple + frame.rows * frame.tick * multiple < hi:
+                multiple += 1
+            p0, anchor = round((m - span / 2) / (frame.tick * multiple)) * frame.tick * multiple, m
+        elif frame.band and (m > anchor * 1.25 or m < anchor / 1.25):
+            p0, anchor = round((m - frame.rows * step / 2) / step) * step, m
+        elif not frame.band and not p0 + 0.15 * frame.rows * step <= m <= p0 + 0.85 * frame.rows * step:
+            p0 = round((m - frame.rows * step / 2) / step) * step
+        else:
+            continue
+        out.append((len(out), seq, p0, multiple))
+    return out
+
+
+def brute_density(frame, dt, books, middles, ring=None):
+    """{(epoch, column, row): (bid, ask)} of the full books (ts, levels) of one stream, level by level and column by column."""
+    frames = moves(frame, middles)
+    epoch_at = [max(e for e, s, *_ in frames if s <= seq) for seq in range(len(books))]
+    times = list(np.maximum.accumulate([t for t, _ in books]))
+    out = {}
+    for i, (a, b) in enumerate(zip(times, times[1:])):
+        for k in range(a // dt, -(-b // dt)):
+            if ring is not None and b // dt - a // dt > ring + 1 and k != a // dt and k < b // dt - ring:
+                continue
+            closing = [j for j, (x, y) in enumerate(zip(times, times[1:])) if x < (k + 1) * dt <= y]
+            if not closing or min(b, (k + 1) * dt) <= max(a, k * dt):
+                continue
+            passed = frames[epoch_at[i] : epoch_at[closing[0]] + 1]
+            if len({m for *_, m in passed}) > 1:
+                continue
+            for side, price, size in books[i][1]:
+                step = frame.tick * passed[0][3]
+                first = round((price - passed[0][2]) / step) if np.isfinite(price) and np.isfinite(size) else -1
+                rows = [first - round((p0 - passed[0][2]) / step) for _, _, p0, _ in passed]
+                if all(0 <= r < frame.rows for r in rows):
+                    cell = out.setdefault((passed[-1][0], k, rows[-1]), [0.0, 0.0])
+                    cell[side] += size * (min(b, (k + 1) * dt) - max(a, k * dt)) / dt
+    return {key: tuple(float(np.float16(x)) for x in v) for key, v in out.items()}
+
+
+def set_density(spark, frame, dt, books, middles, ring=None):
+    levels = spark.createDataFrame([("a", i, t, s, p, z) for i, (t, own) in enumerate(books) for s, p, z in own], LEVELS)
+    table = epochs.epoch_table(spark.createDataFrame([("a", s, m) for s, m in middles], "stream string, seq long, ref double"), frame)
+    got = epochs.moving_density(levels, table, frame.tick, frame.rows, dt, ring)
+    return {(r["epoch"], r["col_idx"], r["row"]): (r["bid"], r["ask"]) for r in got.collect()}
+
+
+def at(*events):
+    return [(int(t * NS), levels) for t, levels in events]
+
+
+def test_cadence_weighting_lateness_and_gaps(spark):
+    still = [(0, 100.0)]
+    one = set_density(spark, FRAME, NS, at((0, book(100, 4)), (1, book(100, 4))), still)
+    ten = set_density(spark, FRAME, NS, at(*((i / 10, book(100, 4)) for i in range(11))), still)
+    assert one == ten and one[0, 0, 20] == (4.0, 0.0)
+    assert set_density(spark, FRAME, NS, at((0, book(100, 4)), (0.5, book(100, 8)), (1, book(100, 8))), still)[0, 0, 20] == (6.0, 0.0)
+    assert set_density(spark, FRAME, NS, at((0, book(100, 4)), (0.5, book(100, 8)), (0.4, book(100, 2)), (1, book(100, 2))), still)[0, 0, 20] == (3.0, 0.0)
+    assert {k for _, k, _ in set_density(spark, FRAME, NS, at((0, book(100, 4)), (3.5, book(100, 4))), still)} == {0, 1, 2}
+    capped = {k for _, k, _ in set_density(spark, FRAME, NS // 4, at((0, book(100, 1)), (3600, book(100, 1))), still, ring=128)}
+    assert capped == {0, *range(14_272, 14_400)}
+    odd = [(0, float("nan"), 1.0), (0, 100.0, float("inf")), (1, 5000.0, 1.0), (1, 101.0, 2.0)]
+    assert set_density(spark, FRAME, NS, at((0, odd), (1, odd)), still) == {(0, 0, 22): (0.0, 2.0)}
+
+
+@pytest.mark.parametrize("frame", [FRAME, Frame(p0=0.0, tick=0.5, rows=64, band=(0.5, 0.5)), Frame(p0=90.0, tick=0.5, rows=24)])
+def test_frames_move_as_middle_by_middle(spark, frame):
+    rng = random.Random(4)
+    m, middles = 100.0, [(-1, None), (0, float("inf"))]
+    for seq in range(1, 300):
+        m = max(5.0, m + rng.choice([-7, -1, 0, 0, 1, 8]))
+        middles.append((seq, m if rng.random() < 0.9 else rng.choice([None, float("nan")])))
+    rows = [(s, seq, m) for s in ("a", "b") for seq, m in middles]
+    got = epochs.epoch_table(spark.createDataFrame(rows, "stream string, seq long, ref double"), frame).where("stream = 'b'")
+    assert sorted(tuple(r)[1:] for r in got.collect()) == moves(frame, middles)
+    assert len(moves(frame, middles)) > 3
+
+
+@pytest.mark.parametrize("band", [None, (0.5, 0.5)])
+@pytest.mark.parametrize("seed", range(2))
+def test_density_under_moving_frames_equals_brute_force(spark, seed, band):
     rng = random.Random(seed)
-    frame = Frame(p0=90.0, tick=0.5, rows=24)
-    levels, middles, expected = [], [], []
-    for stream in ("a", "b", "c"):
-        grid, t, mid = Grid(frame, NS, ring=5), 0, 96.0
-        for seq in range(60):
-            t += rng.choice([-200_000_000, 0, 150_000_000, 400_000_000, NS, 3 * NS, 12 * NS])
-            mid += rng.choice([-4, -1, 0, 0, 1, 4])
-            own = [[s, mid + d * 0.5, float(rng.randrange(1, 9))] for s, d in ((0, -2), (0, -1), (1, 1), (1, 3)) if rng.random() < 0.9]
-            own = own or [[0, mid, 1.0]]
-            levels += [(stream, seq, max(0, t), s, p, z) for s, p, z in own]
-            middles.append((stream, seq, mid))
-            for c in grid.on_book(max(0, t), own, mid):
-                expected += [(stream, c["epoch"], c["t0_ns"] // NS, r, b, a) for r, b, a in zip(c["rows"], c["bid"], c["ask"])]
-    table = epochs.epoch_table(spark.createDataFrame(middles, "stream string, seq long, ref double"), frame)
-    got = epochs.moving_density(spark.createDataFrame(levels, "stream string, seq long, ts_ns long, side int, price double, size double"), table, 0.5, 24, NS, ring=5)
-    rows = sorted((r["stream"], r["epoch"], r["col_idx"], r["row"], r["bid"], r["ask"]) for r in got.collect())
-    assert rows == sorted(expected)
+    frame = Frame(p0=90.0, tick=0.5, rows=24, band=band)
+    books, middles, t, mid = [], [], 0, 96.0
+    for seq in range(60):
+        t += rng.choice([-200_000_000, 0, 150_000_000, 400_000_000, NS, 3 * NS, 12 * NS])
+        mid += rng.choice([-4, -1, 0, 0, 1, 4]) * (4 if band else 1)
+        mid = max(20.0, mid)
+        own = [(s, mid + d * 0.5, float(rng.randrange(1, 9))) for s, d in ((0, -2), (0, -1), (1, 1), (1, 3)) if rng.random() < 0.9]
+        books.append((max(0, t), own or [(0, mid, 1.0)]))
+        middles.append((seq, mid))
+    assert set_density(spark, frame, NS, books, middles, ring=5) == brute_density(frame, NS, books, middles, ring=5)
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegrid.functions.ints import floor_div
-from tidegrid.functions.scale import half_float, make_hybrid
+from tidegrid.functions.scale import band_frame, finite, half_float, make_hybrid
 
+#: The inner part of a frame that the middle may roam, and the ratio that moves the frame of a band.
 INNER_LOW, INNER_HIGH = 0.15, 0.85
 TRIP_RATIO = 1.25
-BAND_MARGIN = 1.25
 
 
 @dataclass(frozen=True)
@@ -33,57 +33,17 @@ class Frame:
     tick_multiple: int = 1
     band: tuple[float, float] | None = None
 
-    def snapped(self, middle: float, step: float) -> float:
+    def around(self, middle: float, step: float) -> float:
+        """Lowest price of the frame with this middle in its centre, on the grid of its step."""
         return round((middle - self.rows * step / 2) / step) * step
 
-
-def band_anchor(frame: Frame, middle: float) -> tuple[float, int] | None:
-    """(p0, tick multiple) of the first anchor of a band."""
-    up, down = frame.band
-    low, high = middle * max(0.0, 1 - down), middle * (1 + up)
-    span = (high - low) * BAND_MARGIN
-    if not np.isfinite(span) or span <= 0:
-        return None
-    multiple = max(1, int(np.ceil(span / (frame.rows * frame.tick))))
-    while True:
-        step = frame.tick * multiple
-        p0 = round((middle - span / 2) / step) * step
-        if p0 + frame.rows * step >= high or multiple >= 1 << 30:
-            return p0, multiple
-        multiple += 1
-
-
-class Anchors:
-    """Frames of one stream, found book by book. The state is (p0, multiple, epoch, middle of the last anchor)."""
-
-    def __init__(self, frame: Frame, state: tuple[float, int, int, float | None] | None = None):
-        self.frame = frame
-        self.p0, self.multiple, self.epoch, self.anchored = state or (frame.p0, frame.tick_multiple, 0, None)
-
-    def state(self) -> tuple[float, int, int, float | None]:
-        return self.p0, self.multiple, self.epoch, self.anchored
-
-    def moved(self, middle: float | None) -> bool:
-        """Whether a book with this middle starts a new epoch, which is then the current one."""
-        frame, step = self.frame, self.frame.tick * self.multiple
-        if middle is None or not np.isfinite(middle):
-            return False
-        if frame.band is None:
-            span = frame.rows * step
-            if self.p0 + INNER_LOW * span <= middle <= self.p0 + INNER_HIGH * span:
-                return False
-            self.p0 = frame.snapped(middle, step)
-        elif self.anchored is None:
-            made = band_anchor(frame, middle) if middle > 0 else None
-            if made is None:
-                return False
-            (self.p0, self.multiple), self.anchored = made, middle
+    def leaves(self, middles: np.ndarray, p0: float, step: float, anchor: float | None) -> np.ndarray:
+        """Which middles move the frame: those out of its inner part, or too far from the anchor of a band in ratio."""
+        if anchor is None:
+            low, high = p0 + INNER_LOW * self.rows * step, p0 + INNER_HIGH * self.rows * step
         else:
-            if 1 / TRIP_RATIO <= middle / self.anchored <= TRIP_RATIO:
-                return False
-            self.p0, self.anchored = frame.snapped(middle, step), middle
-        self.epoch += 1
-        return True
+            low, high = anchor / TRIP_RATIO, anchor * TRIP_RATIO
+        return (middles < low) | (middles > high)
 
 
 _EPOCH = ["stream", "epoch", "from_seq", "p0", "tick_multiple"]
@@ -92,22 +52,45 @@ _EPOCH = ["stream", "epoch", "from_seq", "p0", "tick_multiple"]
 def epoch_table(middles: DataFrame, frame: Frame) -> DataFrame:
     """(stream, epoch, from_seq, p0, tick_multiple) of each stream's frames; ``middles`` are (stream, seq, ref).
 
-    Rows arrive sorted and in pieces, so a stream is never held whole.
+    A band starts with the first middle around which a frame can be made; its multiple then stays. Rows arrive
+    sorted and in pieces, so a stream is never held whole, and each move is found at once in a piece.
     """
+    known = middles.where(finite(F.col("ref"))).select("stream", "seq", "ref")
+    if frame.band is None:
+        made = known.select("stream").distinct().select("stream", F.lit(None).cast("long").alias("start"), F.lit(None).cast("struct<p0:double,tick_multiple:int>").alias("made"))
+    else:
+        first = known.withColumn("made", band_frame(F.col("ref"), frame.band[0], frame.band[1], frame.tick, frame.rows)).where("made IS NOT NULL")
+        first = first.groupBy("stream").agg(F.min("seq").alias("start"), F.min_by("made", "seq").alias("made"))
+        made = known.select("stream").distinct().join(first, "stream", "left")
+    given = known.join(made.select("stream", "start", "made.p0", "made.tick_multiple"), "stream")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, None
+        stream = epoch = p0 = multiple = anchor = None
+        begun = False
         for batch in batches:
             rows = []
-            for stream, seq, middle in zip(batch["stream"], batch["seq"], batch["ref"]):
-                if state is None or stream != last:
-                    last, state = stream, Anchors(frame)
-                    rows.append((stream, 0, -1, frame.p0, frame.tick_multiple))
-                if state.moved(middle):
-                    rows.append((stream, state.epoch, seq, state.p0, state.multiple))
+            for name, part in batch.groupby("stream", sort=False):
+                if not begun or name != stream:
+                    stream, epoch, p0, multiple, anchor, begun = name, 0, frame.p0, frame.tick_multiple, None, True
+                    rows.append((name, 0, -1, p0, multiple))
+                seqs, refs = part["seq"].to_numpy(), part["ref"].to_numpy()
+                at = 0
+                if frame.band is not None and anchor is None:
+                    start = part["start"].iloc[0]
+                    at = len(seqs) if pd.isna(start) else int(np.searchsorted(seqs, int(start)))
+                    if at < len(seqs):
+                        p0, multiple, anchor, epoch = float(part["p0"].iloc[0]), int(part["tick_multiple"].iloc[0]), float(refs[at]), 1
+                        rows.append((name, epoch, int(seqs[at]), p0, multiple))
+                        at += 1
+                step = frame.tick * multiple
+                while len(out := np.flatnonzero(frame.leaves(refs[at:], p0, step, anchor))):
+                    at += int(out[0])
+                    p0, epoch, anchor = frame.around(float(refs[at]), step), epoch + 1, None if anchor is None else float(refs[at])
+                    rows.append((name, epoch, int(seqs[at]), p0, multiple))
+                    at += 1
             yield pd.DataFrame(rows, columns=_EPOCH)
 
-    ordered = middles.where("ref IS NOT NULL").select("stream", "seq", "ref").repartition("stream").sortWithinPartitions("stream", "seq")
+    ordered = given.repartition("stream").sortWithinPartitions("stream", "seq")
     return ordered.mapInPandas(run, "stream string, epoch int, from_seq long, p0 double, tick_multiple int")
 
 
@@ -121,9 +104,9 @@ def moving_density(levels: DataFrame, epochs: DataFrame, tick: float, rows: int,
     """(stream, epoch, col_idx, row, bid, ask) of full books under frames that move.
 
     ``levels`` are (stream, seq, ts_ns, side, price, size), all levels of a book under one ``seq``; ``epochs`` as
-    ``epoch_table`` gives them, with one step. A book stands until the next; a column has the epoch of the book
-    that covers its end. A cell must lie on the grid in every epoch from its book's to its column's, as each
-    move drops what falls off.
+    ``epoch_table`` gives them. A book stands until the next; a column has the epoch of the book that covers its
+    end. A cell must lie on the grid in every epoch from its book's to its column's, as each move drops what falls
+    off, and a move to another step drops all.
     """
     at = Window.partitionBy("stream").orderBy("seq")
     books = levels.groupBy("stream", "seq").agg(F.first("ts_ns").alias("ts_ns"))
@@ -145,12 +128,13 @@ def moving_density(levels: DataFrame, epochs: DataFrame, tick: float, rows: int,
     pieces = pieces.select("stream", "seq", "col_idx", "epoch", "col_epoch", (overlap / F.lit(float(dt_ns))).alias("share"))
     # Frames passed between a book and the end of its column: their least and largest p0.
     passed = pieces.select("stream", "epoch", "col_epoch").distinct().alias("p")
-    e = epochs.select("stream", F.col("epoch").alias("e"), "p0")
+    e = epochs.select("stream", F.col("epoch").alias("e"), "p0", "tick_multiple")
     reach = passed.withColumn("e", F.explode(F.sequence("epoch", "col_epoch"))).join(e, ["stream", "e"])
-    reach = reach.groupBy("stream", "epoch", "col_epoch").agg(F.min("p0").alias("low"), F.max("p0").alias("high"), F.max_by("p0", "e").alias("p0_col"), F.min_by("p0", "e").alias("p0_own"))
+    reach = reach.groupBy("stream", "epoch", "col_epoch").agg(F.min("p0").alias("low"), F.max("p0").alias("high"), F.max_by("p0", "e").alias("p0_col"), F.min_by("p0", "e").alias("p0_own"), F.min("tick_multiple").alias("multiple"), F.max("tick_multiple").alias("_most"))
+    reach = reach.where("multiple = _most").withColumn("step", F.lit(tick) * F.col("multiple"))
     cells = pieces.join(reach, ["stream", "epoch", "col_epoch"]).join(levels.select("stream", "seq", "side", "price", "size"), ["stream", "seq"])
-    own = F.rint((F.col("price") - F.col("p0_own")) / tick)
-    moved = lambda p0: own - F.rint((F.col(p0) - F.col("p0_own")) / tick)
+    own = F.rint((F.col("price") - F.col("p0_own")) / F.col("step"))
+    moved = lambda p0: own - F.rint((F.col(p0) - F.col("p0_own")) / F.col("step"))
     inside = (own >= 0) & (own < rows) & (moved("high") >= 0) & (moved("low") < rows)
     kept = cells.where(inside & (F.abs("price") < float("inf")) & (F.abs("size") < float("inf"))).withColumn("row", moved("p0_col").cast("int"))
     side = lambda s: half_float(F.sum(F.when(F.col("side") == s, F.col("size") * F.col("share")).otherwise(0.0)))
