@@ -229,7 +229,7 @@ def across(open_rows: DataFrame, name: str, threshold: float, can_be: Column) ->
 
 
 def _classified(docs: DataFrame, threshold: float, width: int, weights: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, digest, keys) of every row, and (digest, component, id, copies) of every text with words."""
+    """(id, digest, has_words) of every row, and (digest, component, id, copies) of every text with words; both saved."""
     signed = saved(_signed(docs, id_col, text_col, width, weights))
     texts = saved(signed.where("keys IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("keys").alias("keys")))
     rows = texts.select("digest", F.explode("keys").alias("key"))
@@ -239,9 +239,11 @@ def _classified(docs: DataFrame, threshold: float, width: int, weights: str, id_
     meets = members.groupBy("digest").agg(F.sum("size").alias("meets"))
     members = saved(members.join(meets, "digest").select("key", "digest", "meets"))
     centres = members.groupBy("key").agg(F.max(F.struct("meets", "digest")).alias("centre")).select("key", F.col("centre.digest").alias("v"))
-    members = saved(members.drop("meets").join(centres, "key"))
+    with_meets, members = members, saved(members.drop("meets").join(centres, "key"))
+    discard(with_meets)
     candidates = saved(members.where("digest != v").select(F.col("digest").alias("u"), "v").distinct())
-    sets = saved(_sets(docs, saved(members.select("digest").distinct()), text_col, width, weights))
+    needed = saved(members.select("digest").distinct())
+    sets = saved(_sets(docs, needed, text_col, width, weights))
     compared = _compared(candidates, sets, weights)
     links = compared.where(F.col("similarity") >= threshold).select("u", "v")
     label = connected(links)
@@ -257,9 +259,12 @@ def _classified(docs: DataFrame, threshold: float, width: int, weights: str, id_
     if not cross.isEmpty():
         links = links.union(_compared(cross, sets, weights).where(F.col("similarity") >= threshold).select("u", "v"))
         label = connected(links)
-    discard(sets)
     of_text = texts.join(label.withColumnRenamed("node", "digest"), "digest", "left")
-    return signed, of_text.select("digest", F.coalesce("component", "digest").alias("component"), "id", "copies")
+    of_text = saved(of_text.select("digest", F.coalesce("component", "digest").alias("component"), "id", "copies"))
+    rows = saved(signed.select("id", "digest", F.col("keys").isNotNull().alias("has_words")))
+    for table in (signed, texts, members, candidates, needed, sets, compared, open_rows, cross):
+        discard(table)
+    return rows, of_text
 
 
 def near_duplicates(
@@ -272,8 +277,8 @@ def near_duplicates(
     signed, of_text = _classified(docs, threshold, width, weights, id_col, text_col)
     classes = of_text.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = of_text.join(classes, "component").select("digest", "class_id", "class_size")
-    with_words = signed.where("keys IS NOT NULL").join(named, "digest").select("id", "class_id", "class_size")
-    alone = signed.where("keys IS NULL").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    with_words = signed.where("has_words").join(named, "digest").select("id", "class_id", "class_size")
+    alone = signed.where("NOT has_words").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return with_words.union(alone).withColumnRenamed("id", id_col)
 
 
@@ -288,7 +293,7 @@ def deduplicated(
     signed, of_text = _classified(docs, threshold, width, weights, id_col, text_col)
     first = of_text.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "digest")).alias("first"))
     keepers = saved(first.select("first.no_id", "first.id", "first.digest"))
-    repeated = signed.where("keys IS NOT NULL").groupBy("id", "digest").agg(F.count("*").alias("rows")).where("rows > 1")
+    repeated = signed.where("has_words").groupBy("id", "digest").agg(F.count("*").alias("rows")).where("rows > 1")
     own = F.col(id_col).cast("long")
     columns = [f"c{i}_" for i in range(len(docs.columns))]
     named = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, columns)), own.isNull().alias("no_id"), F.coalesce(own, F.lit(0)).alias("id"), _text_digest(text_col).alias("digest"))

@@ -45,7 +45,7 @@ from pyspark.sql.window import Window
 
 from tidegrid.llm.components import connected
 from tidegrid.llm.minhash import across, differing_bits, mixed_buckets, parities
-from tidegrid.llm.shared import blocks, in_python, saved
+from tidegrid.llm.shared import blocks, discard, in_python, saved
 from tidegrid.llm.words import Words, mix, windows, words_of
 
 BANDS, ROWS = 5, 2
@@ -250,6 +250,8 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, least_words: in
     if not cross.isEmpty():
         links = links.union(_verified(cross, sets, threshold))
         label = connected(links)
+    for table in (shared, candidates, sets, open_rows, cross):
+        discard(table)
     # Classes of identities that repeat over documents, by themselves or by links.
     linked = firsts.join(label.withColumnRenamed("node", "identity"), "identity", "left").withColumn("component", F.coalesce("component", "identity"))
     several = linked.groupBy("component").agg(F.min(F.struct("doc", "place")).alias("first"), F.max("last_doc").alias("last")).where("last != first.doc")
@@ -258,12 +260,15 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, least_words: in
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, place, words, class_doc, class_place) of every chosen window that stands in several documents."""
-    places = saved(_scan(docs, id_col, text_col, WINDOW, "windows"))
-    firsts = places.groupBy("identity").agg(F.min(F.struct("doc", "place")).alias("first"), F.max("doc").alias("last_doc")).where("last_doc != first.doc")
-    classes = saved(firsts.select("identity", F.col("first.doc").alias("class_doc"), F.col("first.place").alias("class_place")))
+    """(doc, place, words, class_doc) of every chosen window that stands in several documents; class_doc is the least of these.
+
+    Texts are read twice, so that only the hashes of windows move and none are stored.
+    """
+    places = _scan(docs, id_col, text_col, WINDOW, "windows")
+    ends = places.groupBy("identity").agg(F.min("doc").alias("class_doc"), F.max("doc").alias("last_doc"))
+    classes = saved(ends.where("last_doc != class_doc").drop("last_doc"))
     small = classes.count() <= BROADCAST_ROWS
-    return places.join(F.broadcast(classes) if small else classes, "identity").select("doc", "place", "words", "class_doc", "class_place")
+    return places.join(F.broadcast(classes) if small else classes, "identity").select("doc", "place", "words", "class_doc")
 
 
 def repeated_passages(
@@ -274,7 +279,7 @@ def repeated_passages(
     Words start..stop-1 of the document, counted from 0, are the passage; ``n_words`` of them are in marked
     paragraphs or windows. ``first_doc`` holds the first occurrence of the passage's first one.
     """
-    marked = repeated_paragraphs(docs, threshold, least_words, id_col, text_col).unionByName(repeated_windows(docs, id_col, text_col))
+    marked = repeated_paragraphs(docs, threshold, least_words, id_col, text_col).drop("class_place").unionByName(repeated_windows(docs, id_col, text_col))
     marked = marked.where("doc != class_doc").dropDuplicates(["doc", "place", "words"]).withColumn("end", F.col("place") + F.col("words"))
     in_order = Window.partitionBy("doc").orderBy("place", "words")
     past = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
