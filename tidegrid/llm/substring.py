@@ -69,7 +69,10 @@ _unspaced = re.compile(f"([{_UNSPACED}])")
 def spaced(text: str | None) -> str:
     """The text with blanks around every character of a script without them."""
     text = text or ""
-    return text if text.isascii() else _unspaced.sub(r" \1 ", text)
+    # In UTF-8 all of these characters start with a byte from 0xE0 on, which is quicker to look for.
+    if text.isascii() or np.frombuffer(text.encode("utf-8", "replace"), np.uint8).max() < 0xE0:
+        return text
+    return _unspaced.sub(r" \1 ", text)
 
 
 def chosen_windows(words: Words) -> np.ndarray:
