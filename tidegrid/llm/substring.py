@@ -145,7 +145,7 @@ def _band_keys(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 def _scan(docs: DataFrame, id_col: str, text_col: str, least_words: int, what: str) -> DataFrame:
     """Paragraphs of every text. ``places``: (doc, place, words, identity); ``keys``: (identity, key) of every band.
 
-    ``windows`` gives the chosen windows of every text in the form of ``places``.
+    ``windows`` gives the chosen windows of every text in the form of ``places``, ``hashes`` (doc, identity) of them.
 
     A task gives the keys of a paragraph once, unless over ``REMEMBERED`` others came between.
     """
@@ -158,10 +158,13 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, least_words: int, what: s
                 seen.clear()
             for a, b in blocks([len(t or "") for t in texts], BLOCK_CHARS):
                 words = words_of(texts[a:b])
-                if what == "windows":
+                if what in ("windows", "hashes"):
                     first = chosen_windows(words)
                     text = words.text[first]
                     identity = windows(words.hashes, WINDOW)[first].view(np.int64)
+                    if what == "hashes":
+                        yield pd.DataFrame({"doc": ids[a:b][text], "identity": identity})
+                        continue
                     yield pd.DataFrame({"doc": ids[a:b][text], "place": first - words.first[text], "words": np.full(len(first), WINDOW), "identity": identity})
                     continue
                 first, last = paragraphs(texts[a:b], words)
@@ -182,7 +185,8 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, least_words: int, what: s
                     yield pd.DataFrame({"doc": ids[a:b][text], "place": first[use] - words.first[text], "words": (last - first)[use], "identity": identity[use]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    return in_python(rows, run, "identity long, key long" if what == "keys" else "doc long, place int, words int, identity long")
+    fields = {"keys": "identity long, key long", "hashes": "doc long, identity long"}
+    return in_python(rows, run, fields.get(what, "doc long, place int, words int, identity long"))
 
 
 def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
@@ -268,7 +272,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are read twice, so that only the hashes of windows move and none are stored.
     """
     places = _scan(docs, id_col, text_col, WINDOW, "windows")
-    ends = places.groupBy("identity").agg(F.min("doc").alias("class_doc"), F.max("doc").alias("last_doc"))
+    ends = _scan(docs, id_col, text_col, WINDOW, "hashes").groupBy("identity").agg(F.min("doc").alias("class_doc"), F.max("doc").alias("last_doc"))
     classes = saved(ends.where("last_doc != class_doc").drop("last_doc"))
     small = classes.count() <= BROADCAST_ROWS
     return places.join(F.broadcast(classes) if small else classes, "identity").select("doc", "place", "words", "class_doc")
