@@ -126,18 +126,20 @@ def _band_keys(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """int64, paragraphs x BANDS; every paragraph has WIDTH words at least."""
     hashes = windows(words.hashes, WIDTH)
     low, high = first, last - WIDTH + 1
-    edges = np.empty(2 * len(first), np.int64)
-    edges[::2], edges[1::2] = low, high
-    end = np.array([np.iinfo(np.uint64).max], np.uint64)  # so that the last edge is a place, too
-    minima = np.empty((len(first), BANDS * ROWS), np.uint64)
-    for i in range(BANDS * ROWS):
-        own = np.append(mix(hashes + np.uint64((i + 1) * 0xA0761D6478BD642F % (1 << 64))), end)
-        minima[:, i] = np.minimum.reduceat(own, edges)[::2]
+    # The least of a paragraph is that of two overlapping stretches of 2 ** level hashes, at either end of it.
+    level = np.frexp(high - low)[1] - 1
+    of_level = [np.flatnonzero(level == k) for k in range(level.max() + 1)]
+    minima = np.empty((BANDS * ROWS, len(first)), np.uint64)
+    for i, row in enumerate(minima):
+        least = mix(hashes + np.uint64((i + 1) * 0xA0761D6478BD642F % (1 << 64)))
+        for k, at in enumerate(of_level):
+            row[at] = np.minimum(least[low[at]], least[high[at] - (1 << k)])
+            least = np.minimum(least[: -(1 << k)], least[1 << k :])  # from every place on, of twice as many
     out = np.empty((len(first), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(first), b + 1, np.uint64)
-        for i in range(b * ROWS, (b + 1) * ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + minima[:, i])
+        for row in minima[b * ROWS : (b + 1) * ROWS]:
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + row)
         out[:, b] = key
     return out.view(np.int64)
 
