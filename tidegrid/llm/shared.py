@@ -21,11 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidegrid-{uuid.uuid4().hex}"
 
 
+_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: cut lineage that outlives executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder as Parquet and read again: cut lineage that outlives executors.
+
+    Once it is written nothing needs the shuffle files of its plan, so Spark deletes them then.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    former = spark.conf.get(_CLEANUP_KEY)
+    spark.conf.set(_CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP_KEY, former)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows that Spark hands to Python at a time: texts of some KB make batches of some MB.

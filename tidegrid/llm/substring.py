@@ -17,7 +17,7 @@ at either end of a copy are not, and a changed word leaves a gap under ``gap_wor
 Texts that similarity of 0.8 finds have 45 words or so between changes, so equal windows find their parts.
 In scripts without blanks between words each character counts as a word.
 
-Plan: windows need no bands, only one shuffle of their hashes, and only those that repeat are joined again.
+Plan: windows need no bands, only a shuffle of their hashes, and another that joins them to those that repeat.
 The identity of a paragraph is the hash of its words, so equal ones collapse before and in every shuffle,
 however frequent. Each bucket links its members to its least member; members of different components that
 still share a bucket meet by classes of size, and are compared if their sizes and parity sketches allow
@@ -271,13 +271,13 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, least_words: in
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, place, words, class_doc) of every chosen window that stands in several documents; class_doc is the least of these.
 
-    Texts are read twice, so that only the hashes of windows move and none are stored.
+    Texts are read twice, first for the hashes alone, and no windows are stored; both times they meet by a shuffle,
+    as those that repeat grow with the documents.
     """
     places = _scan(docs, id_col, text_col, WINDOW, "windows")
     ends = _scan(docs, id_col, text_col, WINDOW, "hashes").groupBy("identity").agg(F.min("doc").alias("class_doc"), F.max("doc").alias("last_doc"))
     classes = saved(ends.where("last_doc != class_doc").drop("last_doc"))
-    small = classes.count() <= BROADCAST_ROWS
-    return places.join(F.broadcast(classes) if small else classes, "identity").select("doc", "place", "words", "class_doc")
+    return places.join(classes.hint("merge"), "identity").select("doc", "place", "words", "class_doc")
 
 
 def repeated_passages(
