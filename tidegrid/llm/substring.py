@@ -289,7 +289,8 @@ def repeated_passages(
     paragraphs or windows. ``first_doc`` holds the first occurrence of the passage's first one.
     """
     marked = repeated_paragraphs(docs, threshold, least_words, id_col, text_col).drop("class_place").unionByName(repeated_windows(docs, id_col, text_col))
-    marked = marked.where("doc != class_doc").dropDuplicates(["doc", "place", "words"]).withColumn("end", F.col("place") + F.col("words"))
+    marked = marked.where("doc != class_doc").repartition("doc")  # the one shuffle for all that follows
+    marked = marked.dropDuplicates(["doc", "place", "words"]).withColumn("end", F.col("place") + F.col("words"))
     in_order = Window.partitionBy("doc").orderBy("place", "words")
     past = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     runs = marked.withColumn("past", past).withColumn("run", F.sum(F.when(F.col("place") - F.col("past") < gap_words, 0).otherwise(1)).over(in_order))
