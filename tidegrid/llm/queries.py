@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, decontam, hamming, langid, minhash, quality, substring, toxicity, urlfilter, warc
+from tidegrid.llm import bpe, decontam, hamming, langid, minhash, quality, rangejoin, substring, toxicity, urlfilter, warc
 from tidegrid.llm.shared import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,24 @@ SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of documents that repeat a passage of an earlier document."""
     return substring.repeated_passages(table(spark, sf_dir, "documents"), threshold=0.8, least_words=6, run_words=20)
+
+
+@query
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return rangejoin.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+ORACLE_SQL["op11_vectors"] = """
+WITH RECURSIVE given AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+valid AS (
+  SELECT vec_id, e FROM given
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM valid a JOIN valid b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reached(u, v) AS (SELECT vec_id, vec_id FROM given UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u),
+counts AS (SELECT u, count(*) AS n FROM links GROUP BY u),
+least AS (SELECT u, min(v) AS component_id FROM reached GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM given JOIN least ON least.u = vec_id LEFT JOIN counts ON counts.u = vec_id
+"""
