@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, decontam, hamming, langid, minhash, quality, rangejoin, substring, toxicity, urlfilter, warc
+from tidegrid.llm import bpe, decontam, hamming, langid, minhash, quality, rangejoin, substring, toxicity, turns, urlfilter, warc
 from tidegrid.llm.shared import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,70 @@ least AS (SELECT u, min(v) AS component_id FROM reached GROUP BY u)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM given JOIN least ON least.u = vec_id LEFT JOIN counts ON counts.u = vec_id
 """
+
+
+@query
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage by a hash of the place."""
+    return turns.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def _op12_sql() -> str:
+    """Costs to go are carried backward over the rows of a conversation by one recursion, the walk forward by another."""
+    insert = lambda c: [f"least({c[0]}, 3 + {c[2]}, 6 + {c[3]})", f"least({c[1]}, 3 + {c[2]}, 6 + {c[3]})", f"least({c[2]}, 3 + {c[3]})", f"least({c[3]}, 3 + {c[2]})"]
+    late = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+    gone = "coalesce(fault IN ('blank', 'duplicate'), false)"
+    base = []
+    for state, after in enumerate((2, 2, 3, 2)):
+        keep = {0: "CASE WHEN initial = 's' THEN c1 WHEN initial = 'u' THEN c2 END", 2: "CASE WHEN initial = 'a' THEN c3 END"}.get(state, "CASE WHEN initial = 'u' THEN c2 END")
+        base.append(f"least(4 + c{state}, CASE WHEN NOT {gone} THEN 3 + {late} + c{after} END, CASE WHEN NOT {gone} THEN {late} + {keep} END)")
+    return f"""
+WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+hashed AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ord(c) AS BIGINT)),
+    lambda acc, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(acc, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS k
+  FROM given),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE k <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS initial,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+costs(conv_id, i, c0, c1, c2, c3) AS (
+  SELECT conv_id, n + 1, 0, 6, 3, 0 FROM judged WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i, {", ".join(insert(["b0", "b1", "b2", "b3"]))}
+  FROM (SELECT j.conv_id, j.i, {", ".join(f"{b} AS b{s}" for s, b in enumerate(base))} FROM costs c JOIN judged j ON j.conv_id IS NOT DISTINCT FROM c.conv_id AND j.i = c.i - 1)),
+walk(conv_id, i, state, audit, turns) AS (
+  SELECT conv_id, 1, 0, '', CAST([] AS VARCHAR[]) FROM judged WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i + CASE WHEN edit = 'I' THEN 0 ELSE 1 END, CASE edit WHEN 'D' THEN state WHEN 'K' THEN kept ELSE following END, audit || edit,
+    CASE edit WHEN 'D' THEN turns WHEN 'K' THEN list_append(turns, role || ':' || text)
+      WHEN 'R' THEN list_append(turns, CASE WHEN state = 2 THEN 'assistant' ELSE 'user' END || ':' || text) ELSE list_append(turns, CASE WHEN state = 2 THEN 'assistant:' ELSE 'user:' END) END
+  FROM (
+    SELECT *, CASE WHEN fault IS NULL AND role IS NULL THEN 'I' WHEN 4 + after[state + 1] = now[state + 1] THEN 'D' WHEN 3 + now[following + 1] = now[state + 1] THEN 'I'
+      WHEN NOT {gone} AND kept IS NOT NULL AND {late} + after[kept + 1] = now[state + 1] THEN 'K' ELSE 'R' END AS edit
+    FROM (
+      SELECT w.*, j.role, j.text, j.fault, CASE WHEN w.state = 2 THEN 3 ELSE 2 END AS following,
+        CASE WHEN j.initial = 's' AND w.state = 0 THEN 1 WHEN j.initial = 'u' AND w.state <> 2 THEN 2 WHEN j.initial = 'a' AND w.state = 2 THEN 3 END AS kept,
+        [c.c0, c.c1, c.c2, c.c3] AS now, [d.c0, d.c1, d.c2, d.c3] AS after
+      FROM walk w LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i
+        LEFT JOIN costs c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.i = w.i LEFT JOIN costs d ON d.conv_id IS NOT DISTINCT FROM w.conv_id AND d.i = w.i + 1
+      WHERE j.i IS NOT NULL OR w.state IN (1, 2)))),
+ends AS (SELECT conv_id, arg_max(audit, strlen(audit)) AS audit, arg_max(turns, strlen(audit)) AS turns FROM walk WHERE state IN (0, 3) AND i = (SELECT count(*) + 1 FROM judged j WHERE j.conv_id IS NOT DISTINCT FROM walk.conv_id) GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(c0, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(turns, chr(10)), '')) AS repaired_sha256
+FROM every e LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN ends w ON w.conv_id IS NOT DISTINCT FROM e.conv_id
+  LEFT JOIN costs c ON c.conv_id IS NOT DISTINCT FROM e.conv_id AND c.i = 1
+"""
+
+
+ORACLE_SQL["op12_turns"] = _op12_sql()
