@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, decontam, hamming, langid, minhash, quality, rangejoin, substring, toxicity, turns, urlfilter, warc
+from tidegrid.llm import bpe, decontam, hamming, langid, lexical, minhash, quality, rangejoin, substring, toxicity, turns, urlfilter, warc
 from tidegrid.llm.shared import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +246,31 @@ FROM every e LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM e.conv_id LEFT
 
 
 ORACLE_SQL["op12_turns"] = _op12_sql()
+
+
+@query
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    return lexical.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLE_SQL["op13_lexical"] = """
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents),
+docs AS (SELECT doc_id, row, terms, CAST(len(terms) AS BIGINT) AS n FROM words WHERE len(terms) > 0),
+stats AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM docs),
+postings AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY row, term),
+held AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL),
+weighed AS (SELECT item_id, term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM asked JOIN held USING (term), stats),
+scored AS (
+  SELECT item_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * stats.docs) // total)))) AS BIGINT) AS score
+  FROM weighed JOIN postings USING (term) JOIN docs USING (row), stats GROUP BY item_id, row),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored JOIN docs USING (row) WHERE score > 0 AND doc_id IS NOT NULL)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

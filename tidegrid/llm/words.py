@@ -16,6 +16,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD_BASE = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _VALUE[65:91] = _VALUE[97:123]
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -54,10 +55,19 @@ class Words:
 
 
 def words_of(texts: Sequence[str | None]) -> Words:
-    encoded = [_lower(t) for t in texts]
+    return _split([_lower(t) for t in texts], _SPACE)
+
+
+def terms_of(texts: Sequence[str | None]) -> Words:
+    """Maximal runs of ASCII letters and digits and of any other characters beyond ASCII, A-Z alone in lower case."""
+    return _split([(t or "").encode("utf-8", "replace") for t in texts], _NO_TERM)
+
+
+def _split(encoded: list[bytes], separator: np.ndarray) -> Words:
+    """Runs of bytes that do not separate; a line end must, and A-Z count as a-z."""
     data = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
     begins = np.cumsum([0, *(len(e) + 1 for e in encoded)])
-    space = _SPACE[data]
+    space = separator[data]
     at_start = ~space
     at_start[1:] &= space[:-1]
     at_end = space.copy()
