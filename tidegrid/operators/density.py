@@ -16,22 +16,27 @@ def clamp_time(updates: DataFrame) -> DataFrame:
     return running(updates, ("seq",), {"eff_ns": ("max", F.col("ts_ns"))}, peers=True)
 
 
-def level_intervals(updates: DataFrame) -> DataFrame:
+def level_intervals(updates: DataFrame, carried: str | None = None) -> DataFrame:
     """(stream, seq, side, price, size, from_ns, till_ns) while each level stands; open ends are null.
 
     ``updates`` are (stream, seq, ts_ns, side, price, amount, is_snapshot): an amount sets its level, 0 removes it,
     a snapshot row first empties the book, and what comes before the first snapshot is ignored. Malformed
     levels are dropped. Rows of one ``seq`` belong together. A level ends with its next update or with the next
     snapshot, so no book is ever put together, and only the updates between two snapshots meet, level by level.
+
+    ``carried`` names a column of ``updates`` whose largest value so far is given at both ends, as ``carried_from``
+    and ``carried_till``.
     """
     snap = F.when(F.col("is_snapshot"), F.col("seq"))
-    timed = running(updates, ("seq",), {"eff_ns": ("max", F.col("ts_ns")), "_snap": ("max", snap)}, peers=True).where("_snap IS NOT NULL")
-    snapshots = timed.where("seq = _snap").groupBy("stream", "_snap").agg(F.max("eff_ns").alias("_at"))
+    values = {"eff_ns": ("max", F.col("ts_ns")), "_snap": ("max", snap)} | ({"_carried": ("max", F.col(carried))} if carried else {})
+    timed = running(updates, ("seq",), values, peers=True).where("_snap IS NOT NULL").withColumn("_now", F.struct("eff_ns", *(["_carried"] if carried else [])))
+    snapshots = timed.where("seq = _snap").groupBy("stream", "_snap").agg(F.max("_now").alias("_at"))
     ends = snapshots.select("stream", "_snap", F.lead("_at").over(Window.partitionBy("stream").orderBy("_snap")).alias("_end"))
     sound = timed.where(finite(F.col("price")) & finite(F.col("amount")) & (F.col("price") > 0) & (F.col("amount") >= 0))
     level = Window.partitionBy("stream", "_snap", "side", "price").orderBy("seq")
-    spans = sound.withColumn("_follow", F.lead("eff_ns").over(level)).where("amount > 0").join(ends, ["stream", "_snap"])
-    return spans.select("stream", "seq", "side", "price", F.col("amount").alias("size"), F.col("eff_ns").alias("from_ns"), F.coalesce("_follow", "_end").alias("till_ns"))
+    spans = sound.withColumn("_follow", F.lead("_now").over(level)).where("amount > 0").join(ends, ["stream", "_snap"]).withColumn("_till", F.coalesce("_follow", "_end"))
+    more = [F.col("_carried").alias("carried_from"), F.col("_till._carried").alias("carried_till")] if carried else []
+    return spans.select("stream", "seq", "side", "price", F.col("amount").alias("size"), F.col("eff_ns").alias("from_ns"), F.col("_till.eff_ns").alias("till_ns"), *more)
 
 
 def close_open(intervals: DataFrame, updates: DataFrame) -> DataFrame:

@@ -25,13 +25,17 @@ TRIP_RATIO = 1.25
 
 @dataclass(frozen=True)
 class Frame:
-    """Geometry that a grid starts with; a band of (up, down) shares makes it follow the price by ratio."""
+    """Geometry that a grid starts with; a band of (up, down) shares makes it follow the price by ratio.
+
+    A band with ``core_rows`` is hybrid: the first middle around which it can be made installs its scale, which stays.
+    """
 
     p0: float
     tick: float
     rows: int
     tick_multiple: int = 1
     band: tuple[float, float] | None = None
+    core_rows: int | None = None
 
     def around(self, middle: float, step: float) -> float:
         """Lowest price of the frame with this middle in its centre, on the grid of its step."""
@@ -46,14 +50,23 @@ class Frame:
         return (middles < low) | (middles > high)
 
 
-_EPOCH = ["stream", "epoch", "from_seq", "p0", "tick_multiple"]
+_EPOCH = ["stream", "epoch", "from_seq", "p0", "tick_multiple", "anchor"]
 
 
 def epoch_table(middles: DataFrame, frame: Frame) -> DataFrame:
     """(stream, epoch, from_seq, p0, tick_multiple) of each stream's frames; ``middles`` are (stream, seq, ref).
 
-    A band starts with the first middle around which a frame can be made; its multiple then stays. Rows arrive
-    sorted and in pieces, so a stream is never held whole, and each move is found at once in a piece.
+    A band starts with the first middle around which a frame can be made; its multiple then stays.
+    """
+    start = middles.where(finite(F.col("ref"))).select("stream").distinct().select("stream", F.lit(0).alias("epoch"), F.lit(frame.p0).alias("p0"), F.lit(frame.tick_multiple).alias("tick_multiple"), F.lit(None).cast("double").alias("anchor"))
+    first = start.select("stream", "epoch", F.lit(-1).cast("long").alias("from_seq"), "p0", "tick_multiple")
+    return first.union(moves(middles, frame, start).drop("anchor"))
+
+
+def moves(middles: DataFrame, frame: Frame, start: DataFrame) -> DataFrame:
+    """(stream, epoch, from_seq, p0, tick_multiple, anchor) of the frames that follow ``start``, one row a stream.
+
+    Rows arrive sorted and in pieces, so a stream is never held whole, and each move is found at once in a piece.
     """
     known = middles.where(finite(F.col("ref"))).select("stream", "seq", "ref")
     if frame.band is None:
@@ -62,7 +75,7 @@ def epoch_table(middles: DataFrame, frame: Frame) -> DataFrame:
         first = known.withColumn("made", band_frame(F.col("ref"), frame.band[0], frame.band[1], frame.tick, frame.rows)).where("made IS NOT NULL")
         first = first.groupBy("stream").agg(F.min("seq").alias("start"), F.min_by("made", "seq").alias("made"))
         made = known.select("stream").distinct().join(first, "stream", "left")
-    given = known.join(made.select("stream", "start", "made.p0", "made.tick_multiple"), "stream")
+    given = known.join(made.select("stream", "start", F.col("made.p0").alias("first_p0"), F.col("made.tick_multiple").alias("first_multiple")), "stream").join(start.select("stream", "epoch", "p0", "tick_multiple", "anchor"), "stream")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream = epoch = p0 = multiple = anchor = None
@@ -71,27 +84,28 @@ def epoch_table(middles: DataFrame, frame: Frame) -> DataFrame:
             rows = []
             for name, part in batch.groupby("stream", sort=False):
                 if not begun or name != stream:
-                    stream, epoch, p0, multiple, anchor, begun = name, 0, frame.p0, frame.tick_multiple, None, True
-                    rows.append((name, 0, -1, p0, multiple))
+                    now = part.iloc[0]
+                    stream, begun, epoch, p0, multiple = name, True, int(now["epoch"]), float(now["p0"]), int(now["tick_multiple"])
+                    anchor = None if pd.isna(now["anchor"]) else float(now["anchor"])
                 seqs, refs = part["seq"].to_numpy(), part["ref"].to_numpy()
                 at = 0
                 if frame.band is not None and anchor is None:
                     start = part["start"].iloc[0]
                     at = len(seqs) if pd.isna(start) else int(np.searchsorted(seqs, int(start)))
                     if at < len(seqs):
-                        p0, multiple, anchor, epoch = float(part["p0"].iloc[0]), int(part["tick_multiple"].iloc[0]), float(refs[at]), 1
-                        rows.append((name, epoch, int(seqs[at]), p0, multiple))
+                        p0, multiple, anchor, epoch = float(part["first_p0"].iloc[0]), int(part["first_multiple"].iloc[0]), float(refs[at]), epoch + 1
+                        rows.append((name, epoch, int(seqs[at]), p0, multiple, anchor))
                         at += 1
                 step = frame.tick * multiple
                 while len(out := np.flatnonzero(frame.leaves(refs[at:], p0, step, anchor))):
                     at += int(out[0])
                     p0, epoch, anchor = frame.around(float(refs[at]), step), epoch + 1, None if anchor is None else float(refs[at])
-                    rows.append((name, epoch, int(seqs[at]), p0, multiple))
+                    rows.append((name, epoch, int(seqs[at]), p0, multiple, anchor))
                     at += 1
             yield pd.DataFrame(rows, columns=_EPOCH)
 
     ordered = given.repartition("stream").sortWithinPartitions("stream", "seq")
-    return ordered.mapInPandas(run, "stream string, epoch int, from_seq long, p0 double, tick_multiple int")
+    return ordered.mapInPandas(run, "stream string, epoch int, from_seq long, p0 double, tick_multiple int, anchor double")
 
 
 def hybrid_epochs(middles: DataFrame, rows: int, core_rows: int, core_step: float, up_mult: float, dn_floor: float) -> DataFrame:
