@@ -51,10 +51,11 @@ def cumulate(bars: DataFrame, dt_ns: int) -> DataFrame:
     )
 
 
-def as_of(left: DataFrame, right: DataFrame, values: list[str], key: str = "stream", order: tuple[str, ...] = ("ts_ns", "seq"), span: int = RANGE) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, values: list[str], order: tuple[str, ...], key: str = "stream", span: int = RANGE) -> DataFrame:
     """``left`` with the values of the latest row of ``right`` before it; rows of ``right`` come first on ties of ``order[0]``.
 
     A union and running values over ranges of ``span`` numbers of ``order[0]``: rows are sorted once and never paired.
+    For an order in nanoseconds pass the time that one task may order.
     """
     tagged = left.withColumn("_right", F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType)).withColumn("_rank", F.lit(1))
     source = right.select(*(F.col(c) for c in (key, *order)), F.struct(*values).alias("_right"), F.lit(0).alias("_rank"))
@@ -65,9 +66,10 @@ def as_of(left: DataFrame, right: DataFrame, values: list[str], key: str = "stre
 
 def trade_columns(trades: DataFrame, books: DataFrame, dt_ns: int) -> DataFrame:
     """Column of each trade: that of the latest book before it, as only books move time; before any book, its own."""
-    clamped = running(books.select("stream", "seq", "ts_ns"), ("seq",), {"eff": ("max", F.col("ts_ns"))}, peers=True)
-    joined = as_of(trades, clamped, ["eff"], order=("seq",))
-    return joined.withColumn("col_idx", floor_div(F.coalesce("eff", "ts_ns"), dt_ns)).drop("eff")
+    tagged = trades.withColumn("_time", F.lit(None).cast("long")).withColumn("_rank", F.lit(1))
+    source = books.select("stream", "seq", F.col("ts_ns").alias("_time"), F.lit(0).alias("_rank"))
+    reached = running(tagged.unionByName(source, allowMissingColumns=True), ("seq", "_rank"), {"_eff": ("max", F.col("_time"))}).where("_rank = 1")
+    return reached.withColumn("col_idx", floor_div(F.coalesce("_eff", "ts_ns"), dt_ns)).select(*trades.columns, "col_idx")
 
 
 def _moved(price: Column, before: Column) -> Column:
@@ -86,14 +88,23 @@ def tick_rule(trades: DataFrame) -> DataFrame:
     return _assigned(priced, _moved(F.col("price"), F.col("_before")))
 
 
-def quote_rule(trades: DataFrame, quotes: DataFrame) -> DataFrame:
+def quote_rule(trades: DataFrame, quotes: DataFrame, former: DataFrame | None = None) -> DataFrame:
     """Trades with ``side`` inferred from the latest quote: over its middle buys, under it sells.
 
     Prints at the middle, or before any finite quote, follow the tick rule; a flat one takes the last side assigned.
+    ``former`` are prints (stream, seq, price, side) whose side is known already, and are not given again.
     """
-    joined = running(as_of(trades, quotes, ["bid_px", "ask_px"], order=("seq",)), ("seq",), {"_before": ("last", F.col("price"))}, before=True)
-    middle = F.when(finite(F.col("bid_px")) & finite(F.col("ask_px")), (F.col("bid_px") + F.col("ask_px")) / 2)
-    return _assigned(joined, F.coalesce(_moved(F.col("price"), middle), _moved(F.col("price"), F.col("_before")))).drop("bid_px", "ask_px")
+    tagged = trades.withColumn("_known", F.lit(None).cast("int")).withColumn("_new", F.lit(True))
+    if former is not None:
+        tagged = tagged.unionByName(former.select("stream", "seq", "price", F.col("side").alias("_known"), F.lit(False).alias("_new")), allowMissingColumns=True)
+    tagged = tagged.withColumn("_quote", F.lit(None).cast("struct<bid_px:double,ask_px:double>")).withColumn("_rank", F.lit(1))
+    source = quotes.select("stream", "seq", F.struct(F.col("bid_px").cast("double").alias("bid_px"), F.col("ask_px").cast("double").alias("ask_px")).alias("_quote"), F.lit(0).alias("_rank"))
+    both = tagged.unionByName(source, allowMissingColumns=True)
+    seen = running(both, ("seq", "_rank"), {"_latest": ("last", F.col("_quote")), "_before": ("last", F.when(F.col("_rank") == 1, F.col("price")))}, before=True).where("_rank = 1")
+    bid, ask = F.col("_latest.bid_px"), F.col("_latest.ask_px")
+    middle = F.when(finite(bid) & finite(ask), (bid + ask) / 2)
+    own = F.coalesce("_known", _moved(F.col("price"), middle), _moved(F.col("price"), F.col("_before")))
+    return _assigned(seen, own).where("_new").drop("_known", "_new", "_quote", "_latest", "_rank")
 
 
 def large_threshold(trades: DataFrame, last: int = 200, quantile: float = 0.9, least: int = 12) -> DataFrame:
@@ -113,7 +124,7 @@ def seen_before(trades: DataFrame, window: int = 4096, id_col: str = "trade_id")
     # Within a stream of distinct ids the window is counted in ids: place of the id among first sightings.
     firsts = running(fresh.where("_n = 1"), ("seq",), {"_place": ("sum", F.lit(1))}).select("stream", id_col, F.col("seq").alias("_first"), "_place")
     placed = fresh.join(firsts, ["stream", id_col])
-    passed = as_of(placed.drop("_n"), firsts.select("stream", F.col("_first").alias("seq"), F.col("_place").alias("_now")), ["_now"], order=("seq",))
+    passed = as_of(placed.drop("_n"), firsts.select("stream", F.col("_first").alias("seq"), F.col("_place").alias("_now")), ["_now"], ("seq",))
     kept = passed.where((F.col("seq") == F.col("_first")) | (F.col("_now") - F.col("_place") >= window)).drop("_first", "_place", "_now")
     return kept.unionByName(trades.where(~named))
 

@@ -72,12 +72,22 @@ def gap_capped(cells: DataFrame, col: str, jumps: DataFrame, ring: int) -> DataF
     return cells.join(dropped, ["stream", col], "left_anti")
 
 
-def pyramid(cells: DataFrame, factor: int = 4, most: float = 60_000.0, last_col: int | None = None) -> DataFrame:
-    """Sums of blocks of ``factor`` columns and rows, at most ``most``; with ``last_col``, whole blocks of columns only."""
+def whole_blocks(cells: DataFrame, last: DataFrame, factor: int = 4) -> DataFrame:
+    """Cells of blocks of ``factor`` columns that are finished whole; ``last`` is (stream, last_col) of the last finished column."""
+    ended = (floor_div(F.col("col_idx"), factor) + 1) * factor <= F.col("last_col") + 1
+    return cells.join(last.select("stream", "last_col"), "stream").where(ended).drop("last_col")
+
+
+def pyramid(cells: DataFrame, factor: int = 4, most: float = 60_000.0, last: DataFrame | None = None) -> DataFrame:
+    """Sums of blocks of ``factor`` columns and rows, at most ``most``; with ``last``, of ``whole_blocks`` only."""
     col, row = (floor_div(F.col(c), factor).cast(t).alias(c) for c, t in (("col_idx", "long"), ("row", "int")))
-    blocks = cells.where((floor_div(F.col("col_idx"), factor) + 1) * factor <= last_col + 1) if last_col is not None else cells
     capped = lambda c: F.least(F.sum(c), F.lit(most)).alias(c)
-    return blocks.groupBy("stream", col, row).agg(capped("bid"), capped("ask"))
+    return (cells if last is None else whole_blocks(cells, last, factor)).groupBy("stream", col, row).agg(capped("bid"), capped("ask"))
+
+
+def coarser(last: DataFrame, factor: int = 4) -> DataFrame:
+    """``last`` of the level above: the last whole block."""
+    return last.select("stream", (floor_div(F.col("last_col") + 1, factor) - 1).alias("last_col"))
 
 
 def extent(cells: DataFrame) -> DataFrame:
@@ -135,3 +145,17 @@ def _profile(inside: DataFrame, width: Scale | None) -> DataFrame:
 def cell_size(cells: DataFrame, row_start: int, group_rows: int) -> DataFrame:
     """(stream, col_idx, size) of a block of rows."""
     return cells.where(F.col("row").between(row_start, row_start + group_rows - 1)).groupBy("stream", "col_idx").agg(F.sum(F.col("bid") + F.col("ask")).alias("size"))
+
+
+def probe(points: DataFrame, cells: DataFrame, epochs: DataFrame, group_rows: int = 1) -> DataFrame:
+    """``points`` (stream, col_idx, row) with the exact size, epoch and price of the block of rows that each lies in.
+
+    Blocks of ``group_rows`` rows start at multiples of it. ``cells`` have an epoch, and ``epochs`` its scale; where
+    nothing rests the size is 0 and the epoch null.
+    """
+    block = lambda c: (floor_div(F.col(c), group_rows) * group_rows).cast("int")
+    sizes = cells.groupBy("stream", "col_idx", block("row").alias("block")).agg(F.sum("bid").alias("bid"), F.sum("ask").alias("ask"), F.max("epoch").alias("epoch"))
+    found = points.withColumn("block", block("row")).join(sizes, ["stream", "col_idx", "block"], "left")
+    scaled = found.join(epochs.select("stream", "epoch", F.struct(*(c for c in epochs.columns if c not in ("stream", "epoch"))).alias("_e")), ["stream", "epoch"], "left")
+    price = Scale.of("_e.").row_to_price(F.col("row").cast("double"))
+    return scaled.select(*points.columns, F.coalesce("bid", F.lit(0.0)).alias("bid"), F.coalesce("ask", F.lit(0.0)).alias("ask"), "epoch", price.alias("price"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegrid.functions.ints import floor_div
 from tidegrid.functions.scale import finite
 
 #: Kinds of records that come from exchanges.
@@ -70,17 +71,30 @@ def anchor_reference(levels_at: DataFrame) -> DataFrame:
     return g.select("stream", "seq", ref.alias("ref"))
 
 
+DAY_NS = 86_400_000_000_000
+NEXT_OPEN_DAYS = 10
+
+
 def session_open(rows: DataFrame, calendar: DataFrame) -> DataFrame:
     """Rows with ``open`` and ``next_open_ns``: whether the market's calendar (market, open_ns, close_ns) has them inside a session.
 
-    As-of over the calendar's openings; the next opening counts within ten days.
+    The next opening counts within ten days, and is null inside a session. Sessions are listed by the days at which
+    they matter, so a row meets those of its own day by key: a few, whatever the length of the calendar.
     """
-    ten_days = 10 * 86_400_000_000_000
-    sessions = calendar.withColumn("next_open_ns", F.lead("open_ns").over(Window.partitionBy("market").orderBy("open_ns")))
-    tagged = rows.withColumn("_s", F.lit(None).cast("struct<close_ns:bigint,next_open_ns:bigint>")).withColumn("_r", F.lit(1))
-    source = sessions.select("market", F.col("open_ns").alias("ts_ns"), F.struct("close_ns", "next_open_ns").alias("_s"), F.lit(0).alias("_r"))
-    before = Window.partitionBy("market").orderBy("ts_ns", "_r").rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.unionByName(source, allowMissingColumns=True).withColumn("_s", F.last("_s", ignorenulls=True).over(before)).where("_r = 1")
-    is_open = F.coalesce(F.col("ts_ns") < F.col("_s.close_ns"), F.lit(False))
-    near = F.when(F.col("_s.next_open_ns") - F.col("ts_ns") <= ten_days, F.col("_s.next_open_ns"))
-    return out.withColumn("open", is_open).withColumn("next_open_ns", F.when(~is_open, near)).select(*rows.columns, "open", "next_open_ns")
+    known = calendar.where(F.col("open_ns") < F.col("close_ns")).select("market", "open_ns", "close_ns").distinct()
+    day = lambda c: floor_div(c, DAY_NS)
+    days = F.sequence(day(F.col("open_ns")) - NEXT_OPEN_DAYS, day(F.col("close_ns") - 1))
+    of_day = known.withColumn("_day", F.explode(days)).groupBy("market", "_day").agg(F.collect_list(F.struct("open_ns", "close_ns")).alias("_sessions"))
+    met = rows.withColumn("_day", day(F.col("ts_ns"))).join(of_day, ["market", "_day"], "left")
+    now = F.col("ts_ns")
+    is_open = F.coalesce(F.exists("_sessions", lambda x: (x["open_ns"] <= now) & (now < x["close_ns"])), F.lit(False))
+    later = F.filter("_sessions", lambda x: (x["open_ns"] > now) & (x["open_ns"] - now <= NEXT_OPEN_DAYS * DAY_NS))
+    following = F.array_min(F.transform(later, lambda x: x["open_ns"]))
+    return met.withColumn("open", is_open).withColumn("next_open_ns", F.when(~is_open, following)).select(*rows.columns, "open", "next_open_ns")
+
+
+def session_breaks(calendar: DataFrame) -> DataFrame:
+    """(market, ts_ns, kind, text, next_open_ns): a marker where a session ends, with the opening that follows within ten days."""
+    ends = calendar.select("market", F.col("close_ns").alias("ts_ns")).distinct()
+    closed = session_open(ends, calendar).where("NOT open")  # a session that another one continues has no break
+    return closed.select("market", "ts_ns", F.lit("session_break").alias("kind"), F.lit("session closed").alias("text"), "next_open_ns")

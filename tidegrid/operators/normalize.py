@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegrid.functions.ints import floor_div
+from tidegrid.operators.running import running
 
 BINS, LOW, HIGH = 256, 1 / 64, 65_536.0
 TILE_COLUMNS = 256
@@ -48,16 +49,27 @@ def viewport_percentile(histogram: DataFrame, tile_lo: int, tile_hi: int, percen
 
 
 def smoothed(series: DataFrame, value: str, order: str, alpha: float = 0.15, floor: float = 4.0) -> DataFrame:
-    """Adds ``ema``: exponential smoothing in order, seeded by the first value, ``floor`` at least; per stream."""
-    so_far = Window.partitionBy("stream").orderBy(order)
-    listed = F.collect_list(F.col(value)).over(so_far.rowsBetween(-SMOOTHED_WINDOW + 1, 0))
-    seed = F.element_at(listed, 1)
-    rest = F.slice(listed, 2, SMOOTHED_WINDOW)
-    return series.withColumn("ema", F.greatest(F.aggregate(rest, seed, lambda a, x: a + alpha * (x - a)), F.lit(floor)))
-
-
-#: Values that smoothing looks back on; at alpha 0.15 what lies beyond weighs under 1e-17 of the result.
-SMOOTHED_WINDOW = 256
+    """Adds ``ema``: exponential smoothing in order, seeded by the first value, ``floor`` at least; per stream.
+
+    A null value leaves the average as it is. The average of n values is a sum with powers of 1 - alpha as weights, so
+    it is made of sums over stretches of values in which these powers stay within doubles, and of what the two
+    stretches before carry on: what lies farther back weighs less than the last bit. No rows are listed, and time is
+    linear in them.
+    """
+    keep = 1.0 - alpha
+    stretch = int(min(1 << 16, max(1, -69 / math.log(keep)))) if keep > 0 else 1  # keep ** stretch is about 1e-30
+    counted = running(series, (order,), {"_k": ("sum", F.when(F.col(value).isNotNull(), 1))}).withColumn("_k", F.col("_k") - 1)
+    placed = counted.withColumn("_part", floor_div(F.col("_k"), stretch)).withColumn("_place", F.pmod(F.col("_k"), F.lit(stretch)))
+    weight = F.when(F.col("_k") == 0, 1.0).otherwise(alpha)
+    placed = placed.withColumn("_term", F.col(value) * weight * F.pow(F.lit(keep), -F.col("_place")))
+    ends = placed.where("_k >= 0").groupBy("stream", "_part").agg((F.sum("_term") * keep ** (stretch - 1)).alias("_end"))
+    by_part = Window.partitionBy("stream").orderBy("_part")  # one row for a stretch of values
+    before = F.coalesce(F.lag("_end").over(by_part), F.lit(0.0)) + F.coalesce(F.lag("_end", 2).over(by_part), F.lit(0.0)) * keep**stretch
+    carried = ends.select("stream", "_part", before.alias("_carried"))
+    so_far = Window.partitionBy("stream", "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(carried, ["stream", "_part"], "left")
+    ema = F.pow(F.lit(keep), F.col("_place")) * (F.sum("_term").over(so_far) + F.col("_carried") * keep)
+    return joined.withColumn("ema", F.when(F.col("_k") >= 0, F.greatest(ema, F.lit(floor)))).select(*series.columns, "ema")
 
 
 def gamma_for_contrast(contrast: Column) -> Column:

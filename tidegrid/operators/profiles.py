@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidegrid.functions.ints import floor_div
 from tidegrid.functions.scale import finite, half_float
+from tidegrid.operators.bars import as_of
 
 PEAK = 1000.0
 
@@ -29,9 +30,9 @@ def volume_at_price(bars: DataFrame, tick: float = 0.01) -> DataFrame:
     sound = sound_bars(bars).where(typical_price() > 0)
     ref = sound.groupBy("stream").agg(F.max_by("c", "t0_ns").alias("ref"))
     buckets = sound.groupBy("stream", F.rint(typical_price() / tick).cast("long").alias("bucket")).agg(F.sum("volume").alias("volume"))
-    peak = F.max("volume").over(Window.partitionBy("stream"))
-    px = F.col("bucket") * tick
-    out = buckets.withColumn("size", F.when(peak > 0, F.col("volume") * (PEAK / peak)).otherwise(F.col("volume"))).join(ref, "stream")
+    peaks = buckets.groupBy("stream").agg(F.max("volume").alias("peak"))
+    px, peak = F.col("bucket") * tick, F.col("peak")
+    out = buckets.join(ref.join(peaks, "stream"), "stream").withColumn("size", F.when(peak > 0, F.col("volume") * (PEAK / peak)).otherwise(F.col("volume")))
     return out.select("stream", px.alias("px"), "size", F.when(px <= F.col("ref"), 0).otherwise(1).alias("side"))
 
 
@@ -41,6 +42,19 @@ def running_profile(bars: DataFrame, tick: float = 0.01) -> DataFrame:
     return sound.select("stream", "t0_ns", "bucket", F.sum("volume").over(Window.partitionBy("stream", "bucket").orderBy("t0_ns").rowsBetween(Window.unboundedPreceding, 0)).alias("volume"))
 
 
+def sided_profile(bars: DataFrame, prices: DataFrame, tick: float = 0.01, span_ns: int = 86_400_000_000_000) -> DataFrame:
+    """``running_profile`` with ``side`` as of each time: buckets up to the reference price are bids, the others asks.
+
+    The reference is the last of ``prices`` (stream, ts_ns, px) by the bar's time, before any its own close. Bars with
+    no bucket of their own still move it. ``span_ns`` is the time that one task orders.
+    """
+    closes = sound_bars(bars).where(typical_price() > 0).select("stream", F.col("t0_ns").alias("ts_ns"), "c")
+    known = as_of(closes, prices.where(finite(F.col("px")) & (F.col("px") > 0)), ["px"], ("ts_ns",), span=span_ns)
+    refs = known.groupBy("stream", F.col("ts_ns").alias("t0_ns")).agg(F.max(F.coalesce("px", "c")).alias("ref"))
+    out = running_profile(bars, tick).join(refs, ["stream", "t0_ns"])
+    return out.withColumn("side", F.when(F.col("bucket") * tick <= F.col("ref"), 0).otherwise(1))
+
+
 def _on_grid(candles: DataFrame, dt_ns: int) -> DataFrame:
     """Sound candles with ``t0`` on the grid and strictly rising, and their number ``n`` from 0."""
     order = Window.partitionBy("stream").orderBy("t0_ns")

@@ -16,7 +16,7 @@ from tidegrid.operators import discovery as oq
 from tidegrid.operators import ladder as ol
 from tidegrid.operators import normalize as on
 from tidegrid.operators import profiles as op
-from tidegrid.plans.sql import CTES
+from tidegrid.plans.sql import CTES, score_sql
 from tidegrid.sources import adapters as sa
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,8 +35,8 @@ def query(sql: str | None, *ctes: str):
             needed: list[str] = []
             for name in ctes:
                 needed += [c for c in (*CTES[name][0], name) if c not in needed]
-            head = "WITH " + ", ".join(f"{c} AS ({CTES[c][1]})" for c in needed) + " " if needed else ""
-            ORACLE_SQL[f.__name__] = head + sql
+            head = "WITH " + ", ".join(f"{c} AS ({CTES[c][1]})" for c in needed) if needed else ""
+            ORACLE_SQL[f.__name__] = f"{head} {sql}".strip()  # the SQL may go on with tables of its own
         return f
 
     return add
@@ -185,14 +185,21 @@ def density_f16(spark, sf_dir):
 
 @query(f"SELECT stream, col_idx, row, {s6('bid', 'ask')} FROM level1", "level1")
 def sum_pyramid_l1(spark, sf_dir):
-    """Sums of four columns by four rows."""
-    return od.pyramid(cells(spark, sf_dir)).select("stream", "col_idx", "row", *r6("bid", "ask"))
+    """Sums of four columns by four rows, of blocks that are finished whole."""
+    own = cells(spark, sf_dir)
+    return od.pyramid(own, last=last_columns(own)).select("stream", "col_idx", "row", *r6("bid", "ask"))
 
 
-@query(f"SELECT stream, CAST(floor(col_idx / 4) AS BIGINT) AS col_idx, CAST(row // 4 AS INTEGER) AS row, round(least(sum(bid), 60000), 6) AS bid, round(least(sum(ask), 60000), 6) AS ask FROM level1 GROUP BY 1, 2, 3", "level1")
+def last_columns(own: DataFrame) -> DataFrame:
+    return own.groupBy("stream").agg(F.max("col_idx").alias("last_col"))
+
+
+@query(f"SELECT stream, CAST(floor(col_idx / 4) AS BIGINT) AS col_idx, CAST(row // 4 AS INTEGER) AS row, round(least(sum(bid), 60000), 6) AS bid, round(least(sum(ask), 60000), 6) AS ask FROM level1 JOIN (SELECT stream, max(col_idx) AS last FROM cells GROUP BY stream) USING (stream) WHERE (col_idx // 4 + 1) * 16 <= last + 1 GROUP BY 1, 2, 3", "level1")
 def sum_pyramid_l2(spark, sf_dir):
     """The same of the first level."""
-    return od.pyramid(od.pyramid(cells(spark, sf_dir))).select("stream", "col_idx", "row", *r6("bid", "ask"))
+    own = cells(spark, sf_dir)
+    last = last_columns(own)
+    return od.pyramid(od.pyramid(own, last=last), last=od.coarser(last)).select("stream", "col_idx", "row", *r6("bid", "ask"))
 
 
 @query("SELECT stream, col_idx, lo, hi, bid_top, ask_bot, CAST(CASE WHEN ask_bot > bid_top THEN (bid_top + ask_bot + 1) / 2 ELSE (lo + hi + 1) / 2 END AS DOUBLE) AS tracked FROM extents", "extents")
@@ -361,11 +368,13 @@ def dom_ladder(spark, sf_dir):
     return ol.dom_ladder(cells(spark, sf_dir), linear(), 128).select("stream", "row", "price", *r6("bid", "ask", "bid_pct", "ask_pct"), "is_best_bid", "is_best_ask")
 
 
-@query("SELECT stream, price, side, CAST(rank AS INTEGER) AS rank FROM (SELECT stream, price, side, row_number() OVER (PARTITION BY stream, side ORDER BY CASE WHEN side = 0 THEN -price ELSE price END) AS rank FROM (SELECT stream, side, price FROM intervals GROUP BY ALL)) WHERE rank <= 15", "intervals")
+@query("SELECT stream, price, side, CAST(rank AS INTEGER) AS rank FROM (SELECT stream, price, side, row_number() OVER (PARTITION BY stream, side ORDER BY CASE WHEN side = 0 THEN -price ELSE price END) AS rank FROM intervals JOIN (SELECT stream, max(till_ns) AS last FROM intervals GROUP BY stream) USING (stream) WHERE till_ns = last AND from_ns < last) WHERE rank <= 15", "intervals")
 def book_top_n(spark, sf_dir):
-    """best levels of each side, of all levels that a stream ever had."""
-    levels = closed_intervals(spark, sf_dir).select("stream", F.lit(0).alias("seq"), "side", "price").distinct()
-    return ol.book_top(levels, 15).select("stream", "price", "side", "rank")
+    """best levels of each side of the books that stand at the end."""
+    spans = closed_intervals(spark, sf_dir)
+    last = spans.groupBy("stream").agg(F.max("till_ns").alias("last"))
+    standing = spans.join(last, "stream").where("till_ns = last AND from_ns < last").select("stream", F.lit(0).alias("seq"), "side", "price")
+    return ol.book_top(standing, 15).select("stream", "price", "side", "rank")
 
 
 PAGE_NS = 1_704_585_600_000_000_000  # a week into the data
@@ -505,43 +514,49 @@ def symbol_filter(spark, sf_dir):
     return oq.filter_symbols(sa.directory(spark, sf_dir), "quit").select("id", "symbol")
 
 
-SCORE = """CASE WHEN t = '{q}' THEN 1000.0::DOUBLE WHEN starts_with(t, '{q}') THEN 800.0::DOUBLE - length(t) WHEN contains(t, '{q}') THEN 600.0::DOUBLE - (instr(t, '{q}') - 1) - length(t) * 0.1::DOUBLE ELSE -1.0::DOUBLE END"""
+def ranked_sql(q: str) -> str:
+    return f"SELECT id, round(greatest(by_symbol, by_market - 60), 6) AS score FROM (SELECT id, symbol, {score_sql('symbol', q, 'by_symbol')}, {score_sql('market', q, 'by_market')} FROM directory) WHERE greatest(by_symbol, by_market - 60) >= 0 ORDER BY score DESC, length(symbol), id LIMIT 60"
 
 
-@query(f"SELECT id, round(score, 6) AS score FROM (SELECT id, symbol, {SCORE.format(q='ring')} AS score FROM (SELECT *, lower(symbol) AS t FROM directory)) WHERE score >= 500 ORDER BY score DESC, length(symbol), id LIMIT 60", "directory")
+@query(ranked_sql("quit"), "directory")
 def fuzzy_rank(spark, sf_dir):
-    """Best matches of a search; over 500, so without loose ones."""
-    return oq.fuzzy_rank(sa.directory(spark, sf_dir).where(oq.fuzzy_score("ring", F.col("symbol")) >= 500), "ring").select("id", *r6("score"))
+    """Best matches of a search."""
+    return oq.fuzzy_rank(sa.directory(spark, sf_dir), "quit").select("id", *r6("score"))
 
 
-@query(None)
+@query(ranked_sql("ring"), "directory")
 def fuzzy_rank_all(spark, sf_dir):
     """Best matches of a search, with loose ones and those by market."""
     return oq.fuzzy_rank(sa.directory(spark, sf_dir), "ring").select("id", *r6("score"))
 
 
-@query(None)
+@query(f"SELECT id, symbol, round(score, 6) AS score FROM (SELECT id, symbol, {score_sql('symbol', 'rdg', 'score')} FROM directory) WHERE score BETWEEN 0 AND 400", "directory")
 def fuzzy_loose(spark, sf_dir):
     """Scores of loose matches, whose letters come in order with others between."""
     d = sa.directory(spark, sf_dir)
-    return d.select("id", "symbol", oq.fuzzy_score("rdg", F.col("symbol")).alias("score")).where("score BETWEEN 0 AND 400")
+    return d.select("id", "symbol", F.round(oq.fuzzy_score("rdg", F.col("symbol")), 6).alias("score")).where("score BETWEEN 0 AND 400")
 
 
-@query("SELECT id, market, CAST(row_number() OVER (ORDER BY score DESC, length(market), market) AS INTEGER) AS pos FROM (SELECT min(id) AS id, market, greatest(" + SCORE.format(q="venue1") + ", -1.0) AS score FROM (SELECT *, lower(market) AS t FROM directory) GROUP BY market, t) WHERE score >= 0", "directory")
-def venue_rank(spark, sf_dir):
-    """Venues by the score of their names."""
+def venues_sql(q: str) -> str:
+    return f"SELECT id, market, CAST(row_number() OVER (ORDER BY score DESC, length(market), market) AS INTEGER) AS pos FROM (SELECT id, market, {score_sql('market', q, 'score')} FROM (SELECT min(id) AS id, market FROM directory GROUP BY market)) WHERE score >= 0"
+
+
+def ranked_venues(spark: SparkSession, sf_dir: str, q: str) -> DataFrame:
     options = sa.directory(spark, sf_dir).groupBy("market").agg(F.min("id").alias("id")).withColumn("label", F.col("market"))
-    options = options.where(F.contains("market", F.lit("venue1")))
-    place = F.row_number().over(Window.orderBy(F.desc("score"), F.length("market"), "market"))
-    return oq.rank_venues(options, "venue1").withColumn("pos", place).select("id", "market", "pos")
+    place = F.row_number().over(Window.orderBy(F.desc("score"), F.length("market"), "market"))  # of at most 300 rows
+    return oq.rank_venues(options, q).withColumn("pos", place).select("id", "market", "pos")
 
 
-@query(None)
+@query(venues_sql("vn2"), "directory")
+def venue_rank(spark, sf_dir):
+    """Venues by loose matches with their names."""
+    return ranked_venues(spark, sf_dir, "vn2")
+
+
+@query(venues_sql("venue1"), "directory")
 def venue_rank_all(spark, sf_dir):
     """Venues by the score of their names, with loose matches."""
-    options = sa.directory(spark, sf_dir).groupBy("market").agg(F.min("id").alias("id")).withColumn("label", F.col("market"))
-    place = F.row_number().over(Window.orderBy(F.desc("score"), F.length("market"), "market"))  # of at most 300 rows
-    return oq.rank_venues(options, "venue1").withColumn("pos", place).select("id", "market", "pos")
+    return ranked_venues(spark, sf_dir, "venue1")
 
 
 @query("SELECT id, grp, CAST(CASE grp WHEN 'crypto' THEN 1 WHEN 'equity' THEN 2 ELSE 3 END AS INTEGER) AS group_rank, CAST(row_number() OVER (PARTITION BY grp ORDER BY id) AS INTEGER) AS pos FROM directory", "directory")

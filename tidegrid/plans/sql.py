@@ -38,7 +38,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         GROUP BY 1, 2, 3""",
     ),
     "newest": (("ev", "intervals", "cells"), "SELECT c.* FROM cells c JOIN (SELECT stream, max(col_idx) AS col_idx FROM cells GROUP BY stream) USING (stream, col_idx)"),
-    "level1": (("ev", "intervals", "cells"), "SELECT stream, CAST(col_idx // 4 AS BIGINT) AS col_idx, CAST(row // 4 AS INTEGER) AS row, least(sum(bid), 60000) AS bid, least(sum(ask), 60000) AS ask FROM cells GROUP BY 1, 2, 3"),
+    "level1": (("ev", "intervals", "cells"), "SELECT stream, CAST(col_idx // 4 AS BIGINT) AS col_idx, CAST(row // 4 AS INTEGER) AS row, least(sum(bid), 60000) AS bid, least(sum(ask), 60000) AS ask FROM cells JOIN (SELECT stream, max(col_idx) AS last FROM cells GROUP BY stream) USING (stream) WHERE (col_idx // 4 + 1) * 4 <= last + 1 GROUP BY 1, 2, 3"),
     "extents": (
         ("ev", "intervals", "cells"),
         "SELECT stream, col_idx, min(row) FILTER (bid > 0 OR ask > 0) AS lo, max(row) FILTER (bid > 0 OR ask > 0) AS hi, max(row) FILTER (bid > 0) AS bid_top, min(row) FILTER (ask > 0) AS ask_bot FROM cells GROUP BY 1, 2",
@@ -69,3 +69,17 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT p_partkey AS id, p_name AS symbol, CASE p_brand WHEN 'Brand#1' THEN 'equity' WHEN 'Brand#2' THEN 'sim' ELSE 'venue' || replace(p_brand, 'Brand#', '') || '-spot' END AS market FROM part)""",
     ),
 }
+
+
+def score_sql(column: str, q: str, name: str) -> str:
+    """Columns of a SELECT that end in ``name``: the score of a search for ``q``; each letter's first place after the one before."""
+    t, n = f"t_{name}", len(q)
+    p = [f"p{k}_{name}" for k in range(n)]
+    run = [f"r{k}_{name}" for k in range(n)]
+    out = [f"lower({column}) AS {t}", f"instr({t}, '{q[0]}') AS {p[0]}", f"1 AS {run[0]}"]
+    for k in range(1, n):
+        rest = f"instr(substr({t}, CAST({p[k - 1]} + 1 AS BIGINT)), '{q[k]}')"
+        out += [f"CASE WHEN {p[k - 1]} > 0 AND {rest} > 0 THEN {p[k - 1]} + {rest} ELSE 0 END AS {p[k]}", f"CASE WHEN {p[k]} = {p[k - 1]} + 1 THEN {run[k - 1]} + 1 ELSE 1 END AS {run[k]}"]
+    loose = f"CASE WHEN {p[-1]} > 0 THEN 100.0::DOUBLE + {' + '.join(run)} + CASE WHEN {p[0]} = 1 THEN 5 ELSE 0 END - length({t}) * 0.1::DOUBLE ELSE -1.0::DOUBLE END"
+    out.append(f"CASE WHEN {t} = '{q}' THEN 1000.0::DOUBLE WHEN starts_with({t}, '{q}') THEN 800.0::DOUBLE - length({t}) WHEN contains({t}, '{q}') THEN 600.0::DOUBLE - (instr({t}, '{q}') - 1) - length({t}) * 0.1::DOUBLE ELSE {loose} END AS {name}")
+    return ", ".join(out)

@@ -11,6 +11,7 @@ from tidegrid.operators import ingest as oi
 from tidegrid.operators import ladder as ol
 from tidegrid.operators import views as ov
 from tidegrid.plans.registry import HOUR, PAGE_NS, bars_hourly, cells, closed_intervals, linear, query, r6, s6
+from tidegrid.plans.sql import score_sql
 from tidegrid.sources import adapters as sa
 from tidegrid.sources import catalog as sc
 
@@ -317,20 +318,6 @@ def settings(spark, sf_dir):
 # Searches with every tier
 
 
-def score_sql(column: str, q: str, name: str) -> str:
-    """Columns of a SELECT that end in ``name``: the score of a search for ``q``; each letter's first place after the one before."""
-    t, n = f"t_{name}", len(q)
-    p = [f"p{k}_{name}" for k in range(n)]
-    run = [f"r{k}_{name}" for k in range(n)]
-    out = [f"lower({column}) AS {t}", f"instr({t}, '{q[0]}') AS {p[0]}", f"1 AS {run[0]}"]
-    for k in range(1, n):
-        rest = f"instr(substr({t}, CAST({p[k - 1]} + 1 AS BIGINT)), '{q[k]}')"
-        out += [f"CASE WHEN {p[k - 1]} > 0 AND {rest} > 0 THEN {p[k - 1]} + {rest} ELSE 0 END AS {p[k]}", f"CASE WHEN {p[k]} = {p[k - 1]} + 1 THEN {run[k - 1]} + 1 ELSE 1 END AS {run[k]}"]
-    loose = f"CASE WHEN {p[-1]} > 0 THEN 100.0::DOUBLE + {' + '.join(run)} + CASE WHEN {p[0]} = 1 THEN 5 ELSE 0 END - length({t}) * 0.1::DOUBLE ELSE -1.0::DOUBLE END"
-    out.append(f"CASE WHEN {t} = '{q}' THEN 1000.0::DOUBLE WHEN starts_with({t}, '{q}') THEN 800.0::DOUBLE - length({t}) WHEN contains({t}, '{q}') THEN 600.0::DOUBLE - (instr({t}, '{q}') - 1) - length({t}) * 0.1::DOUBLE ELSE {loose} END AS {name}")
-    return ", ".join(out)
-
-
 @query(
     f"SELECT id, round(greatest(by_symbol, by_market - 60), 6) AS score FROM (SELECT id, symbol, {score_sql('symbol', 'rdg', 'by_symbol')}, {score_sql('market', 'rdg', 'by_market')} FROM directory) WHERE greatest(by_symbol, by_market - 60) >= 0 ORDER BY round(greatest(by_symbol, by_market - 60), 9) DESC, length(symbol), id LIMIT 60",
     "directory",
