@@ -2,7 +2,9 @@
 
 import random
 
-from tidegrid.llm import queries
+import numpy as np
+
+from tidegrid.llm import hamming, queries
 
 
 def test_all_components_count(spark, tmp_path):
@@ -43,3 +45,24 @@ def test_fewer_rows_than_neighbours(spark):
     rows = spark.createDataFrame([(1, [5]), (2, [4]), (3, [5]), (3, [5]), (None, [5]), (4, None)], "vec_id long, code array<long>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in hamming.top_k(rows, rows.where("vec_id < 3"), k=9).collect())
     assert got == [(1, 1, 3, 0), (1, 2, 3, 0), (1, 3, 2, 1), (2, 1, 1, 1), (2, 2, 3, 1), (2, 3, 3, 1)]
+
+
+def test_radii_grow_to_the_end_on_any_table():
+    """Few far codes, many near ones, and a table in which the kth distance is near the number of bits."""
+    rng = np.random.default_rng(6)
+    for codes in (rng.integers(0, 1 << 63, (40, 1), dtype=np.uint64), rng.integers(0, 300, (500, 1), dtype=np.uint64), np.array([[0], [(1 << 64) - 1]], np.uint64), rng.integers(0, 1 << 63, (3000, 2), dtype=np.uint64)):
+        ids = np.arange(len(codes))
+        index = hamming.MultiIndex(codes, ids)
+        own = np.arange(0, len(codes), max(1, len(codes) // 7))
+        q, found, distance = index.search(codes[own], own, 10)
+        for n, i in enumerate(own):
+            d = np.bitwise_count(codes ^ codes[i]).sum(axis=1)
+            want = sorted((int(x), int(j)) for j, x in enumerate(d) if j != i)[:10]
+            assert list(zip(distance[q == n].tolist(), found[q == n].tolist())) == want
+
+
+def test_a_query_id_of_several_rows_is_asked_by_each(spark):
+    rows = spark.createDataFrame([(1, [0]), (2, [1]), (3, [255])], "vec_id long, code array<long>")
+    twice = spark.createDataFrame([(7, [0]), (7, [255])], "vec_id long, code array<long>")
+    got = [(r["rank"], r["vec_id"], r["distance"]) for r in hamming.top_k(rows, twice, k=3).orderBy("rank").collect()]
+    assert got == [(1, 1, 0), (2, 3, 0), (3, 2, 1)]

@@ -9,13 +9,15 @@ Rows are written to the shared folder in shards of about ``SHARD_ROWS``. Queries
 ``QUERY_ROWS``, are dealt to every shard: a task reads the shard, makes its tables, and sends its queries
 through them in batches; the k best of every shard are merged per query. Rows never move twice. Equal codes
 are one entry of the tables, and at most ``CANDIDATES`` of them are looked at together, so neither a code
-nor a segment that many rows share makes a task large. Where the values within a radius outnumber the codes,
-all codes are compared instead. Every row is indexed; results are exact in Hamming distance.
+nor a segment that many rows share makes a task large. The values at a radius are reached by flipping bits while these are fewer than the
+values that occur, and picked among these beyond, so a radius never costs more than the codes there are. Every row is
+indexed; results are exact in Hamming distance.
 
 Defined cases: null vectors and codes are neither found nor queried; NaN and null components count as 0, and
 so as bit 0; vectors shorter than the longest are filled up with bits 0; ties of distance go to the smaller
-id; null ids are neither found nor queried; a row is not a neighbour of itself (of its id); rows that repeat an id are found once each; fewer than k
-rows give fewer results; empty tables give no rows.
+id; null ids are neither found nor queried; a row is not a neighbour of itself (of its id); rows that repeat an id are
+found once each; of a query id that occurs in several rows, what all of them find is ranked together, so a row may be
+there once for each; fewer than k rows give fewer results; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -64,10 +66,11 @@ class MultiIndex:
         at = np.flatnonzero(new)
         self.first, self.last = at, np.append(at[1:], len(codes))
         self.segments = np.ascontiguousarray(codes[at]).view(np.uint16)
-        self.rows, self.starts = [], []
+        self.rows, self.starts, self.occupied = [], [], []
         for s in range(self.segments.shape[1]):
             self.rows.append(np.argsort(self.segments[:, s], kind="stable"))
             self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(self.segments[:, s], minlength=1 << SEGMENT))]))
+            self.occupied.append(np.unique(self.segments[:, s]))
 
     def search(self, queries: np.ndarray, own_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, id, distance) of the k nearest rows of each query, whose own id is left out."""
@@ -77,23 +80,34 @@ class MultiIndex:
         for r in range(SEGMENT + 1):
             if not len(active) or not n:
                 break
-            if comb(SEGMENT, r) * m > n:
-                found.compare_all(active)
-                break
-            for flips in combinations(range(SEGMENT), r):
-                mask = np.uint16(sum(1 << f for f in flips))
-                for s in range(m):
-                    values = (found.own[active, s] ^ mask).astype(np.int64)
+            for s in range(m):
+                for part, values in self._values_at(s, found.own[active, s], r):
                     low, counts = self.starts[s][values], self.starts[s][values + 1] - self.starts[s][values]
                     some = np.flatnonzero(counts)
                     for a, b in blocks(counts[some].tolist(), CANDIDATES):
-                        part = some[a:b]
-                        size = counts[part]
-                        row = self.rows[s][np.repeat(low[part] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                        found.see(np.repeat(active[part], size), row, r, s)
+                        own = some[a:b]
+                        size = counts[own]
+                        row = self.rows[s][np.repeat(low[own] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                        found.see(np.repeat(active[part[own]], size), row, r, s)
             active = active[found.kth()[active] > m * (r + 1) - 1]
         return found.result()
 
+    def _values_at(self, s: int, own: np.ndarray, r: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number of the query, value) of the values of segment ``s`` at distance ``r`` from each query's, in pieces.
+
+        They are reached by flipping bits, or picked among the values that occur, whichever are fewer.
+        """
+        flips, occupied = comb(SEGMENT, r), self.occupied[s]
+        masks = np.array([sum(1 << f for f in c) for c in combinations(range(SEGMENT), r)], np.uint16) if flips <= len(occupied) else None
+        step = max(1, CANDIDATES // min(flips, len(occupied)) if masks is not None else CANDIDATES // max(1, len(occupied)))
+        for at in range(0, len(own), step):
+            part = own[at : at + step, None]
+            if masks is not None:
+                yield np.repeat(np.arange(at, at + len(part)), flips), (part ^ masks).reshape(-1).astype(np.int64)
+            else:
+                q, v = np.nonzero(np.bitwise_count(part ^ occupied) == r)
+                yield at + q, occupied[v].astype(np.int64)
+
 
 class _Nearest:
     """The nearest codes of each query so far."""
@@ -117,17 +131,6 @@ class _Nearest:
         use = (apart[:, :s] > r).all(axis=1) & (apart[:, s + 1 :] >= r).all(axis=1)
         self._keep(q[use], code[use], apart[use].sum(axis=1, dtype=np.int64))
 
-    def compare_all(self, queries: np.ndarray) -> None:
-        """Forget what was seen of these queries and compare them with every code."""
-        self.seen[queries] = 0
-        forgotten = np.zeros(len(self.own), bool)
-        forgotten[queries] = True
-        self.kept = [tuple(x[~forgotten[part[0]]] for x in part) for part in self.kept]
-        n = len(self.index.segments)
-        for a, b in blocks([n] * len(queries), CANDIDATES):
-            q, code = np.repeat(queries[a:b], n), np.tile(np.arange(n), b - a)
-            self._keep(q, code, np.bitwise_count(self.own[q] ^ self.index.segments[code]).sum(axis=1, dtype=np.int64))
-
     def _keep(self, q: np.ndarray, code: np.ndarray, distance: np.ndarray) -> None:
         near = distance <= self.bound[q]
         q, code, distance = q[near], code[near], distance[near]
