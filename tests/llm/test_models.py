@@ -126,3 +126,28 @@ def test_scores_over_frames(docs, spark):
     rows = out.collect()
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
     assert quality.score(docs.limit(0), model, keep=(F.col("doc_id"),)).count() == 0
+
+
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    from tidegrid.llm import langid
+
+    rng = random.Random(2)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, text("abcd", 30), "xx") for i in range(40)] + [(100, text("wxyz", 60_000), "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, most_bytes=20_000)
+    assert model.languages == ["xx", "yy"] and model.predict(text("wxyz", 50))[0] == "yy" and model.predict(text("abcd", 50))[0] == "xx"
+
+
+def test_samples_follow_shares_of_any_size(spark):
+    from pyspark.sql import functions as F
+
+    from tidegrid.llm.quality import labelled_sample
+    from tidegrid.llm.shared import chosen_by_hash
+
+    ids = spark.range(200_000).select(F.col("id").cast("string").alias("id"))
+    count = lambda share: ids.where(chosen_by_hash(F.col("id"), 5, F.lit(share))).count()
+    assert count(1.0) == 200_000 and 900 < count(0.005) < 1100 and count(1e-9) == 0
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 20, i % 2) for i in range(400)], "doc_id long, quality int")  # each label twenty times
+    assert len(labelled_sample(docs, labels, "quality", 5, 1 << 16)) <= 20 and len(labelled_sample(docs, labels, "quality", 500, 1 << 16)) == 20

@@ -3,8 +3,8 @@
 Multinomial logistic regression on TF-IDF weights of hashed character n-grams, trained by
 follow-the-regularised-leader with L1 and L2 penalties, then calibrated by one temperature.
 Document frequencies are counted over all documents that may be learned from; weights are fitted to a sample
-of about ``per_language`` documents of each language, and about ``most_bytes`` of text over all languages, of
-texts up to ``LONGEST_LEARNED`` bytes. Every language with such a text is learned.
+of about ``per_language`` documents of each language, and about ``most_bytes`` of text over all languages, whatever
+the length of their texts. Every language is learned, from one document at least.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; equal scores go to the
 language that comes first in sorted order; with nothing to learn from, every text is ``und``; texts of any
@@ -23,11 +23,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import in_python
+from tidegrid.llm.shared import chosen_by_hash, in_python
 
 DIMENSIONS = 1 << 15
 STRETCH = 1 << 18
-LONGEST_LEARNED = 1 << 16
 _letter = regex.compile(r"\p{L}").search
 UNKNOWN = "und"
 
@@ -99,15 +98,16 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def _sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int, most_bytes: int) -> pd.DataFrame:
     """About ``per_language`` documents of each language, as n-gram counts, chosen by a hash of the id.
 
-    Languages share ``most_bytes`` evenly, so the driver holds a bounded amount however many there are.
+    Languages share ``most_bytes`` evenly, so the driver holds a bounded amount however many there are; a text of any
+    length comes as ``DIMENSIONS`` counts at most. Of each language the document of least hash is always there.
     """
-    size = F.coalesce(F.octet_length(text_col), F.lit(0))
-    fit_to_learn = docs.where(size <= LONGEST_LEARNED).select(id_col, text_col, lang_col)
-    totals = fit_to_learn.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    key = F.col(id_col).cast("string")
+    rows = docs.select(key.alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).withColumn("hash", F.xxhash64("id", F.lit(11)))
+    totals = rows.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("t"), F.lit(0))).alias("bytes"), F.min("hash").alias("least"))
     languages = totals.count()
     share = F.least(F.lit(1.0), per_language / F.col("n"), most_bytes / max(1, languages) / F.greatest(F.lit(1), "bytes"))
-    chosen = fit_to_learn.join(F.broadcast(totals.select(F.col("lang").alias("lang_"), share.alias("share_"))), F.col(lang_col) == F.col("lang_"))  # a row a language
-    chosen = chosen.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1 << 20)) < F.col("share_") * (1 << 20))
+    chosen = rows.join(F.broadcast(totals.select("lang", "least", share.alias("share"))), "lang")  # a row a language
+    chosen = chosen.where(chosen_by_hash(F.col("id"), 11, F.col("share")) | (F.col("hash") == F.col("least")))
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -118,8 +118,7 @@ def _sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang
                 found.append((at.astype(np.int32), counts[at].astype(np.int32)))
             yield pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "at": [a for a, _ in found], "n": [n for _, n in found]})
 
-    rows = chosen.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
-    out = in_python(rows, featurise, "id string, lang string, at array<int>, n array<int>").toPandas()
+    out = in_python(chosen.select("id", "lang", "t"), featurise, "id string, lang string, at array<int>, n array<int>").toPandas()
     return out.sort_values(["id", "lang"], kind="stable", na_position="first").reset_index(drop=True)
 
 
@@ -144,7 +143,9 @@ def train(
         vectors.append(model.vector(counts))
     target = np.array([languages.index(x) for x in sample["lang"]])
     order = np.random.default_rng(seed).permutation(len(target))
-    aside, learn = order[: len(order) // 5], order[len(order) // 5 :]
+    only = set(np.unique(target, return_index=True)[1].tolist())  # one document of each language is always learned from
+    aside = np.array([i for i in order[: len(order) // 5] if i not in only], int)
+    learn = np.concatenate([order[len(order) // 5 :], [i for i in order[: len(order) // 5] if i in only]]).astype(int)
     z, n = np.zeros((DIMENSIONS + 1, k)), np.zeros((DIMENSIONS + 1, k))
 
     def current(at):

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import in_python
+from tidegrid.llm.shared import chosen_by_hash, in_python
 
 WIDTH, FILTERS = 8, 16
 CHUNK, STEP = 256, 192
@@ -120,16 +120,15 @@ def fit(texts: list[str | None], labels: list[int], passes: int = 10, batch: int
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
     """(text, label) of about ``per_class`` documents of each class, chosen by a hash of the id.
 
-    The documents' share of each class is kept in column ``share``, so that a fit can undo the balance.
-    Texts over ``most_bytes`` are not learned from: together both bounds limit what the driver holds.
+    The number of documents of each class is kept in column ``total``, so that a fit can undo the balance. Labels that
+    repeat count once. Texts over ``most_bytes`` are not learned from: together both bounds limit what the driver holds.
     """
-    rows = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label"))
+    rows = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label")).distinct()
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     share = F.create_map(*(F.lit(x) for k in (0, 1) for x in (k, min(1.0, per_class / max(1, sizes.get(k, 0))))))
-    rows = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(13)), F.lit(1 << 20)) < share[F.col("label")] * (1 << 20))
+    rows = rows.where(chosen_by_hash(F.col("id").cast("string"), 13, share[F.col("label")]))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
-    chosen = F.broadcast(rows.limit(4 * per_class + 100))  # a bounded number of ids
-    out = texts.join(chosen, "id").toPandas()
+    out = texts.join(F.broadcast(rows), "id").toPandas()  # about ``per_class`` ids of each class
     out["total"] = out["label"].map(sizes)
     return out.sort_values(["id", "label", "text"], kind="stable").reset_index(drop=True)
 

@@ -70,6 +70,11 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def chosen_by_hash(key: Column, salt: int, share: Column) -> Column:
+    """Whether a key is in a sample of this share, by all 63 bits of a hash, so that shares may be as small as tables are large."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(salt)), 1).cast("double") < share * float(1 << 63)
+
+
 def blocks(lengths, most: int):
     """Split row numbers 0..n-1 into consecutive (start, stop) whose lengths sum to about ``most``."""
     start = total = 0
