@@ -55,16 +55,17 @@ def digest(text: str) -> int:
 class DigestArray:
     """Sorted keys with their strings and verdicts, laid out as one block of bytes that can be mapped.
 
-    Layout: counts, keys (n x 8), offsets of strings (n+1 x 8), lengths of hosts (n x 4), blocked flags (n),
-    strings. Entries with one key are neighbours; all are looked at.
+    Layout: counts, keys (n x 8), offsets of strings (n+1 x 8), lengths of hosts (n x 4), the lengths that paths have
+    (each once, x 4), blocked flags (n), strings. Entries with one key are neighbours; all are looked at.
     """
 
     def __init__(self, data: np.ndarray):
-        n = int(data[:8].view(np.uint64)[0])
-        at = 8
+        n, k = (int(x) for x in data[:16].view(np.uint64))
+        at = 16
         self.keys, at = data[at : at + 8 * n].view(np.uint64), at + 8 * n
         self.offsets, at = data[at : at + 8 * (n + 1)].view(np.uint64), at + 8 * (n + 1)
         self.host_length, at = data[at : at + 4 * n].view(np.uint32), at + 4 * n
+        self.path_lengths, at = data[at : at + 4 * k].view(np.uint32).tolist(), at + 4 * k
         self.blocked, at = data[at : at + n], at + n
         self.strings = data[at:]
 
@@ -75,11 +76,11 @@ class DigestArray:
             host = host.translate(str.maketrans(ASCII_UPPER, ASCII_LOWER))
             verdicts[host, path] = verdicts.get((host, path), False) or verdict == "block"
         entries = sorted((digest(h + p), h, p, b) for (h, p), b in verdicts.items())
-        strings = [(h + p).encode() for _, h, p, _ in entries]
+        strings, lengths = [(h + p).encode() for _, h, p, _ in entries], sorted({len(p) for _, _, p, _ in entries})
         parts = (
-            np.array([len(entries)], np.uint64), np.array([k for k, *_ in entries], np.uint64),
+            np.array([len(entries), len(lengths)], np.uint64), np.array([k for k, *_ in entries], np.uint64),
             np.cumsum([0, *map(len, strings)]).astype(np.uint64), np.array([len(h.encode()) for _, h, _, _ in entries], np.uint32),
-            np.array([b for *_, b in entries], np.uint8),
+            np.array(lengths, np.uint32), np.array([b for *_, b in entries], np.uint8),
         )
         return b"".join([*(p.tobytes() for p in parts), *strings])
 
@@ -89,10 +90,6 @@ class DigestArray:
     def string(self, i: int) -> bytes:
         return self.strings[int(self.offsets[i]) : int(self.offsets[i + 1])].tobytes()
 
-    def path_lengths(self) -> list[int]:
-        """Lengths in characters of the rules' paths, each once."""
-        return sorted({len(self.string(i)[int(h) :].decode()) for i, h in enumerate(self.host_length)})
-
     def find(self, keys: np.ndarray, texts: list[str], host_lengths: np.ndarray) -> np.ndarray:
         """Entry of each probe, or -1; ``texts`` are the probes' strings."""
         out = np.full(len(keys), -1)
@@ -139,7 +136,7 @@ def _map(block: bytes, keep: bool = True) -> DigestArray:
 
 
 def judge_array(hosts: list[str], paths: list[str], index: DigestArray, default: str) -> tuple[list[str | None], list[str]]:
-    lengths = index.path_lengths() if len(index) else []
+    lengths = index.path_lengths
     owner, texts, host_lengths = [], [], []
     for i, (host, path) in enumerate(zip(hosts, paths)):
         if host:
