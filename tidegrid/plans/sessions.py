@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.functions import text as ft
 from tidegrid.functions.ints import floor_div
-from tidegrid.functions.scale import bin_row
+from tidegrid.functions.scale import bin_row, remap_row, remap_span
 from tidegrid.operators import density as od
+from tidegrid.operators import discovery as oq
 from tidegrid.operators import ingest as oi
 from tidegrid.operators import normalize as on
 from tidegrid.operators import profiles as op
-from tidegrid.plans.registry import HOUR, cells, linear, query, r6
+from tidegrid.plans.registry import HOUR, WEEKS2, cells, hybrid, linear, query, r6
 from tidegrid.sources import adapters as sa
 
 DAY = 24 * HOUR
@@ -102,3 +104,69 @@ def point_probe(spark, sf_dir):
     nothing = {c: F.lit(None).cast("double") for c in ("dn_rows", "core_rows", "core_p0", "core_step", "lo_price", "hi_price")}
     epochs = t.select("stream").distinct().withColumns({"epoch": F.lit(0), "tick": F.lit(sa.TICK), "tick_multiple": F.lit(1), "p0": F.lit(sa.P0), "rows": F.lit(sa.ROWS), "scale_kind": F.lit(0), **nothing})
     return od.probe(t, grid, epochs, 4).select("stream", "seq", "col_idx", "row", *r6("bid", "ask"), "epoch", "price")
+
+
+# Markets, taker volumes, other frames, axes and times
+
+
+@query(
+    """SELECT DISTINCT split_part(market, '-', 1) AS id, CASE WHEN contains(market, '-') THEN split_part(market, '-', 1) || '-' || substr(market, instr(market, '-') + 1) ELSE market END AS market FROM directory""",
+    "directory",
+)
+def venue_segments(spark, sf_dir):
+    """Markets of each venue, from the segments that its markets name."""
+    parts = sa.directory(spark, sf_dir).select(oq.market_parts(F.col("market")).alias("x")).select("x.exchange", "x.segment")
+    # The segments of one venue are a few.
+    venues = parts.groupBy("exchange").agg(F.collect_set("segment").alias("segments")).withColumnRenamed("exchange", "id")
+    return oq.venue_markets(venues)
+
+
+@query(
+    """, split AS (SELECT *, CASE WHEN t0_ns // 604800000000000 % 3 <> 0 THEN volume * 0.75 END AS buy, volume * 0.25 AS sell FROM gridded)
+    SELECT stream, n AS col_seq, coalesce(buy, 0) AS vol_buy, CASE WHEN buy IS NULL THEN 0 ELSE sell END AS vol_sell, sum(CASE WHEN buy IS NULL THEN 0 ELSE buy - sell END) OVER (PARTITION BY stream ORDER BY n ROWS UNBOUNDED PRECEDING) AS cvd_cum FROM split""",
+    "gridded",
+)
+def taker_bars(spark, sf_dir):
+    """Bars of candles with taker volumes; where one is not known both count as none."""
+    known = F.when(floor_div(F.col("t0_ns"), 7 * DAY) % 3 != 0, F.col("volume") * 0.75)
+    candles = sa.candles(spark, sf_dir).withColumns({"buy_volume": known, "sell_volume": F.col("volume") * 0.25})
+    return op.bars_from_candles(candles, WEEKS2).select("stream", "col_seq", "vol_buy", "vol_sell", "cvd_cum")
+
+
+_ROW_OF = "CASE WHEN {p} < 84 THEN 20 * (1 + ln({p} / 84) / ln(84 / 40.0::DOUBLE)) WHEN {p} <= 116 THEN 20 + ({p} - 84) / 0.5 ELSE 84 + 44 * (ln({p} / 116) / ln(250 / 116.0::DOUBLE)) END"
+
+
+@query(
+    f"""SELECT event_id, round({_ROW_OF.format(p='(70 + 0.5 * r)')}, 6) AS row, round({_ROW_OF.format(p='(70 + 0.5 * (r + 4))')} - ({_ROW_OF.format(p='(70 + 0.5 * (r - 4))')}), 6) AS span
+    FROM (SELECT event_id, (event_id % 128)::DOUBLE AS r FROM events)"""
+)
+def hybrid_remap(spark, sf_dir):
+    """A row and a span of a linear frame on a hybrid scale."""
+    row = (F.col("event_id") % 128).cast("double")
+    return sa.table(spark, sf_dir, "events").select("event_id", F.round(remap_row(row, linear(), hybrid()), 6).alias("row"), F.round(remap_span(F.lit(8.0), linear(), hybrid(), row), 6).alias("span"))
+
+
+@query(
+    """, steps AS (SELECT event_id, lo, hi, greatest(CASE WHEN f <= 1 THEN 1 WHEN f <= 2 THEN 2 WHEN f <= 5 THEN 5 ELSE 10 END * p, 0.5) AS step FROM (SELECT *, rough / p AS f FROM (SELECT *, power(10.0, floor(log10(rough))) AS p
+      FROM (SELECT event_id, 75 + value AS lo, 76 + value * 3 AS hi, (1 + value * 2) / 6 AS rough FROM events))))
+    SELECT event_id, CAST(greatest(0, floor((hi + step * 1e-9) / step) - ceil(lo / step) + 1) AS INTEGER) AS n, CASE WHEN floor((hi + step * 1e-9) / step) >= ceil(lo / step) THEN round(ceil(lo / step) * step, 6) END AS first FROM steps""".replace(", steps AS", "WITH steps AS")
+)
+def axis_ticks(spark, sf_dir):
+    """Nice prices between two prices: how many, and the first."""
+    ticks = ft.price_ticks(75 + F.col("value"), 76 + F.col("value") * 3, 6, F.lit(0.5)).alias("t")
+    return sa.table(spark, sf_dir, "events").select("event_id", ticks).select("event_id", F.size("t").alias("n"), F.round(F.get("t", F.lit(0)), 6).alias("first"))
+
+
+@query(
+    """SELECT event_id, CAST(ns // 1000000 % 200000000 AS BIGINT) AS left_ms,
+      CASE WHEN s >= 86400 THEN CAST(s // 86400 AS VARCHAR) || 'd ' ELSE '' END || CASE WHEN s <= 0 AND ns // 1000000 % 200000000 = 0 THEN '00:00:00' ELSE printf('%02d:%02d:%02d', s % 86400 // 3600, s % 3600 // 60, s % 60) END AS shown,
+      round(least(1, greatest(0, (ns - 1704067200000000000) / 2592000000000000.0::DOUBLE)), 9) AS fraction, CAST(1704067200000000000 + (event_id % 11) * 259200000000000 AS BIGINT) AS seek
+    FROM (SELECT event_id, epoch_us(ts) * 1000 AS ns, epoch_us(ts) // 1000 % 200000000 // 1000 AS s FROM events)"""
+)
+def replay_times(spark, sf_dir):
+    """Countdowns, places in a recording, and times at tenths of it."""
+    ns, start, end = sa.nanos(F.col("ts")), F.lit(1_704_067_200_000_000_000), F.lit(1_704_067_200_000_000_000 + 30 * DAY)
+    left = floor_div(ns, 1_000_000) % 200_000_000
+    return sa.table(spark, sf_dir, "events").select(
+        "event_id", left.alias("left_ms"), ft.countdown(left).alias("shown"), F.round(ft.fraction_of(ns, start, end), 9).alias("fraction"), ft.seek_target(F.col("event_id") % 11 / 10, start, end).alias("seek")
+    )
