@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors see.
 
-    A local folder is set only where the session has no such setting, as in tests on one machine.
+    A local folder is set only where the session has no such setting and runs on one machine, as in tests.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidegrid-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tidegrid-{uuid.uuid4().hex}"
