@@ -13,10 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidegrid.functions.ints import floor_div
 from tidegrid.functions.scale import band_frame, finite, half_float, make_hybrid
+from tidegrid.operators.running import running
 
 #: The inner part of a frame that the middle may roam, and the ratio that moves the frame of a band.
 INNER_LOW, INNER_HIGH = 0.15, 0.85
@@ -122,14 +122,13 @@ def moving_density(levels: DataFrame, epochs: DataFrame, tick: float, rows: int,
     end. A cell must lie on the grid in every epoch from its book's to its column's, as each move drops what falls
     off, and a move to another step drops all.
     """
-    at = Window.partitionBy("stream").orderBy("seq")
     books = levels.groupBy("stream", "seq").agg(F.first("ts_ns").alias("ts_ns"))
-    books = books.withColumn("eff", F.max("ts_ns").over(at.rowsBetween(Window.unboundedPreceding, 0)))
-    started = epochs.select("stream", F.col("from_seq").alias("seq"), "epoch", "p0")
-    both = books.unionByName(started.withColumn("eff", F.lit(None).cast("long")), allowMissingColumns=True)
-    in_order = Window.partitionBy("stream").orderBy("seq", F.col("epoch").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("epoch", F.last("epoch", ignorenulls=True).over(in_order)).where("eff IS NOT NULL").select("stream", "seq", "eff", "epoch")
-    spans = placed.withColumn("till", F.lead("eff").over(at)).where("till > eff")
+    started = epochs.select("stream", F.col("from_seq").alias("seq"), "epoch", F.lit(0).alias("_rank"))  # before the book of the same place
+    both = books.withColumn("_rank", F.lit(1)).unionByName(started, allowMissingColumns=True)
+    timed = running(both, ("seq", "_rank"), {"eff": ("max", F.col("ts_ns")), "_epoch": ("max", F.col("epoch"))}).where("_rank = 1")
+    placed = timed.select("stream", "seq", "eff", F.col("_epoch").alias("epoch"), (-F.col("seq")).alias("_back"))
+    # The next book is the last one before in reverse order.
+    spans = running(placed, ("_back",), {"till": ("last", F.col("eff"))}, before=True).drop("_back").where("till > eff")
     cut = spans.withColumn("col_idx", F.explode(F.sequence(floor_div(F.col("eff"), dt_ns), floor_div(F.col("till") - 1, dt_ns))))
     if ring is not None:
         first, last = floor_div(F.col("eff"), dt_ns), floor_div(F.col("till"), dt_ns)

@@ -77,8 +77,10 @@ def columns_from_candles(candles: DataFrame, tick: float, rows: int, dt_ns: int)
     low, high = row_of(F.least("l", "h")), row_of(F.greatest("l", "h"))
     inside = F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(rows - 1)))
     some = F.greatest(low, F.lit(0)) <= F.least(high, F.lit(rows - 1))
-    cells = framed.where(some).withColumn("cells", inside).select("stream", F.col("n").alias("col_seq"), F.col("t0").alias("t0_ns"), row_of(F.col("c")).alias("close_row"), (F.col("volume") / F.size("cells")).alias("per"), F.explode("cells").alias("row"))
-    peak = F.max("per").over(Window.partitionBy("stream"))
+    spread = framed.where(some).withColumn("cells", inside).select("stream", F.col("n").alias("col_seq"), F.col("t0").alias("t0_ns"), row_of(F.col("c")).alias("close_row"), (F.col("volume") / F.size("cells")).alias("per"), "cells")
+    peaks = spread.groupBy("stream").agg(F.max("per").alias("peak"))
+    cells = spread.join(peaks, "stream").withColumn("row", F.explode("cells"))
+    peak = F.col("peak")
     size = half_float(F.when(peak > 0, F.col("per") * (PEAK / peak)).otherwise(F.col("per")))
     at = F.col("row") <= F.col("close_row")
     return cells.select("stream", "col_seq", "t0_ns", F.col("row").cast("int").alias("row"), F.when(at, size).otherwise(0.0).alias("bid"), F.when(~at, size).otherwise(0.0).alias("ask"), F.lit("reconstructed").alias("provenance"))
@@ -102,4 +104,5 @@ def latest_session(bars: DataFrame, zone: str = "America/New_York") -> DataFrame
     """Bars of the most recent session date in the zone, per stream."""
     date = F.to_date(F.convert_timezone(F.current_timezone(), F.lit(zone), F.timestamp_micros(floor_div(F.col("t0_ns"), 1000)).cast("timestamp_ntz")))
     dated = bars.withColumn("session", date)
-    return dated.withColumn("_last", F.max("session").over(Window.partitionBy("stream"))).where("session = _last").drop("_last")
+    newest = dated.groupBy("stream").agg(F.max("session").alias("session"))
+    return dated.join(newest, ["stream", "session"], "left_semi").select(*bars.columns, "session")
