@@ -56,6 +56,7 @@ def test_reordered_passages_are_caught_and_clean_ones_are_not(spark):
     for size in (decontam.SLICE_BYTES, 150, 1):
         got = sorted((r["doc_id"], r["item_id"], round(r["coverage"], 3), len(r["tiles"])) for r in decontam.contaminated(d, b, slice_bytes=size).collect())
         assert got == [(10, 1, 1.0, 3), (10, 5, 1.0, 1), (14, 2, 1.0, 1)]
+        assert decontam.contaminated(d, b, slice_bytes=size)._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
     assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
 
 

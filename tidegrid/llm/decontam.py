@@ -5,9 +5,10 @@ hash. Seeds that join on a diagonal grow to maximal matches; the longest match i
 matches that overlap marked words are cut back, and what is left below the least match is dropped. The
 share of an item's words under tiles is its coverage, so passages in another order count in full.
 
-Items are written to the shared folder in slices of about ``SLICE_BYTES``, one of which a task reads for its
-scan, so neither the driver nor a task holds the benchmark; documents are neither shuffled nor gathered, so
-words, lines and passages of any frequency cost only their own length. Seeds are joined ``SEEDS`` at a time.
+Items are written to the shared folder in slices of about ``SLICE_BYTES``, so neither the driver nor a task holds
+the benchmark. Documents are read and hashed once, whatever its size: a task holds about ``HELD_CHARS`` of them
+while slice after slice passes. They are neither shuffled nor gathered, so words, lines and passages of any
+frequency cost only their own length. Seeds are joined ``SEEDS`` at a time.
 
 Defined cases: an item of fewer words than the least match is matched as a whole; null or empty items and
 documents match nothing; ties of length go to the earlier place in the item, then in the document; repeated
@@ -17,7 +18,7 @@ documents and items give a row each; documents of any length are read whole; emp
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.shared import blocks, in_python, shared_dir
-from tidegrid.llm.words import windows, words_of
+from tidegrid.llm.words import Words, windows, words_of
 
 SLICE_BYTES = 8 << 20
 BLOCK_CHARS = 1 << 19
+#: Text that a task holds while it goes through several slices.
+HELD_CHARS = 1 << 24
 #: Pairs of equal seeds that are looked at together, in some 50 MB.
 SEEDS = 1 << 19
 _FILTER_BITS = 22
@@ -104,7 +107,9 @@ class Benchmark:
 
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
         """(number of the text, number of the item, tiles) of every text and item that share a seed."""
-        words = words_of(texts)
+        return self.matches_of(words_of(texts))
+
+    def matches_of(self, words: Words) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
         for seeds in self.seeds:
             hashes = windows(words.hashes, seeds.width)
             inside = words.text[: len(hashes)] == words.text[seeds.width - 1 :] if len(hashes) else np.zeros(0, bool)
@@ -150,9 +155,7 @@ def contaminated(
     folder = shared_dir(docs.sparkSession)
     dealt = items.withColumn("slice", F.pmod(F.xxhash64("item", "text"), F.lit(slices)).cast("int"))
     dealt.repartition(slices, "slice").sortWithinPartitions("item", "text").write.partitionBy("slice").parquet(folder)
-    out = _scan(docs, f"{folder}/slice=0", least_match, threshold, id_col, text_col)
-    for k in range(1, slices):
-        out = out.union(_scan(docs, f"{folder}/slice={k}", least_match, threshold, id_col, text_col))
+    out = _scan(docs, folder, slices, least_match, threshold, id_col, text_col)
     repeated = out.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
     return repeated.withColumnsRenamed({"id": id_col, "item": item_col})
 
@@ -172,21 +175,40 @@ def _read(folder: str, least_match: int) -> Benchmark:
     return _held[folder, least_match]
 
 
-def _scan(docs: DataFrame, folder: str, least_match: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def _together(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list, list]]:
+    """(ids, texts) of consecutive batches that hold ``most`` characters or a little more."""
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        ids += batch["id"].tolist()
+        texts += batch["text"].tolist()
+        held += sum(len(t or "") for t in batch["text"])
+        if held >= most:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def _scan(docs: DataFrame, folder: str, slices: int, least_match: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _read(folder, least_match)
-        for batch in batches:
-            ids, texts = batch["id"].tolist(), batch["text"].tolist()
-            rows = []
-            for a, b in blocks([len(t or "") for t in texts], BLOCK_CHARS):
-                for t, k, tiles in index.matches(texts[a:b]):
-                    covered, total = sum(n for *_, n in tiles), len(index.items[k])
-                    if covered >= threshold * total:
-                        rows.append((ids[a + t], *index.ids[k], total, covered, covered / total, [{"item_at": x, "doc_at": y, "length": n} for x, y, n in tiles]))
-            out = pd.DataFrame(rows, columns=["id", "item", "copies", "item_words", "covered_words", "coverage", "tiles"])
-            for c in ("id", "item"):
-                out[c] = out[c].astype("Int64")
-            yield out
+        for ids, texts in _together(batches, HELD_CHARS if slices > 1 else 0):
+            hashed = ((a, words_of(texts[a:b])) for a, b in blocks([len(t or "") for t in texts], BLOCK_CHARS))
+            if slices > 1:
+                hashed = list(hashed)
+            for k in range(slices):
+                yield found(_read(f"{folder}/slice={k}", least_match), ids, hashed)
+
+    def found(index: Benchmark, ids: list, hashed: Iterable[tuple[int, Words]]) -> pd.DataFrame:
+        rows = []
+        for first, words in hashed:
+            for t, k, tiles in index.matches_of(words):
+                covered, total = sum(n for *_, n in tiles), len(index.items[k])
+                if covered >= threshold * total:
+                    rows.append((ids[first + t], *index.ids[k], total, covered, covered / total, [{"item_at": x, "doc_at": y, "length": n} for x, y, n in tiles]))
+        out = pd.DataFrame(rows, columns=["id", "item", "copies", "item_words", "covered_words", "coverage", "tiles"])
+        for c in ("id", "item"):
+            out[c] = out[c].astype("Int64")
+        return out
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, item long, copies long, item_words int, covered_words int, coverage double, tiles array<struct<item_at:int,doc_at:int,length:int>>"
