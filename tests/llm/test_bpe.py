@@ -1,11 +1,14 @@
 import hashlib
+import itertools
+import re
 
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidegrid.llm.bpe import Bpe, decode, encode, round_trip
+from tidegrid.llm.bpe import SPLIT, Bpe, decode, encode, latin_split, round_trip
 from tidegrid.llm.queries import vocabulary_path
 
 PATH = vocabulary_path()
@@ -44,3 +47,26 @@ def test_queries_on_frames(spark):
     back = {r.doc_id: r.text for r in decode(encode(docs, PATH), PATH).collect()}
     assert back == {i: t or "" for i, t, _ in rows}
     assert round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_a_task_merges_each_of_many_pieces_once():
+    letters = "etaoinsrhdlucmfywgpbv"
+    words = ["".join(w) for w in itertools.islice(itertools.product(letters, repeat=4), 125_000)]  # within one generation
+    ours, merged = Bpe(PATH), []
+    ours.merge = lambda piece, merge=ours.merge: merged.append(piece) or merge(piece)
+    texts = [" " + " ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    first = [ours.encode_joined(t) for t in texts]
+    assert first == [ours.encode_joined(t) for t in texts]
+    assert len(merged) == len(words)
+    assert ours.encode(texts[7]) == THEIRS.encode(texts[7], add_special_tokens=False).ids
+
+
+def test_latin_texts_are_split_as_any_text():
+    latin, any_text = re.compile(latin_split()).findall, regex.compile(SPLIT).findall
+    chars = [chr(i) for i in range(256)]
+    for a, b in itertools.product(chars, chars):
+        text = f"x{a}{b}'s {b}{a}{a}"
+        assert latin(text) == any_text(text), text
+    text = "".join(chars) * 2 + "\u0100 "
+    assert OURS.encode(text) == THEIRS.encode(text, add_special_tokens=False).ids
+    assert OURS.encode(text[:-2]) == THEIRS.encode(text[:-2], add_special_tokens=False).ids

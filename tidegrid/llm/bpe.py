@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -29,9 +30,9 @@ SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Pieces and spaced words that a worker keeps the ids of, each; twice as many where the older generation counts.
-#: An entry takes about 250 bytes, so a worker's tables take up to 60 MB.
-CACHED_PIECES = 60_000
+#: Pieces that a worker keeps the ids of; twice as many where the older generation counts. An entry of a short Latin
+#: piece takes about 160 bytes, so a worker's tables take up to 42 MB of such.
+CACHED_PIECES = 130_000
 #: Longer pieces are not kept, so that entries stay small.
 LONGEST_CACHED = 64
 
@@ -43,8 +44,12 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _OddSpace(Exception):
-    """White space other than single spaces between words."""
+def latin_split() -> str:
+    """``SPLIT`` for texts of Latin-1 characters, its classes spelled out: `re` has none by property, but takes half the time."""
+    chars = [chr(i) for i in range(256)]
+    letters, numbers, spaces = ("".join(re.escape(c) for c in chars if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}", r"\p{White_Space}"))
+    spelled = SPLIT.replace(r"[^\p{White_Space}\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"\P{White_Space}", f"[^{spaces}]")
+    return spelled.replace(r"\p{White_Space}", f"[{spaces}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
 
 
 class _Cache(dict):
@@ -54,7 +59,7 @@ class _Cache(dict):
         super().__init__()
         self.compute, self.size, self.older = compute, size, {}
 
-    def __missing__(self, piece: str) -> str:
+    def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
             found = self.compute(piece)
@@ -78,99 +83,89 @@ class Bpe:
             spec = json.load(f)
         alphabet, vocab = byte_alphabet(), spec["model"]["vocab"]
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        if max(vocab.values()) >= 1 << 16:
-            raise ValueError("a vocabulary of over 65,536 tokens needs wider pair keys")
         self.first = [0] * 256
         for char, byte in alphabet.items():
             self.first[byte] = vocab[char]
-        self.rank: dict[int, int] = {}
+        right_of: dict[int, dict[int, int]] = {}
         self.merged: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank[vocab[left] << 16 | vocab[right]] = rank
+            right_of.setdefault(vocab[left], {})[vocab[right]] = rank
             self.merged.append(vocab[left + right])
+        #: For every symbol a look-up of the rank of its pair with the next symbol, None if the pair is not mergeable.
+        self.rank_after = [{}.get] * (max(vocab.values()) + 1)
+        for left, ranks in right_of.items():
+            self.rank_after[left] = ranks.get
+        self.byte_ranks = [[self.rank_after[a](b) for b in self.first] for a in self.first]
         self.bytes_of = {i: bytes(alphabet[c] for c in token) for token, i in vocab.items()}
         self.bytes_of |= {i: content.encode() for content, i in special.items()}
-        self.bytes_of_text = {str(i): b for i, b in self.bytes_of.items()}
+        self.id_text = [b"%d" % i for i in range(max(self.bytes_of) + 1)]
+        self.bytes_of_text = {self.id_text[i]: b for i, b in self.bytes_of.items()}
         self.special = special
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.split = regex.compile(SPLIT).findall
-        self.pieces = _Cache(lambda piece: ",".join(map(str, self.merge(piece.encode()))), cached)
-        self.words = _Cache(self._spaced, cached)
+        self.split, self.split_latin = regex.compile(SPLIT).findall, re.compile(latin_split()).findall
+        self.is_latin = re.compile("[\0-\xff]*").fullmatch
+        self.pieces = _Cache(lambda piece: b",".join([self.id_text[i] for i in self.merge(piece.encode())]), cached)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
+        n, made, rank_after = len(piece), self.merged, self.rank_after
+        now = [ranks[b] for ranks, b in zip(map(self.byte_ranks.__getitem__, piece), piece[1:])]  # rank of the pair that starts here
+        shift = n.bit_length()  # entries of short pieces stay small numbers
+        queue = [r << shift | i for i, r in enumerate(now) if r is not None]
         symbols = [self.first[b] for b in piece]
-        n, rank, merged = len(symbols), self.rank.get, self.merged
-        if n < 2:
-            return symbols
-        now = [rank(a << 16 | b, -1) for a, b in zip(symbols, symbols[1:])] + [-1]  # rank of the pair that starts here
-        queue = [r << 32 | i for i, r in enumerate(now) if r >= 0]
         if not queue:
             return symbols
-        after, before = list(range(1, n + 1)), list(range(-1, n))
+        now.append(None)
+        after, before, place = list(range(1, n + 1)), list(range(-1, n - 1)), (1 << shift) - 1
         heapq.heapify(queue)
         pop, push = heapq.heappop, heapq.heappush
         while queue:
             entry = pop(queue)
-            r, i = entry >> 32, entry & 0xFFFFFFFF
+            r, i = entry >> shift, entry & place
             if now[i] != r:
                 continue  # stale: a symbol of the pair has been merged since
             j = after[i]
-            symbols[i] = left = merged[r]
-            symbols[j] = now[j] = now[i] = -1
             after[i] = k = after[j]
-            before[k] = i
+            symbols[i] = left = made[r]
+            symbols[j] = now[j] = now[i] = None
             if k < n:
-                now[i] = r = rank(left << 16 | symbols[k], -1)
-                if r >= 0:
-                    push(queue, r << 32 | i)
-            h = before[i]
-            if h >= 0:
-                now[h] = r = rank(symbols[h] << 16 | left, -1)
-                if r >= 0:
-                    push(queue, r << 32 | h)
-        return [s for s in symbols if s >= 0]
-
-    def _parts(self, text: str) -> str:
-        """Ids of a stretch of text, special tokens included, joined by commas."""
+                before[k] = i
+                now[i] = r = rank_after[left](symbols[k])
+                if r is not None:
+                    push(queue, r << shift | i)
+            if i:
+                h = before[i]
+                now[h] = r = rank_after[symbols[h]](left)
+                if r is not None:
+                    push(queue, r << shift | h)
+        return [s for s in symbols if s is not None]
+
+    def _parts(self, text: str) -> bytes:
+        """Ids of a stretch of text without special tokens, joined by commas."""
+        split = self.split_latin if self.is_latin(text) else self.split
+        return b",".join(map(self.pieces.__getitem__, split(text)))
+
+    def encode_joined(self, text: str) -> bytes:
+        """Decimal ids of a text, special tokens included, joined by commas."""
         if self.at_special is None or not self.at_special.search(text):
-            return ",".join(map(self.pieces.__getitem__, self.split(text)))
+            return self._parts(text)
         out, start = [], 0
         for m in self.at_special.finditer(text):
-            out += [self.pieces[p] for p in self.split(text[start : m.start()])] + [str(self.special[m[0]])]
+            out += [self._parts(text[start : m.start()]), self.id_text[self.special[m[0]]]]
             start = m.end()
-        return ",".join(out + [self.pieces[p] for p in self.split(text[start:])])
-
-    def _spaced(self, word: str) -> str:
-        """Ids of a space and a word. Only a word with no white space at its ends is cut off the same way in any text."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _OddSpace
-        return self._parts(" " + word)
-
-    def encode_joined(self, text: str) -> str:
-        """Decimal ids of a text, joined by commas."""
-        words = text.split(" ")
-        first = words[0]
-        if len(words) > 1 and first and not first[-1].isspace():
-            try:
-                words[0] = self._parts(first)
-                words[1:] = map(self.words.__getitem__, words[1:])
-                return ",".join(words)
-            except _OddSpace:
-                pass
-        return self._parts(text)
+        return b",".join(filter(None, [*out, self._parts(text[start:])]))
 
     def encode(self, text: str) -> list[int]:
         joined = self.encode_joined(text)
-        return [int(i) for i in joined.split(",")] if joined else []
+        return [int(i) for i in joined.split(b",")] if joined else []
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids; byte sequences that are not UTF-8 become replacement characters."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    def decode_joined(self, joined: str) -> bytes:
-        return b"".join(map(self.bytes_of_text.__getitem__, joined.split(","))) if joined else b""
+    def decode_joined(self, joined: bytes) -> bytes:
+        return b"".join(map(self.bytes_of_text.__getitem__, joined.split(b","))) if joined else b""
 
 
 _loaded: dict[str, Bpe] = {}
@@ -186,7 +181,6 @@ def _of_task(path: str) -> Iterator[Bpe]:
         yield bpe
     finally:
         bpe.pieces.forget()
-        bpe.words.forget()
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,7 +210,7 @@ def _digests(bpe: Bpe, text: str) -> tuple[int, str, str]:
     """Number of ids of a text, digest of the ids, and digest of the text that they decode to."""
     joined = bpe.encode_joined(text)
     decoded = bpe.decode_joined(joined).decode("utf-8", "replace")
-    return joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    return joined.count(b",") + 1 if joined else 0, hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
