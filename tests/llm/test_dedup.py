@@ -162,6 +162,22 @@ def test_components_equal_union_find(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_that_are_stars_need_no_round(spark, monkeypatch):
+    from tidegrid.llm import components
+
+    rounds, step = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: rounds.append(1) or step(edges))
+    star = [(1, i) for i in range(2, 40)] + [(i, 50) for i in range(60, 90)] + [(50, 60), (7, 7), (None, 7)]
+    assert {r["node"]: r["component"] for r in connected(spark.createDataFrame(star, "a long, b long")).collect()} == {i: 1 for i in range(1, 40)} | {i: 50 for i in (50, *range(60, 90))}
+    assert not rounds
+    around_the_largest = [(99, i) for i in range(1, 40)]
+    assert {r["component"] for r in connected(spark.createDataFrame(around_the_largest, "a long, b long")).collect()} == {1}
+    assert len(rounds) == 1
+    several_smaller, chain = [(9, 1), (9, 2), (8, 2)], [(3, 5), (5, 6)]
+    got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(several_smaller + chain, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 8: 1, 9: 1, 3: 3, 5: 3, 6: 3}
+
+
 def test_words_and_places():
     w = words.words_of(["Aa bb  cc", "", None, "é aa\tbb"])
     assert w.text.tolist() == [0, 0, 0, 3, 3, 3] and w.first.tolist() == [0, 3, 3, 3, 6]

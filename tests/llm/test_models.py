@@ -53,6 +53,16 @@ def test_every_language_is_learned_within_the_bound_of_bytes(spark):
     assert len(sample) < 0.6 * len(rows)
 
 
+def test_the_driver_gets_the_model_and_not_the_sample(docs, monkeypatch):
+    args = ("text", "lang", "doc_id", 60, 1 << 24)
+    known = docs.where("lang IS NOT NULL")
+    expected = langid.fitted(langid._sample(known, *args), langid.document_frequencies(known), 3, 0.5, 1.0, 0.02, 0.05, 7)
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: pytest.fail("a sample came to the driver"))
+    model = langid.train(docs, per_language=60)
+    assert model.languages == expected.languages and model.temperature == expected.temperature
+    assert all(np.allclose(getattr(model, x), getattr(expected, x), 1e-4, 1e-6) for x in ("idf", "weights", "bias"))
+
+
 def test_language_of_null_ids_and_empty_tables(spark):
     from pyspark.sql import functions as F
 

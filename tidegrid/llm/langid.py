@@ -95,10 +95,10 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
-def _sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int, most_bytes: int) -> pd.DataFrame:
+def _chosen(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int, most_bytes: int) -> DataFrame:
     """About ``per_language`` documents of each language, as n-gram counts, chosen by a hash of the id.
 
-    Languages share ``most_bytes`` evenly, so the driver holds a bounded amount however many there are; a text of any
+    Languages share ``most_bytes`` evenly, so the sample is bounded however many there are; a text of any
     length comes as ``DIMENSIONS`` counts at most. Of each language the document of least hash is always there.
     """
     key = F.col(id_col).cast("string")
@@ -118,22 +118,51 @@ def _sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang
                 found.append((at.astype(np.int32), counts[at].astype(np.int32)))
             yield pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "at": [a for a, _ in found], "n": [n for _, n in found]})
 
-    out = in_python(chosen.select("id", "lang", "t"), featurise, "id string, lang string, at array<int>, n array<int>").toPandas()
-    return out.sort_values(["id", "lang"], kind="stable", na_position="first").reset_index(drop=True)
+    return in_python(chosen.select("id", "lang", "t"), featurise, "id string, lang string, at array<int>, n array<int>")
+
+
+def _in_order(sample: pd.DataFrame) -> pd.DataFrame:
+    return sample.sort_values(["id", "lang"], kind="stable", na_position="first").reset_index(drop=True)
+
+
+def _sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int, most_bytes: int) -> pd.DataFrame:
+    """The sample as the driver would hold it."""
+    return _in_order(_chosen(docs, text_col, lang_col, id_col, per_language, most_bytes).toPandas())
 
 
 def train(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1000, most_bytes: int = 1 << 24,
     passes: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, seed: int = 7,
 ) -> LanguageModel:
-    """Fit to the rows of ``docs`` that have a language. A fifth of the sample sets the temperature alone."""
+    """Fit to the rows of ``docs`` that have a language. A fifth of the sample sets the temperature alone.
+
+    One task fits the weights to the bounded sample, and the driver gets the model only.
+    """
     known = docs.where(F.col(lang_col).isNotNull())
     frequency = document_frequencies(known, text_col)
-    sample = _sample(known, text_col, lang_col, id_col, per_language, most_bytes)
+    sample = _chosen(known, text_col, lang_col, id_col, per_language, most_bytes)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if parts := [b for b in batches if len(b)]:
+            model = fitted(_in_order(pd.concat(parts, ignore_index=True)), frequency, passes, alpha, beta, l1, l2, seed)
+            yield pd.DataFrame({"languages": [model.languages], "weights": [model.weights.tobytes()], "bias": [model.bias.tobytes()], "temperature": [model.temperature]})
+
+    row = in_python(sample.repartition(1), fit, "languages array<string>, weights binary, bias binary, temperature double").first()
+    if row is None:
+        return fitted(pd.DataFrame({"lang": []}), frequency, passes, alpha, beta, l1, l2, seed)
+    weights = np.frombuffer(row["weights"], np.float32).reshape(DIMENSIONS, -1)
+    return LanguageModel(list(row["languages"]), _idf(frequency), weights, np.frombuffer(row["bias"], np.float32), row["temperature"])
+
+
+def _idf(frequency: np.ndarray) -> np.ndarray:
+    return (np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1).astype(np.float32)
+
+
+def fitted(sample: pd.DataFrame, frequency: np.ndarray, passes: int, alpha: float, beta: float, l1: float, l2: float, seed: int) -> LanguageModel:
+    """The model of a sample in order."""
     languages = sorted(set(sample["lang"]))
-    idf = (np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1).astype(np.float32)
     k = len(languages)
-    model = LanguageModel(languages, idf, np.zeros((DIMENSIONS, k), np.float32), np.zeros(k, np.float32), 1.0)
+    model = LanguageModel(languages, _idf(frequency), np.zeros((DIMENSIONS, k), np.float32), np.zeros(k, np.float32), 1.0)
     if k == 0:
         return model
     vectors = []

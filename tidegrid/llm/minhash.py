@@ -257,8 +257,8 @@ def _classified(docs: DataFrame, threshold: float, width: int, weights: str, id_
     can_be = (F.abs(F.col("similarity_a") - F.col("similarity_b")) <= 1 - threshold + 1e-9) & (differing_bits(F.col("parity_a"), F.col("parity_b")) <= may_differ)
     cross = saved(across(open_rows, "digest", threshold, can_be).join(candidates, ["u", "v"], "left_anti"))
     if not cross.isEmpty():
-        links = links.union(_compared(cross, sets, weights).where(F.col("similarity") >= threshold).select("u", "v"))
-        label = connected(links)
+        more = _compared(cross, sets, weights).where(F.col("similarity") >= threshold).select("u", "v")
+        label = connected(label.union(more))  # the components so far stand for the links they are made of
     of_text = texts.join(label.withColumnRenamed("node", "digest"), "digest", "left")
     of_text = saved(of_text.select("digest", F.coalesce("component", "digest").alias("component"), "id", "copies"))
     rows = saved(signed.select("id", "digest", F.col("keys").isNotNull().alias("has_words")))

@@ -257,8 +257,7 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8, least_words: in
     cross = across(open_rows, "identity", threshold, differing_bits(F.col("parity_a"), F.col("parity_b"), PARITY_WORDS) <= may_differ)
     cross = saved(cross.join(candidates, ["u", "v"], "left_anti"))
     if not cross.isEmpty():
-        links = links.union(_verified(cross, sets, threshold))
-        label = connected(links)
+        label = connected(label.union(_verified(cross, sets, threshold)))  # the components so far stand for their links
     for table in (shared, candidates, sets, open_rows, cross):
         discard(table)
     # Classes of identities that repeat over documents, by themselves or by links.
